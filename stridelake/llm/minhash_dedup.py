@@ -236,7 +236,7 @@ def _blocks(members: DataFrame, sets: DataFrame, k: int, percent: int, two_sided
     return members.join(sets, "x").groupBy("hub", "block").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, k: int = 64, block_rows: int = 512, block_shingles: int = 400_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, k: int = 64, block_rows: int = 512, block_shingles: int = 400_000, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, th, n_shingles, component_id, kept): kept where the document is its component's smallest id.
 
     A null, empty or blank text has no shingles and links with nothing; so does a row without an
@@ -269,7 +269,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sums = members.groupBy("hub").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
     sums = sums.select("hub", F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("shingles") / block_shingles)).cast("int").alias("blocks"))
     dealt = members.join(sums, "hub").withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
-    asked = members.select("x").distinct().join(classes.select("x", "doc_id", "th"), "x")
+    asked = written(members.select("x").distinct().join(classes.select("x", "doc_id", "th"), "x"))
+    if asked.limit(broadcast_rows + 1).count() <= broadcast_rows:  # 24 bytes a row; beyond that the texts are shuffled
+        asked = F.broadcast(asked)
     sets = written(_sets(_keyed(docs, doc_id, text).join(asked, ["doc_id", "th"]), width))
     # first pass: each block with its hub
     alone = dealt.where("x <> hub").select("hub", "block", "x").unionByName(sums.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("x")))
