@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stridelake.llm import minhash_dedup, piece_codec, quality_rank, robust_rules, token_records
+from stridelake.llm import minhash_dedup, piece_codec, quality_rank, robust_rules, source_mix, token_records
 from stridelake.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = source_mix.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rounds")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_rules.judge(table(spark, sf_dir, "documents"))
 

@@ -209,7 +209,7 @@ def _verdicts(found: DataFrame, groups: list[str], tail: float) -> DataFrame:
     return judged.withColumn("base_failed", _failed()).withColumn("kept", ~F.col("base_failed") & fine)
 
 
-def judge(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source"), tail: float = 1e-9, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source"), tail: float = 1e-6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept), a row for each input row.
 
     Null, empty and blank texts have no words and fail the base rules. A null language or source is
@@ -223,7 +223,7 @@ def judge(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source"), tail: f
     return out.select("doc_id", *[F.col("__s")[c].alias(c) for c in BASE], "base_failed", "kept")
 
 
-def accept(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source"), tail: float = 1e-9, text: str = "text") -> DataFrame:
+def accept(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source"), tail: float = 1e-6, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns.
 
     Estimates come from a first pass over the texts; a second pass measures again and filters, so
