@@ -4,7 +4,8 @@ A shard file is a run of frames, one for each document in ascending order of its
 
     uint64 LE  length of the payload
     uint32 LE  masked crc32 of those eight bytes
-    payload    the ids, little-endian unsigned 32-bit
+    payload    a byte with the width of an id (2 where all ids of the tokenizer fit, else 4), then
+               the ids, little-endian unsigned
     uint32 LE  masked crc32 of the payload
 
 A masked crc is the crc rotated right by 15 bits plus 0xA282EAD8, modulo 2**32, so that a checksum
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import shared_dir
+from stridelake.llm.common import as_bytes, shared_dir
 
 _NULL = -(1 << 63)
 _HEAD = struct.Struct("<QI")
@@ -76,6 +77,17 @@ _BYTE_LEVEL = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not i
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
 
+def pack(ids: bytes, narrow: bool) -> bytes:
+    """A payload of ids given as little-endian uint32."""
+    return b"\x02" + np.frombuffer(ids, "<u4").astype("<u2").tobytes() if narrow else b"\x04" + ids
+
+
+def unpack(payload: bytes) -> np.ndarray:
+    if payload[:1] not in (b"\x02", b"\x04"):
+        raise ValueError("unknown width of ids")
+    return np.frombuffer(payload, f"<u{payload[0]}", offset=1)
+
+
 class WordIds:
     """The ids of texts by a tokenizer of the tokenizers library, kept for parts that recur.
 
@@ -83,7 +95,7 @@ class WordIds:
     normaliser nor its patterns look across; each part goes through the library once.
     """
 
-    def __init__(self, path: str, cache_size: int = 300_000):
+    def __init__(self, path: str, cache_size: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -109,11 +121,13 @@ class WordIds:
         """The ids of parts that are not known. ASCII ones have those of their lower case (but special tokens are
         matched as they are written), and a word with marks at its end has those of both: the pretokenizer parts
         letters from marks."""
-        found, stem_ids, other = {}, self._stem, []
+        found, stem_ids, known, other = {}, self._stem, self.cache.get, []
         for p in parts:
             low = p.lower() if p.isascii() and b"<|" not in p else p
             word = low.rstrip(b".,!?;:")
-            ids = stem_ids(word)
+            ids = known(word) if word != p and word else None
+            if ids is None:
+                ids = stem_ids(word)
             if ids is not None and word != low:
                 tail = low[len(word) :]
                 if tail not in self.tails:
@@ -129,9 +143,9 @@ class WordIds:
                 found[p] = array("I", e.ids).tobytes()
         return found
 
-    def many(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian uint32."""
-        parts = [t.encode().split() for t in texts]
+    def many(self, texts: list[bytes]) -> list[bytes]:
+        """For each UTF-8 text its ids as little-endian uint32."""
+        parts = [t.split() for t in texts]
         cache = self.cache
         new = set().union(*parts).difference(cache)
         older = {p: self.older[p] for p in new if p in self.older}
@@ -163,7 +177,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = as_bytes(rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -172,6 +186,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         files.create_dir(root, recursive=True)
         shard = TaskContext.get().partitionId()
         encoder, end = word_ids(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        narrow = max(end_id, *encoder.tokenizer.get_vocab().values()) < 1 << 16
         temp, name = f"{root}/.{uuid.uuid4().hex}", f"part-{shard:05d}"
         out, index = None, []
         at = docs_n = tokens = 0
@@ -183,7 +198,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                     out = files.open_output_stream(f"{temp}.tokens", buffer_size=1 << 20)
                 for d, p in zip(part.column(0).to_pylist(), payloads):
                     p += end
-                    f = frame(p)
+                    f = frame(pack(p, narrow))
                     out.write(f)
                     index.append((_NULL if d is None else d, at, len(p) // 4))
                     at += len(f)
@@ -218,9 +233,10 @@ def read_records(spark: SparkSession, folder: str, shards: list[tuple[str, int]]
                 with source.open_input_stream(f"{root}/{name}.tokens", buffer_size=1 << 20) as f:
                     for d, _, n in index.tolist():
                         payload = read_frame(f)
-                        if payload is None or len(payload) != 4 * n:
+                        ids = unpack(payload) if payload else ()
+                        if len(ids) != n:
                             raise ValueError(f"{name}: the index does not fit the records")
-                        rows.append((None if d == _NULL else d, start, n, zlib.crc32(payload)))
+                        rows.append((None if d == _NULL else d, start, n, zlib.crc32(ids.astype("<u4").tobytes())))
                         start += n
                 for i in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 10_000])], ["doc_id", "start", "n_tokens", "ids_crc32"])
@@ -251,4 +267,4 @@ def read_shuffled(folder: str, name: str, seed: int) -> Iterator[np.ndarray]:
     with source.open_input_file(f"{root}/{name}.tokens") as f:
         for i in np.random.default_rng(seed).permutation(len(index)).tolist():
             f.seek(int(index[i, 1]))
-            yield np.frombuffer(read_frame(f), "<u4")
+            yield unpack(read_frame(f))
