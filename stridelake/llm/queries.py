@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stridelake.llm import embedding_dedup, minhash_dedup, piece_codec, quality_rank, robust_rules, source_mix, token_records
+from stridelake.llm import embedding_dedup, html_density, minhash_dedup, piece_codec, quality_rank, robust_rules, source_mix, token_records, url_templates
 from stridelake.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mix.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rounds")
@@ -51,9 +55,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filters": url_templates.oracle()}
