@@ -303,5 +303,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     under different ids are not. Rows without an id stay.
     """
     name, text = options.get("doc_id", "doc_id"), options.get("text", "text")
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("th").alias("__th")).distinct()
+    gone = written(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("th").alias("__th")).distinct())
+    if gone.limit(500_001).count() <= 500_000:  # 16 bytes a row; beyond that the texts are shuffled
+        gone = F.broadcast(gone)
     return docs.join(gone, (F.col(name).cast("long") == F.col("__gone")) & (F.xxhash64(text) == F.col("__th")), "left_anti")

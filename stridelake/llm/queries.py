@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stridelake.llm import embedding_dedup, html_density, minhash_dedup, piece_codec, quality_rank, robust_rules, source_mix, token_records, url_templates
+from stridelake.llm import embedding_dedup, html_density, license_scan, minhash_dedup, piece_codec, quality_rank, robust_rules, source_mix, token_records, url_templates
 from stridelake.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.extract(table(spark, sf_dir, "pages"))
 

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from stridelake.llm.common import as_bytes, written
+from stridelake.llm.common import written
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The vector's statistics with the standard deviation below which none counts as narrower.
@@ -58,21 +59,21 @@ def statistics(text: bytes) -> tuple[int, ...]:
 
 
 def measured(docs: DataFrame, keep: bool = False, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column __s of the statistics; with all its columns, or without the text."""
+    """``docs`` with a struct column __s of the statistics, and without the text unless ``keep``."""
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            place = b.schema.get_field_index("__t")
-            rows = [statistics(x.as_buffer().to_pybytes()) for x in b.column(place)]
+            raw = b.column(place).cast(pa.binary()).fill_null(b"")
+            rows = [statistics(x.as_buffer().to_pybytes()) for x in raw]
             cols = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(_COUNTS)
             s = pa.StructArray.from_arrays(cols, list(_COUNTS))
-            names = [n for n in b.schema.names if n != "__t"]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if i != place), s], [*names, "__s"])
+            left = [i for i in range(b.num_columns) if keep or i != place]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in left), s], [*(b.schema.names[i] for i in left), "__s"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if keep or f.name != text]
-    kept = docs if keep else docs.select("*").withColumnRenamed(text, "__t")
-    source = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")).cast("binary")) if keep else as_bytes(kept, "__t")
-    return source.mapInArrow(run, ", ".join([*fields, "__s struct<" + ",".join(f"{n}:bigint" for n in _COUNTS) + ">"]))
+    fields = [f for i, f in enumerate(docs.schema.fields) if keep or i != place]
+    counts = StructType([StructField(n, LongType()) for n in _COUNTS])
+    return docs.mapInArrow(run, StructType([*fields, StructField("__s", counts)]))
 
 
 def _failed() -> Column:
@@ -197,16 +198,23 @@ def estimate(rows: DataFrame, least: int = 40, steps: int = 4) -> DataFrame:
     return written(sizes.join(best.select("g", "b.mu", "b.w"), "g"))
 
 
-def _verdicts(found: DataFrame, groups: list[str], tail: float) -> DataFrame:
+def _ready(found: DataFrame, groups: list[str]) -> DataFrame:
+    return found.withColumn("__g", _group(groups)).withColumns({f"x{i}": c for i, c in enumerate(_vector())})
+
+
+def _fits(found: DataFrame, groups: list[str]) -> DataFrame:
+    """(__g, __mu, __w) from the rows of ``found`` (with __s) that pass the base rules."""
+    fits = estimate(_ready(found, groups).where(~_failed()).select(F.col("__g").alias("group"), *[f"x{i}" for i in range(_P)]))
+    return fits.select(F.col("group").alias("__g"), F.col("mu").alias("__mu"), F.col("w").alias("__w"))
+
+
+def _verdicts(found: DataFrame, groups: list[str], fits: DataFrame, tail: float) -> DataFrame:
     """``found`` (with __s) and columns base_failed and kept."""
-    ready = found.withColumn("__g", _group(groups)).withColumns({f"x{i}": c for i, c in enumerate(_vector())})
-    fits = estimate(ready.where(~_failed()).select(F.col("__g").alias("group"), *[f"x{i}" for i in range(_P)]))
     # the spread of the nearest part understates that of a normal group by this factor
     factor = _CORE / chi2_cdf(chi2_quantile(_CORE, _P), _P + 2)
-    bound = chi2_quantile(1 - tail, _P) * factor
-    judged = ready.join(fits.select(F.col("group").alias("__g"), F.col("mu").alias("__mu"), F.col("w").alias("__w")), "__g", "left")
-    fine = F.coalesce(_distance("__mu", "__w") <= bound, F.lit(True))
-    return judged.withColumn("base_failed", _failed()).withColumn("kept", ~F.col("base_failed") & fine)
+    fine = F.coalesce(_distance("__mu", "__w") <= chi2_quantile(1 - tail, _P) * factor, F.lit(True))
+    judged = _ready(found, groups).join(fits, "__g", "left").withColumn("base_failed", _failed())
+    return judged.withColumn("kept", ~F.col("base_failed") & fine)
 
 
 def judge(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source"), tail: float = 1e-6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -219,7 +227,8 @@ def judge(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source"), tail: f
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)])
     found = written(measured(source))
-    out = _verdicts(found, [f"g{i}" for i in range(len(groups))], tail)
+    names = [f"g{i}" for i in range(len(groups))]
+    out = _verdicts(found, names, _fits(found, names), tail)
     return out.select("doc_id", *[F.col("__s")[c].alias(c) for c in BASE], "base_failed", "kept")
 
 
@@ -229,15 +238,8 @@ def accept(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source"), tail:
     Estimates come from a first pass over the texts; a second pass measures again and filters, so
     that no text is shuffled while the groups' estimates fit a broadcast.
     """
-    bare = docs.select(F.col(text).alias("text"), *[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)])
     names = [f"g{i}" for i in range(len(groups))]
-    small = written(measured(bare))
-    ready = small.withColumn("__g", _group(names)).withColumns({f"x{i}": c for i, c in enumerate(_vector())}).where(~_failed())
-    fits = estimate(ready.select(F.col("__g").alias("group"), *[f"x{i}" for i in range(_P)]))
-    factor = _CORE / chi2_cdf(chi2_quantile(_CORE, _P), _P + 2)
-    bound = chi2_quantile(1 - tail, _P) * factor
-    hold = "__row"
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(hold), F.col(text).alias("text"), _group(list(groups)).alias("__g"))
-    judged = measured(packed, keep=True).withColumns({f"x{i}": c for i, c in enumerate(_vector())})
-    judged = judged.join(fits.select(F.col("group").alias("__g"), F.col("mu").alias("__mu"), F.col("w").alias("__w")), "__g", "left")
-    return judged.where(~_failed() & F.coalesce(_distance("__mu", "__w") <= bound, F.lit(True))).select(f"{hold}.*")
+    parts = [F.col(text).alias("text"), *[F.col(g).alias(n) for g, n in zip(groups, names)]]
+    fits = _fits(written(measured(docs.select(*parts))), names)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *parts)
+    return _verdicts(measured(packed, keep=True), names, fits, tail).where("kept").select("__row.*")

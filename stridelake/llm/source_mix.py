@@ -104,28 +104,44 @@ def taken_pieces(placed: DataFrame, plan: DataFrame, block: Column) -> DataFrame
     return met.select("row", "round", "slot", lo.cast("long").alias("from_word"), hi.cast("long").alias("to_word"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, slots: int = 1 << 18, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, rounds), a row for each input row.
-
-    taken counts words, repeats included; rounds says in how many passes words are taken (0, 1, 2).
-    Null texts have no words and are not taken; null sources are a source of their own, ordered
-    last; a source without words has target 0. Repeated rows are mixed each. An empty table gives an
-    empty result. Extra columns are ignored. Reruns agree whatever the partitions, as rows are
-    ordered by hash and id; only rows that agree in both may swap their shares.
-    """
+def _mixed(docs: DataFrame, weights, share, most, slots, doc_id, text, source) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
+    rows = written(written(rows).withColumn("row", F.monotonically_increasing_id()))
     shares = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
-    plan = schedule(spark, shares, slots)
-    # a slot's words: the whole of the targets over the number of slots; fractions are carried by rounding up
     whole = shares.agg(F.sum("target")).first()[0] or 0.0
+    # whole words in a block; rounding up makes slots a little long, so the schedule ends when the targets are filled
     block = max(1, -(-int(whole) // slots))
-    # a ceiling makes slots a little too long: the schedule ends when the targets are filled
-    used = -(-int(whole) // block)
-    plan = plan.where(F.col("slot") < used)
+    plan = schedule(spark, shares, slots).where(F.col("slot") < -(-int(whole) // block))
     placed = written(streams(rows, shares.select("source", "source_size")))
     pieces = taken_pieces(placed, plan, F.lit(block).cast("long"))
     sums = pieces.groupBy("row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.countDistinct("round").alias("rounds"))
     out = placed.join(sums, "row", "left").join(shares.select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s")))
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("rounds", F.lit(0)).cast("int").alias("rounds"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, slots: int = 1 << 18, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, rounds), a row for each input row.
+
+    taken counts words, repeats included; rounds says in how many passes words are taken (0, 1, 2).
+    Null texts have no words and are not taken; null sources are a source of their own, ordered
+    last; a source without words has target 0. Repeated rows are mixed each. An empty table gives an
+    empty result. Extra columns are ignored. Reruns agree whatever the partitions, as rows are
+    ordered by hash and id; only rows that agree in both may swap their shares.
+    """
+    return _mixed(docs, weights, share, most, slots, doc_id, text, source)
+
+
+def apply(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, slots: int = 1 << 18, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mixed corpus: each row of ``docs`` as often as a pass takes words of it, whole, all columns kept.
+
+    A source's passes take a start of its shuffled stream, so a pass ends at a hash per source; rows
+    up to it are taken, and no text is shuffled while the sources' hashes fit a broadcast. The
+    document in which a pass ends is taken whole. Edge cases as in ``mix``; rows of one id go together.
+    """
+    taken = _mixed(docs, weights, share, most, slots, doc_id, text, source).withColumn("h", F.xxhash64("doc_id"))
+    ends = written(taken.groupBy("source").agg(F.max(F.when(F.col("rounds") >= 1, F.col("h"))).alias("first"), F.max(F.when(F.col("rounds") >= 2, F.col("h"))).alias("second")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.xxhash64(doc_id).alias("__h"), F.col(source).alias("__s")).where(word_count(F.col(f"__row.`{text}`")) > 0)
+    met = rows.join(ends, F.col("__s").eqNullSafe(F.col("source")))
+    passes = F.filter(F.array(F.col("__h") <= F.col("first"), F.col("__h") <= F.col("second")), lambda x: x)
+    return met.withColumn("__n", F.explode(passes)).select("__row.*")
