@@ -156,7 +156,7 @@ def _confirm(own: _Tile, other: _Tile, i: np.ndarray, j: np.ndarray, threshold:
     return i[good], j[good]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", cell_rows: int = 2048, lead: int = 8, group: int = 16, sample: int = 20_000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", cell_rows: int = 4096, lead: int = 8, group: int = 16, sample: int = 20_000) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each input row.
 
     n_links counts other rows linked directly, equal vectors included; component_id is the smallest
