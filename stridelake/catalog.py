@@ -1,4 +1,8 @@
-"""Queries over the supplied tables and the DuckDB SQL that must agree with them."""
+"""Queries over the supplied tables and the DuckDB SQL that must agree with them.
+
+A query is a function from ``duck`` to SQL text. For Spark the text names tables in braces, which
+become DataFrames, so only the columns that a query uses are read; for DuckDB it names the views.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,502 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stridelake.functions import rotations as R
+from stridelake.functions import vectors as V
+from stridelake.operators import pose as P
+from stridelake.operators import series as S
+from stridelake.plans import roles
+from stridelake.plans.sql import names_of, over, rounded, stages
+
+Sql = Callable[[bool], str]
+_SQL: dict[str, Sql] = {}
+DT = "0.04"
+FS = 25.0
+
+
+def query(f: Sql) -> Sql:
+    _SQL[f.__name__] = f
+    return f
+
+
+def out(src: str, keys: str, *values: str, **named: str) -> str:
+    """Keys, and values rounded to six places."""
+    cols = [*(f"{rounded(v)} AS {v}" for v in values), *(f"{rounded(e)} AS {n}" for n, e in named.items())]
+    return f"SELECT {keys}, {', '.join(cols)} FROM ({src})"
+
+
+def _register(name: str, f: Sql) -> None:
+    _SQL[name] = f
+
+
+# ---- series
+
+@query
+def velocity_summary(duck):
+    """The first whole query: velocity of each clip's signal and statistics of it."""
+    v = S.differences(roles.signal(duck), {"vel": "v"}, DT, duck=duck)
+    return out(S.temporal_stats(v, "vel", duck=duck), "clip", "mean", "std", "least", "most", "skew", "kurt")
+
+
+for _name, _order, _stencil, _pad, _rungs in (
+    ("finite_difference_central", 1, "central", "edge", "late"),
+    ("finite_difference_central_none", 1, "central", "none", "late"),
+    ("finite_difference_forward", 1, "forward", "edge", "late"),
+    ("finite_difference_forward_none", 1, "forward", "none", "late"),
+    ("velocity_ladder_order2", 2, "central", "edge", "late"),
+    ("velocity_ladder_order2_forward", 2, "forward", "edge", "late"),
+    ("velocity_ladder_order2_forward_early", 2, "forward", "edge", "early"),
+    ("velocity_ladder_order3", 3, "central", "edge", "late"),
+    ("velocity_ladder_order3_none", 3, "central", "none", "late"),
+):
+    _register(_name, lambda duck, o=_order, s=_stencil, p=_pad, r=_rungs: out(S.differences(roles.signal(duck), {"d": "v"}, DT, o, s, p, duck, r), "clip, frame", "d"))
+
+
+@query
+def speed_derivative(duck):
+    return out(S.speed_derivative(roles.trajectory(duck), ("x", "y", "z"), DT, duck=duck), "clip, frame", "speed", "accel")
+
+
+@query
+def speed_derivative_none(duck):
+    return out(S.speed_derivative(roles.trajectory(duck), ("x", "y", "z"), DT, "none", duck), "clip, frame", "accel")
+
+
+@query
+def node_velocities(duck):
+    return out(S.differences(roles.pose(duck), {"vx": "x", "vy": "y", "vz": "z"}, DT, duck=duck, keys="clip, node"), "clip, frame, node", "vx", "vy", "vz")
+
+
+@query
+def node_accelerations(duck):
+    return out(S.differences(roles.pose(duck), {"ax": "x", "ay": "y", "az": "z"}, DT, 2, duck=duck, keys="clip, node"), "clip, frame, node", "ax", "ay", "az")
+
+
+@query
+def node_jerk(duck):
+    return out(S.differences(roles.pose(duck), {"jx": "x", "jy": "y", "jz": "z"}, "1.0", 3, duck=duck, keys="clip, node"), "clip, frame, node", "jx", "jy", "jz")
+
+
+@query
+def joint_velocities(duck):
+    joints = f"SELECT * FROM ({roles.pose(duck)}) WHERE node IN (0, 1, 3, 5)"
+    return out(S.differences(joints, {"vx": "x", "vy": "y", "vz": "z"}, "1.0", duck=duck, keys="clip, node"), "clip, frame, node", "vx", "vy", "vz")
+
+
+@query
+def temporal_stats(duck):
+    return out(S.temporal_stats(roles.signal(duck), "v", duck=duck), "clip", "mean", "std", "least", "most", "skew", "kurt")
+
+
+@query
+def box_filter_odd(duck):
+    return out(S.box_filter(roles.signal(duck), "v", 5), "clip, frame", "smooth")
+
+
+@query
+def box_filter_even(duck):
+    return out(S.box_filter(roles.signal(duck), "v", 4), "clip, frame", "smooth")
+
+
+for _norm in ("backward", "ortho", "forward", "amplitude"):
+    _register(f"fft_magnitude_{_norm}", lambda duck, n=_norm: out(S.spectrum(roles.wave(duck), "v", FS, n, duck=duck), "clip, CAST(k AS BIGINT) AS k", "freq", "magnitude"))
+
+
+@query
+def dominant_frequency(duck):
+    return out(S.dominant_frequency(roles.wave(duck), "v", FS, duck=duck), "clip", "dominant")
+
+
+@query
+def spectral_arc_length(duck):
+    speeds = f"SELECT clip, frame, abs(v) AS v FROM ({roles.wave(duck)})"
+    return out(S.sparc_small(speeds, "v", FS, padlevel=1, duck=duck), "clip", "sparc")
+
+
+@query
+def zero_crossings(duck):
+    return S.zero_crossings(roles.wave(duck), "v")
+
+
+@query
+def number_of_peaks(duck):
+    return S.number_of_peaks(roles.signal(duck), "v")
+
+
+@query
+def number_of_peaks_above(duck):
+    return S.number_of_peaks(roles.signal(duck), "v", 20.0)
+
+
+@query
+def active_segments(duck):
+    return f"SELECT clip, frame, active FROM ({S.active_segments(roles.signal(duck), 'v', 20.0)})"
+
+
+@query
+def active_duration(duck):
+    return out(S.active_duration(roles.signal(duck), "v", 20.0, FS), "clip", "duration")
+
+
+@query
+def range_of_motion(duck):
+    return out(S.range_of_motion(roles.signal(duck), "v"), "clip", "extent")
+
+
+@query
+def velocity_reductions(duck):
+    return out(S.velocity_reductions(roles.signal(duck), "v", FS), "clip", "peak", "mean", "peak_to_mean", "peak_accel", "peak_decel")
+
+
+@query
+def speed_metric(duck):
+    return out(S.speed_metric(roles.signal(duck), "v"), "clip", "speed_metric")
+
+
+for _form, _alias in (("integrated", "integrated_squared_jerk"), ("mean", "mean_squared_jerk"), ("rms", "rms_squared_jerk")):
+    _register(_alias, lambda duck, f=_form: out(S.squared_jerk(roles.wave(duck), "v", FS, f), "clip", f"{f}_squared_jerk"))
+
+
+@query
+def dimensionless_jerk(duck):
+    return out(S.dimensionless_jerk(roles.wave(duck), "v", FS), "clip", "dlj")
+
+
+@query
+def dimensionless_jerk_mean(duck):
+    return out(S.dimensionless_jerk(roles.wave(duck), "v", FS, "mean_speed"), "clip", "dlj")
+
+
+@query
+def dimensionless_jerk_amplitude(duck):
+    return out(S.dimensionless_jerk(roles.wave(duck), "v", FS, "amplitude", "max(v) - min(v)"), "clip", "dlj")
+
+
+@query
+def log_dimensionless_jerk(duck):
+    return out(S.dimensionless_jerk(roles.wave(duck), "v", FS, log=True), "clip", "ldlj")
+
+
+# ---- trajectories
+
+@query
+def path_length(duck):
+    return out(S.path_length(roles.trajectory(duck)), "clip", "path_length")
+
+
+@query
+def directness(duck):
+    return out(S.directness(roles.trajectory(duck)), "clip", "directness")
+
+
+@query
+def curvature(duck):
+    return out(S.curvature(roles.trajectory(duck), DT), "clip, frame", "curvature")
+
+
+@query
+def curvature_none(duck):
+    return out(S.curvature(roles.trajectory(duck), DT, "none"), "clip, frame", "curvature")
+
+
+@query
+def torsion(duck):
+    return out(S.torsion(roles.trajectory(duck), DT), "clip, frame", "torsion")
+
+
+@query
+def movement_phase(duck):
+    return out(S.movement_phase(roles.trajectory(duck), DT), "clip, frame", "movement_phase")
+
+
+@query
+def ground_path(duck):
+    return out(S.ground_path(roles.trajectory(duck)), "clip", "ground_length", "ground_area")
+
+
+@query
+def unwrap_angles(duck):
+    s = f"SELECT clip, frame, v - 6.283185307179586 * floor(v / 6.283185307179586) AS a FROM ({roles.signal(duck)})"
+    return out(S.unwrap_angles(s, "a"), "clip, frame", "unwrapped")
+
+
+# ---- runs
+
+def _active(duck):
+    return f"SELECT clip, frame, v, v > 20.0 AS on_ FROM ({roles.signal(duck)})"
+
+
+@query
+def runs(duck):
+    return S.runs(_active(duck), "on_")
+
+
+@query
+def filter_short_runs(duck):
+    return f"SELECT clip, frame, filtered FROM ({S.drop_short_runs(_active(duck), 'on_', 2)})"
+
+
+@query
+def fill_short_gaps(duck):
+    return f"SELECT clip, frame, filtered FROM ({S.drop_short_runs(_active(duck), 'on_', 3, value=False)})"
+
+
+@query
+def hysteresis_mask(duck):
+    return f"SELECT clip, frame, held FROM ({S.hysteresis(roles.signal(duck), 'v', '10.0', '30.0')})"
+
+
+@query
+def release_open_runs(duck):
+    s = S.release_open_runs(f"SELECT clip, frame, v, v < 30.0 AS weak, v < 15.0 AS raw FROM ({roles.signal(duck)})", "weak", "raw")
+    return f"SELECT clip, frame, released FROM ({s})"
+
+
+# ---- poses
+
+@query
+def inter_joint_distance(duck):
+    return out(P.inter_joint_distance(roles.pose(duck), [(0, 1), (2, 5), (3, 20)]), "clip, frame", "d0", "d1", "d2")
+
+
+def _nodes(duck, **names):
+    return P.at_nodes(roles.pose(duck), names)
+
+
+@query
+def joint_angle(duck):
+    a, b, c = V.vec("a"), V.vec("b"), V.vec("c")
+    return out(_nodes(duck, a=0, b=1, c=2), "clip, frame", angle=V.joint_angle(a, b, c), degrees_=V.joint_angle(a, b, c, True))
+
+
+@query
+def segment_axis_angle(duck):
+    seg = V.sub(V.vec("b"), V.vec("a"))
+    return out(_nodes(duck, a=0, b=1), "clip, frame", angle=V.segment_axis_angle(seg, ("0.0", "1.0", "0.0")))
+
+
+@query
+def triangle_area(duck):
+    return out(_nodes(duck, a=0, b=1, c=2), "clip, frame", area=V.triangle_area(V.vec("a"), V.vec("b"), V.vec("c")))
+
+
+@query
+def point_to_plane(duck):
+    return out(_nodes(duck, a=0, b=1, c=2), "clip, frame", signed=V.plane_distance(V.vec("a"), V.vec("b"), V.vec("c")), unsigned_=V.plane_distance(V.vec("a"), V.vec("b"), V.vec("c"), False))
+
+
+@query
+def point_to_segment(duck):
+    return out(_nodes(duck, a=0, b=1, c=2), "clip, frame", distance=V.segment_distance(V.vec("a"), V.vec("b"), V.vec("c")))
+
+
+@query
+def main_direction(duck):
+    s = stages(_nodes(duck, a=0), {"axis": V.argmax_axis(V.vec("a"), "0.1")})
+    x, y, z = V.axis_vector("axis")
+    return f"SELECT clip, frame, axis, {x} AS ax, {y} AS ay, {z} AS az FROM ({s})"
+
+
+@query
+def signed_rotation_about_axis(duck):
+    return out(_nodes(duck, a=0, b=1), "clip, frame", turn=V.signed_angle(V.vec("a"), V.vec("b"), ("0.0", "1.0", "0.0")))
+
+
+@query
+def bounding_box(duck):
+    return out(P.bounding_box(roles.pose(duck)), "clip, frame", "lo_x", "hi_x", "lo_y", "hi_y", "lo_z", "hi_z", "volume")
+
+
+@query
+def bounding_sphere(duck):
+    return out(P.bounding_sphere(roles.pose(duck)), "clip, frame", "cx", "cy", "cz", "radius")
+
+
+@query
+def center_of_mass(duck):
+    return out(P.center_of_mass(roles.pose(duck), "(1.0 + node)"), "clip, frame", "x", "y", "z")
+
+
+@query
+def com_displacement(duck):
+    return out(P.com_displacement(roles.pose(duck)), "clip, frame", "travel")
+
+
+@query
+def verticality(duck):
+    return out(P.verticality(roles.pose(duck)), "clip, frame", "verticality")
+
+
+def _other(duck):
+    return f"SELECT clip, frame - 1 AS frame, node, x, y, z FROM ({roles.pose(duck)}) WHERE frame > 0"
+
+
+@query
+def pose_distance_frobenius(duck):
+    return out(P.pose_distance(roles.pose(duck), _other(duck)), "clip, frame", "distance")
+
+
+@query
+def pose_distance_mpjpe(duck):
+    return out(P.pose_distance(roles.pose(duck), _other(duck), "mpjpe"), "clip, frame", "distance")
+
+
+@query
+def mean_pose_subtract(duck):
+    return out(P.mean_pose_subtract(roles.pose(duck)), "clip, frame, node", "mx", "my", "mz")
+
+
+@query
+def relative_scale_factor(duck):
+    pair = P.at_nodes(roles.pose(duck), {"r": 0, "t": 1}, "clip, frame")
+    return out(P.relative_scale(pair), "clip", "factor")
+
+
+@query
+def relative_scale_factor_centered(duck):
+    pair = P.at_nodes(roles.pose(duck), {"r": 0, "t": 1}, "clip, frame")
+    return out(P.relative_scale(pair, True), "clip", "factor")
+
+
+@query
+def kinetic_energy(duck):
+    return out(P.kinetic_energy(roles.pose(duck), DT), "clip, frame", "energy")
+
+
+@query
+def kinetic_energy_masses(duck):
+    return out(P.kinetic_energy(roles.pose(duck), DT, "1.0 + 0.5 * node"), "clip, frame", "energy")
+
+
+@query
+def cov3dj(duck):
+    few = f"SELECT * FROM ({roles.pose(duck)}) WHERE node < 5"
+    return out(P.covariance(few, duck=duck), "clip, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b", "cov")
+
+
+@query
+def lagged_covariance(duck):
+    few = f"SELECT * FROM ({roles.pose(duck)}) WHERE node < 3"
+    return out(P.covariance(few, 2, duck), "clip, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b", "cov")
+
+
+@query
+def facing_frame(duck):
+    return out(P.facing(roles.pose(duck), [(3, 5), (4, 6)]), "clip, frame, valid", "left_x", "left_y", "left_z", "forward_x", "forward_y", "forward_z")
+
+
+# ---- rotations
+
+def _e(n, lo=0):
+    return tuple(f"e{i}" for i in range(lo, lo + n))
+
+
+def _conversion(have, n, want, m, order=None, lo=0):
+    def sql(duck):
+        src = roles.rows(duck)
+        return out(stages(src, *R.convert(_e(n, lo), have, want, "r", order)), "clip", *(f"r{i}" for i in range(m)))
+
+    return sql
+
+
+for _o in ("XYZ", "XZY", "YXZ", "YZX", "ZXY", "ZYX", "ZXZ", "XYX"):
+    _register(f"euler_to_rotmat_{_o.lower()}", _conversion("euler", 3, "rotmat", 9, _o))
+    _register(f"rotmat_to_euler_{_o.lower()}", _conversion("quat", 4, "euler", 3, _o))
+for _name, _args in {
+    "quat_to_rotmat": ("quat", 4, "rotmat", 9),
+    "rotmat_to_quat": ("6d", 6, "quat", 4),
+    "rot6d_to_rotmat": ("6d", 6, "rotmat", 9),
+    "rotmat_to_rot6d": ("quat", 4, "6d", 6),
+    "quat_to_axisangle": ("quat", 4, "axisangle", 3),
+    "axisangle_to_rotmat": ("axisangle", 3, "rotmat", 9),
+    "axisangle_roundtrip": ("axisangle", 3, "axisangle", 3),
+    "axisangle_to_quat": ("axisangle", 3, "quat", 4),
+}.items():
+    _register(_name, _conversion(*_args))
+_register("euler_to_quat", _conversion("euler", 3, "quat", 4, "ZYX"))
+_register("euler_to_rot6d", _conversion("euler", 3, "6d", 6, "ZYX"))
+_register("euler_to_axisangle", _conversion("euler", 3, "axisangle", 3, "ZYX"))
+_register("rot6d_to_euler", _conversion("6d", 6, "euler", 3, "ZYX"))
+_register("axisangle_to_euler", _conversion("axisangle", 3, "euler", 3, "ZYX"))
+
+
+@query
+def quat_multiply(duck):
+    p = R.quat_multiply(_e(4), _e(4, 4))
+    return out(roles.rows(duck), "clip", **{f"r{i}": c for i, c in enumerate(p)})
+
+
+def _units(duck):
+    return stages(roles.rows(duck), *R.unit_quat(_e(4), "p"), *R.unit_quat(_e(4, 4), "q", canonical=False))
+
+
+@query
+def quat_slerp(duck):
+    p, q = R.names("p", 4), R.names("q", 4)
+    return out(stages(_units(duck), *R.slerp(p, q, "0.3", "r"), *R.slerp(p, q, "0.3", "l", shortest=False)), "clip", *R.names("r", 4), *R.names("l", 4))
+
+
+@query
+def quat_unwrap(duck):
+    return out(S.unwrap_quaternions(roles.turning(duck), _e(4)), "clip, frame", "u0", "u1", "u2", "u3")
+
+
+@query
+def se3_exp(duck):
+    return out(stages(roles.rows(duck), *R.se3_exp(_e(6), "r")), "clip", *R.names("rR", 9), *R.names("rd", 3))
+
+
+def _transforms(duck):
+    return stages(roles.rows(duck), *R.vector_to_matrix(_e(3), "a"), *R.vector_to_matrix(_e(3, 3), "b"))
+
+
+@query
+def se3_log(duck):
+    return out(stages(_transforms(duck), *R.se3_log(R.names("a", 9), _e(3, 6), "r")), "clip", *R.names("r", 6))
+
+
+@query
+def se3_inverse(duck):
+    m, d = R.se3_inverse(R.names("a", 9), _e(3, 6))
+    return out(_transforms(duck), "clip", **{f"m{i}": c for i, c in enumerate(m)}, **{f"d{i}": c for i, c in enumerate(d)})
+
+
+@query
+def screw_interpolate(duck):
+    s = R.screw_interpolate(R.names("a", 9), _e(3, 6), R.names("b", 9), _e(3, 9), "0.25", "r")
+    return out(stages(_transforms(duck), *s), "clip", *R.names("rR", 9), *R.names("rd", 3))
+
+
+@query
+def rotation_geodesic(duck):
+    return out(stages(_transforms(duck), *R.geodesic(R.names("a", 9), R.names("b", 9), "r")), "clip", "r")
+
+
+@query
+def segment_frame(duck):
+    return out(stages(roles.rows(duck), *R.segment_frame(_e(3), _e(3, 3), "r")), "clip", *R.names("r", 9))
+
+
+@query
+def relative_transform(duck):
+    """The frame of one segment seen from that of another."""
+    s = stages(roles.rows(duck), *R.segment_frame(_e(3), _e(3, 3), "m"), *R.segment_frame(_e(3, 6), _e(3, 9), "n"))
+    inv, back = R.se3_inverse(R.names("m", 9), _e(3))
+    rot, moved = R.matmul(inv, R.names("n", 9)), R.apply(inv, _e(3, 6))
+    return out(s, "clip", **{f"r{i}": c for i, c in enumerate(rot)}, **{f"d{i}": f"{a} + {b}" for i, (a, b) in enumerate(zip(moved, back))})
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    def bind(f: Sql) -> Callable[[SparkSession, str], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            text = f(False)
+            return spark.sql(text, **roles.load(spark, sf_dir, names_of(text)))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        return run
+
+    return {name: bind(f) for name, f in _SQL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: f(True) for name, f in _SQL.items()}
