@@ -56,3 +56,8 @@ def as_bytes(df: DataFrame, text: str = "text") -> DataFrame:
 def held_out(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 5, is 0. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` (a stored table of narrow rows) marked for broadcast if it has ``rows`` rows at most, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

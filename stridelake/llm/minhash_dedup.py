@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import as_bytes, written
+from stridelake.llm.common import as_bytes, small, written
 from stridelake.llm.graph import components
 
 _U = np.uint64
@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sk = written(written(sketches(docs, doc_id, text, width, k)).withColumn("x", F.monotonically_increasing_id()))
     some = sk.where("n_shingles > 0 and doc_id is not null")
     classes = written(some.groupBy("sig").agg(F.min(F.struct("doc_id", "x", "th")).alias("r")).select("sig", "r.doc_id", "r.x", "r.th"))
-    held = some.join(classes.select("x"), "x", "left_semi").select("x", F.col("n_shingles").alias("n"), F.explode("sketch").alias("v"))
+    held = some.join(small(classes.select("x"), broadcast_rows), "x", "left_semi").select("x", F.col("n_shingles").alias("n"), F.explode("sketch").alias("v"))
     often = held.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     mine = F.least(F.col("n"), F.lit(k))
     need = F.when(F.col("n") * 100 <= k * percent, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(k * percent // 160))
@@ -269,13 +269,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sums = members.groupBy("hub").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
     sums = sums.select("hub", F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("shingles") / block_shingles)).cast("int").alias("blocks"))
     dealt = members.join(sums, "hub").withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    dealt = written(dealt)
     asked = written(members.select("x").distinct().join(classes.select("x", "doc_id", "th"), "x"))
-    if asked.limit(broadcast_rows + 1).count() <= broadcast_rows:  # 24 bytes a row; beyond that the texts are shuffled
-        asked = F.broadcast(asked)
+    asked = small(asked, broadcast_rows)  # 24 bytes a row; beyond that the texts are shuffled
     sets = written(_sets(_keyed(docs, doc_id, text).join(asked, ["doc_id", "th"]), width))
     # first pass: each block with its hub
     alone = dealt.where("x <> hub").select("hub", "block", "x").unionByName(sums.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("x")))
-    found = written(_blocks(alone.withColumn("side", F.lit(0)).withColumn("label", F.col("x")), sets, k, percent, False))
+    alone = small(written(alone.withColumn("side", F.lit(0)).withColumn("label", F.col("x"))), broadcast_rows)
+    found = written(_blocks(alone, sets, k, percent, False))
     if sums.where("blocks > 1").limit(1).count():
         near = components(found, "a", "b").withColumnRenamed("node", "x")
         known = dealt.where("blocks > 1").join(near, "x", "left").withColumn("label", F.coalesce("component", "x"))
@@ -304,6 +305,4 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """
     name, text = options.get("doc_id", "doc_id"), options.get("text", "text")
     gone = written(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("th").alias("__th")).distinct())
-    if gone.limit(500_001).count() <= 500_000:  # 16 bytes a row; beyond that the texts are shuffled
-        gone = F.broadcast(gone)
-    return docs.join(gone, (F.col(name).cast("long") == F.col("__gone")) & (F.xxhash64(text) == F.col("__th")), "left_anti")
+    return docs.join(small(gone, 500_000), (F.col(name).cast("long") == F.col("__gone")) & (F.xxhash64(text) == F.col("__th")), "left_anti")
