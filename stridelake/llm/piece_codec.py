@@ -25,7 +25,7 @@ _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 class PieceCodec:
     """encode(text) and decode(ids) as the sentencepiece library does them, without sampling."""
 
-    def __init__(self, model_path: str, cache_size: int = 200_000):
+    def __init__(self, model_path: str, cache_size: int = 80_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -91,7 +91,7 @@ class PieceCodec:
     def compatible(self, a: str, b: str) -> bool:
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 250_000:
                 self.fits.clear()
             known = self.fits[a, b] = self.merge(a + b) == [a, b]
         return known
