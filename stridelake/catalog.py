@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stridelake.functions import rotations as R
 from stridelake.functions import vectors as V
+from stridelake.operators import contacts as C
+from stridelake.operators import dataset as D
 from stridelake.operators import pose as P
 from stridelake.operators import series as S
+from stridelake.operators import skeleton as K
 from stridelake.plans import roles
-from stridelake.plans.sql import names_of, over, rounded, stages
+from stridelake.plans.sql import names_of, over, rounded, spark_text, stages
 
 Sql = Callable[[bool], str]
 _SQL: dict[str, Sql] = {}
@@ -303,7 +306,7 @@ def point_to_segment(duck):
 def main_direction(duck):
     s = stages(_nodes(duck, a=0), {"axis": V.argmax_axis(V.vec("a"), "0.1")})
     x, y, z = V.axis_vector("axis")
-    return f"SELECT clip, frame, axis, {x} AS ax, {y} AS ay, {z} AS az FROM ({s})"
+    return f"SELECT clip, frame, axis, CAST({x} AS DOUBLE) AS ax, CAST({y} AS DOUBLE) AS ay, CAST({z} AS DOUBLE) AS az FROM ({s})"
 
 
 @query
@@ -495,10 +498,338 @@ def relative_transform(duck):
     return out(s, "clip", **{f"r{i}": c for i, c in enumerate(rot)}, **{f"d{i}": f"{a} + {b}" for i, (a, b) in enumerate(zip(moved, back))})
 
 
+@query
+def angular_velocities(duck):
+    """Rotation vectors from the frame before to the frame after, halved; one step at the ends."""
+    u = stages(roles.turning(duck), *R.unit_quat(_e(4), "q"))
+    w = over("clip")
+    ends = {f"a{i}": f"coalesce(lag(q{i}) {w}, q{i})" for i in range(4)} | {f"b{i}": f"coalesce(lead(q{i}) {w}, q{i})" for i in range(4)} | {"inner_": f"lag(q0) {w} IS NOT NULL AND lead(q0) {w} IS NOT NULL"}
+    turn = R.quat_multiply(R.quat_conjugate(R.names("a", 4)), R.names("b", 4))
+    s = stages(u, ends, {f"d{i}": c for i, c in enumerate(turn)}, *R.quat_to_vector(R.names("d", 4), "v"))
+    return out(s, "clip, frame", **{f"w{i}": f"v{i} / (CASE WHEN inner_ THEN 2.0 ELSE 1.0 END) / {DT}" for i in range(3)})
+
+
+@query
+def root_trajectory(duck):
+    """Ground position, sine and cosine of the heading, and the heading's rate after unwrapping."""
+    s = stages(roles.turning(duck), *R.quat_to_matrix(_e(4), "m"), {"heading": "atan2(m2, m8)"})
+    s = S.differences(S.unwrap_angles(s, "heading", "whole"), {"rate": "whole"}, DT, duck=duck)
+    return out(s, "clip, frame", ga="e1", gb="e2", sin_h="sin(heading)", cos_h="cos(heading)", rate="rate")
+
+
+# ---- contacts and gait: nodes 3 and 5 of the poses as feet
+
+def _feet(duck):
+    return f"SELECT * FROM ({roles.pose(duck)}) WHERE node IN (3, 5)"
+
+
+def _contacts(duck, **options):
+    return C.contacts(_feet(duck), 0.04, scale=80.0, duck=duck, **options)
+
+
+def _placed(duck, **options):
+    return f"SELECT c.*, p.x, p.y, p.z FROM ({_contacts(duck, **options)}) c JOIN ({_feet(duck)}) p ON c.clip = p.clip AND c.frame = p.frame AND c.node = p.node"
+
+
+@query
+def foot_speed(duck):
+    return out(C.foot_speed(_feet(duck), 0.04), "clip, frame, node", "speed")
+
+
+@query
+def floor_height(duck):
+    return out(C.floor_height(roles.pose(duck), duck=duck), "clip", floor_="floor")
+
+
+for _m in ("velocity", "height", "combined"):
+    _register(f"contacts_{_m}", lambda duck, m=_m: out(_contacts(duck, method=m, vel_threshold=60.0, min_contact=0.08, min_gap=0.08), "clip, frame, node, contact", "speed", "clearance"))
+
+
+@query
+def ground_contacts(duck):
+    return out(_contacts(duck, method="height", height_reference="floor", height_threshold=1.5), "clip, frame, node, contact", "clearance")
+
+
+@query
+def contacts_without_band(duck):
+    return out(_contacts(duck, vel_threshold=60.0, band=0.0), "clip, frame, node, contact", "speed")
+
+
+@query
+def informed_height(duck):
+    s = C.clearance(C.foot_speed(_feet(duck), 0.04), duck=duck)
+    return out(C.informed_height(s, 60.0, 0.1, duck), "clip, node", "height_limit")
+
+
+@query
+def contact_events(duck):
+    return C.events(_contacts(duck, method="height", height_threshold=1.5, min_contact=0.08, min_gap=0.08))
+
+
+@query
+def contact_diagnostics(duck):
+    return out(C.diagnostics(_placed(duck, method="height", height_threshold=1.5), 80.0), "clip, node", "mean_skate", "max_skate", "contact_height", "airborne")
+
+
+@query
+def contact_confidence(duck):
+    return out(C.confidence(_contacts(duck, method="height", height_threshold=1.5), 60.0, 1.5), "clip, node", "confidence")
+
+
+@query
+def cadence(duck):
+    return out(C.cadence(_contacts(duck, method="height", height_threshold=1.5), 0.04), "clip", "cadence")
+
+
+@query
+def stride_length(duck):
+    return out(C.stride_length(_placed(duck, method="height", height_threshold=1.5)), "clip", "stride_length")
+
+
+def _root(duck):
+    return f"SELECT clip, frame, x, y, z FROM ({roles.pose(duck)}) WHERE node = 0"
+
+
+@query
+def walking_pace(duck):
+    return out(C.walking_pace(_root(duck), 0.04), "clip", "pace")
+
+
+@query
+def gait_parameters(duck):
+    g = C.gait(_placed(duck, method="height", height_threshold=1.5), _root(duck), 0.04, 3, 5)
+    return out(g, "clip", "cadence", "stride_length", "stride_cv", "step_length", "stance_fraction", "double_support", "pace", "asymmetry")
+
+
+# ---- skeletons: the sample rig, moved by the embeddings
+
+RIG = K.sample_rig()
+
+
+def _motion(duck):
+    e = lambda i: f"CAST(embedding[{i + (1 if duck else 0)}] AS DOUBLE)"
+    cols = [f"{e(i)} * 10.0 AS root_{c}" for i, c in enumerate("xyz")] + [f"{e(3 + 3 * j + k)} * 3.0 AS a{j}_{k}" for j in range(4) for k in range(3)]
+    return f"SELECT label AS clip, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS frame, {', '.join(cols)} FROM {'embeddings' if duck else '{embeddings}'}"
+
+
+def _places(prefix="p"):
+    return [f"{prefix}{i}_{c}" for i in range(len(RIG)) for c in "xyz"]
+
+
+@query
+def fk_positions(duck):
+    return out(K.fk_sql(_motion(duck), RIG), "clip, frame", *_places())
+
+
+@query
+def fk_root_centered(duck):
+    return out(K.fk_sql(_motion(duck), RIG, "skeleton"), "clip, frame", *_places("q"))
+
+
+@query
+def fk_first_centered(duck):
+    return out(K.fk_sql(_motion(duck), RIG, "first"), "clip, frame", *_places("q"))
+
+
+@query
+def rest_pose(duck):
+    return out(K.rest_pose_sql(RIG.values()), "CAST(node_idx AS BIGINT) AS node, depth", "x", "y", "z")
+
+
+@query
+def topology_valid(duck):
+    return f"SELECT {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in ('extra_roots', 'late_parents', 'root_sites', 'orphans', 'site_children', 'joint_gaps', 'bad_orders'))} FROM ({K.validate_sql(RIG.values())})"
+
+
+@query
+def topology_match(duck):
+    taller = RIG.scale(1.1).values()
+    return f"SELECT 'same' AS pair, matches, CAST(first_difference AS BIGINT) AS first_difference FROM ({K.matches_sql(RIG.values(), RIG.values())}) UNION ALL SELECT 'taller', matches, CAST(first_difference AS BIGINT) FROM ({K.matches_sql(RIG.values(), taller)})"
+
+
+@query
+def skeleton_edges(duck):
+    return f"SELECT CAST(child AS BIGINT) AS child, CAST(parent AS BIGINT) AS parent FROM ({K.edges_sql(RIG.values())})"
+
+
+@query
+def joint_tips(duck):
+    return f"SELECT CAST(joint AS BIGINT) AS joint, CAST(tip AS BIGINT) AS tip FROM ({K.tips_sql(RIG.values())})"
+
+
+@query
+def child_lists(duck):
+    return f"SELECT CAST(node_idx AS BIGINT) AS node, name, children FROM ({K.hierarchy_text_sql(RIG.values(), duck)})"
+
+
+@query
+def retarget(duck):
+    return out(K.retarget_sql(RIG.values(), RIG.scale(1.5).values()), "CAST(node_idx AS BIGINT) AS node, name", "off_x", "off_y", "off_z")
+
+
+@query
+def skeleton_size(duck):
+    return out(K.size_sql(RIG.values(), [4, 6]), "1 AS one", size_="size")
+
+
+@query
+def l_r_name_pairs(duck):
+    words = "SELECT 'rig:LeftLeg' AS name UNION ALL SELECT 'rig:RightLeg' UNION ALL SELECT 'arm_l.001' UNION ALL SELECT 'arm_r.001' UNION ALL SELECT 'LHand' UNION ALL SELECT 'RHand' UNION ALL SELECT 'Spine'"
+    return K.lr_pairs_sql(words)
+
+
+@query
+def natural_sort_key(duck):
+    return f"SELECT p_partkey AS part, {K.natural_key_sql('p_name', duck)} AS sort_key FROM {'part' if duck else '{part}'}"
+
+
+@query
+def joint_speed_from_fk(duck):
+    """Forward kinematics and then the speed of one node: Catalyst keeps only that node's chain."""
+    s = f"SELECT clip, frame, p4_x AS x, p4_y AS y, p4_z AS z FROM ({K.fk_sql(_motion(duck), RIG)})"
+    s = S.differences(s, {"vx": "x", "vy": "y", "vz": "z"}, DT, duck=duck)
+    return out(s, "clip, frame", speed=V.norm(("vx", "vy", "vz")))
+
+
+@query
+def change_euler_order(duck):
+    s = stages(_motion(duck), *R.euler_to_matrix(("a0_0", "a0_1", "a0_2"), "ZYX", "m"), *R.matrix_to_euler(R.names("m", 9), "XYZ", "n"))
+    return out(s, "clip, frame", "n0", "n1", "n2")
+
+
+@query
+def reorient_world_up(duck):
+    """Everything turned so that the old up becomes the new one: positions by a fixed matrix."""
+    return out(_motion(duck), "clip, frame", x="root_x", y="-root_z", z="root_y")
+
+
+@query
+def feature_array_6d(duck):
+    n = 3 + 4 * 6
+    return out(D.features(_motion(duck), [x.order for x in RIG if x.joint >= 0]), "clip, frame", *(f"f{i}" for i in range(n)))
+
+
+@query
+def feature_array_quat(duck):
+    n = 3 + 4 * 4
+    return out(D.features(_motion(duck), [x.order for x in RIG if x.joint >= 0], "quat"), "clip, frame", *(f"f{i}" for i in range(n)))
+
+
+# ---- sets of clips
+
+@query
+def slice_step(duck):
+    return out(D.slice_frames(roles.signal(duck), 5, -3, 4), "clip, new_frame AS frame", "v")
+
+
+@query
+def slice_reversed(duck):
+    return out(D.slice_frames(roles.signal(duck), None, None, -2), "clip, new_frame AS frame", "v")
+
+
+@query
+def concat_clips(duck):
+    s = roles.signal(duck)
+    return out(D.concat(s, f"SELECT * FROM ({s}) WHERE frame < 10", "v"), "clip, frame", "v")
+
+
+@query
+def splice_frames(duck):
+    s = roles.signal(duck)
+    patch = f"SELECT clip, frame, -v AS v FROM ({s}) WHERE frame >= 3 AND frame < 7"
+    return out((D.splice_duck if duck else D.splice)(s, patch, "v"), "clip, frame", "v")
+
+
+@query
+def resample_linear(duck):
+    return out(D.resample(roles.trajectory(duck), 0.04, 40.0, ("x", "y", "z"), duck=duck), "clip, frame", "r_x", "r_y", "r_z")
+
+
+@query
+def resample_rotations(duck):
+    u = stages(roles.turning(duck), *R.unit_quat(_e(4), "q"))
+    return out(D.resample(u, 0.04, 16.0, (), (R.names("q", 4),), duck), "clip, frame", "r0_0", "r0_1", "r0_2", "r0_3")
+
+
+@query
+def perturb_speed(duck):
+    """A tenth faster: sampled at the rate over the factor, the time between frames kept."""
+    return out(D.resample(roles.signal(duck), 0.04, 25.0 / 1.1, ("v",), duck=duck), "clip, frame", "r_v")
+
+
+@query
+def pad_batch(duck):
+    return out(D.pad(roles.signal(duck), "v", 0.0, duck), "clip, frame, real", "v")
+
+
+@query
+def translate_root(duck):
+    return out(D.translate(roles.trajectory(duck), (1.0, -2.0, 0.5)), "clip, frame", "tx", "ty", "tz")
+
+
+@query
+def rotate_vertical(duck):
+    return out(D.rotate_vertical(roles.trajectory(duck), "0.7", "y", ("1.0", "2.0")), "clip, frame", "tx", "ty", "tz")
+
+
+@query
+def mirror_pairs(duck):
+    return out(D.mirror(roles.pose(duck), [(3, 5), (4, 6)]), "clip, frame, CAST(node AS INT) AS node", "x", "y", "z")
+
+
+@query
+def mirror_angles(duck):
+    m = D.mirror_angles(("a0_0", "a0_1", "a0_2"), "ZYX")
+    return out(_motion(duck), "clip, frame", **{f"m{i}": c for i, c in enumerate(m)})
+
+
+@query
+def drop_duplicate_pairs(duck):
+    n = "nation" if duck else "{nation}"
+    return f"SELECT DISTINCT least(a.n_nationkey, b.n_nationkey) AS first_key, greatest(a.n_nationkey, b.n_nationkey) AS second_key FROM {n} a JOIN {n} b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey <> b.n_nationkey"
+
+
+@query
+def snap_frame_time(duck):
+    s = f"SELECT user_id AS clip, CAST(count(*) AS DOUBLE) AS n FROM {'events' if duck else '{events}'} GROUP BY user_id"
+    s = stages(s, {"ft": "1.0 / n + 0.000001 * (n - 60.0)"})
+    return out(s, "clip", frame_time=D.snap_frame_time("ft"))
+
+
+@query
+def harmonize_gate(duck):
+    rows = " UNION ALL ".join(f"SELECT {c} AS clip, node_idx, name, parent_idx, euler_order FROM ({t.values()})" for c, t in ((1, RIG), (2, K.Topology(RIG[:5])), (3, RIG.scale(2.0))))
+    sql = D.harmonized(rows, RIG.values())
+    return sql.replace("AS STRING", "AS VARCHAR") if duck else sql
+
+
+@query
+def large_signal_stats(duck):
+    """The line items of each supplier as a signal: the same operator over the largest table."""
+    t = "lineitem" if duck else "{lineitem}"
+    s = f"SELECT l_suppkey AS clip, l_quantity AS v FROM {t}"
+    return out(S.temporal_stats(s, "v", duck=duck), "clip", "mean", "std", "least", "most", "skew", "kurt")
+
+
+@query
+def large_signal_velocity(duck):
+    t = "lineitem" if duck else "{lineitem}"
+    s = f"SELECT l_suppkey AS clip, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS BIGINT) AS frame, l_extendedprice / 1000.0 AS v FROM {t}"
+    return out(S.velocity_reductions(s, "v", 1.0), "clip", "peak", "mean", "peak_to_mean", "peak_accel", "peak_decel")
+
+
+@query
+def order_runs(duck):
+    """Runs of dear orders of each customer."""
+    t = "orders" if duck else "{orders}"
+    s = f"SELECT o_custkey AS clip, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS frame, o_totalprice > 150000 AS on_ FROM {t}"
+    return S.runs(s, "on_")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(f: Sql) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            text = f(False)
+            text = spark_text(f(False))
             return spark.sql(text, **roles.load(spark, sf_dir, names_of(text)))
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__

@@ -1,0 +1,151 @@
+"""Grouped Arrow kernels for what SQL has no form for: eigenvalues, singular values, long transforms,
+histogram thresholds and polyline simplification. A group is one clip, frame or series, whose size is
+that of a recording; groups are spread over tasks by their keys."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+
+def _grouped(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str | None, f: Callable[[np.ndarray], dict], fields: str) -> DataFrame:
+    """``f`` gets the group's columns as rows of a matrix, in order; its values become one row, or many if they are arrays."""
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), fields])
+
+    def run(batch: pa.Table) -> pa.Table:
+        data = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        x = np.stack(data, axis=1).astype(float)
+        if order is not None:
+            x = x[np.argsort(batch.column(order).to_numpy(zero_copy_only=False), kind="stable")]
+        got = {k: np.atleast_1d(v) for k, v in f(x).items()}
+        n = len(next(iter(got.values())))
+        return pa.table({**{k: pa.array([batch.column(k)[0].as_py()] * n, batch.column(k).type) for k in keys}, **{k: pa.array(list(v)) for k, v in got.items()}})
+
+    return df.select(*keys, *columns, *([order] if order and order not in columns else [])).groupBy(*keys).applyInArrow(run, schema)
+
+
+def ellipsoid(points: np.ndarray) -> dict:
+    """Axes of the population covariance, radii grown so that every point is inside; an axis without spread has radius 0."""
+    centre = points.mean(0)
+    off = points - centre
+    value, axes = np.linalg.eigh(off.T @ off / len(points))
+    turned = off @ axes
+    radii = np.sqrt(np.maximum(value, 0))
+    wide = radii > 1e-12
+    reach = np.sqrt(((turned[:, wide] / radii[wide]) ** 2).sum(1).max()) if wide.any() else 0.0
+    out = {f"c{c}": centre[i] for i, c in enumerate("xyz")}
+    radii = np.where(wide, radii * reach, 0.0)
+    return out | {f"r{i}": radii[i] for i in range(3)} | {"volume": 4 / 3 * np.pi * radii.prod()}
+
+
+def bounding_ellipsoid(df: DataFrame, keys: Sequence[str] = ("clip", "frame")) -> DataFrame:
+    return _grouped(df, keys, ["x", "y", "z"], "node", ellipsoid, "cx double, cy double, cz double, r0 double, r1 double, r2 double, volume double")
+
+
+def chordal_mean(rows: np.ndarray) -> dict:
+    """The rotation nearest to the mean of matrices, never a reflection."""
+    u, _, v = np.linalg.svd(rows.mean(0).reshape(3, 3))
+    m = u @ np.diag([1.0, 1.0, np.sign(np.linalg.det(u @ v)) or 1.0]) @ v
+    return {f"m{i}": m.ravel()[i] for i in range(9)}
+
+
+def mean_rotation(df: DataFrame, keys: Sequence[str] = ("clip",), columns: Sequence[str] = tuple(f"m{i}" for i in range(9))) -> DataFrame:
+    return _grouped(df, keys, columns, None, chordal_mean, ", ".join(f"m{i} double" for i in range(9)))
+
+
+def spectral_arc_length(speed: np.ndarray, fs: float, padlevel: int = 4, fc: float = 10.0, amp_th: float = 0.05) -> float:
+    n = 2 ** (int(np.ceil(np.log2(len(speed)))) + padlevel)
+    freq = np.arange(n) * fs / n
+    mag = np.abs(np.fft.fft(speed, n))
+    if not mag.max() > 1e-12:
+        return float("nan")
+    mag = mag / mag.max()
+    freq, mag = freq[freq <= fc], mag[freq <= fc]
+    at = np.flatnonzero(mag >= amp_th)
+    if len(at) == 0:
+        return float("nan")
+    freq, mag = freq[at[0] : at[-1] + 1], mag[at[0] : at[-1] + 1]
+    if len(freq) < 2:
+        return float("nan")
+    return float(-np.sqrt((np.diff(freq) / (freq[-1] - freq[0])) ** 2 + np.diff(mag) ** 2).sum())
+
+
+def sparc(df: DataFrame, fs: float, value: str = "v", keys: Sequence[str] = ("clip",), **options) -> DataFrame:
+    return _grouped(df, keys, [value], "frame", lambda x: {"sparc": spectral_arc_length(x[:, 0], fs, **options)}, "sparc double")
+
+
+def otsu(values: np.ndarray, nbins: int = 64, valley_ratio: float = 0.6, mass_min: float = 0.1) -> float:
+    """The threshold between two classes of values, NaN where they do not part: a valley and both masses are asked for."""
+    v = values[np.isfinite(values)]
+    if len(v) < 8 or v.max() <= v.min():
+        return float("nan")
+    hist, edges = np.histogram(v, nbins)
+    mid = (edges[1:] + edges[:-1]) / 2
+    w0 = np.cumsum(hist)[:-1].astype(float)
+    w1 = len(v) - w0
+    s0 = np.cumsum(hist * mid)[:-1]
+    ok = (w0 > 0) & (w1 > 0)
+    between = np.where(ok, w0 * w1 * (s0 / np.maximum(w0, 1) - ((hist * mid).sum() - s0) / np.maximum(w1, 1)) ** 2, -1.0)
+    best = np.flatnonzero(between >= between.max() * (1 - 1e-12))
+    cut = int(round((best[0] + best[-1]) / 2))
+    if min(w0[cut], w1[cut]) < mass_min * len(v):
+        return float("nan")
+    smooth = np.convolve(hist, np.ones(5) / 5, "same")
+    low, high = smooth[: cut + 1].max(), smooth[cut + 1 :].max()
+    return float(edges[cut + 1]) if smooth[cut] <= valley_ratio * min(low, high) else float("nan")
+
+
+def adaptive_threshold(df: DataFrame, base: float, value: str = "speed", keys: Sequence[str] = ("clip", "node")) -> DataFrame:
+    """(keys, threshold): the valley of each series within a quarter and four times of ``base``, else ``base``."""
+
+    def pick(x: np.ndarray) -> dict:
+        t = otsu(x[:, 0])
+        return {"threshold": base if np.isnan(t) else float(np.clip(t, 0.25 * base, 4 * base))}
+
+    return _grouped(df, keys, [value], None, pick, "threshold double")
+
+
+def simplify(points: np.ndarray, eps: float) -> np.ndarray:
+    """Positions kept by the Ramer-Douglas-Peucker rule; ends stay."""
+    keep = np.zeros(len(points), bool)
+    keep[[0, -1]] = True
+    todo = [(0, len(points) - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        line, rel = points[b] - points[a], points[a + 1 : b] - points[a]
+        size = line @ line
+        t = np.clip(rel @ line / size, 0, 1) if size > 1e-24 else np.zeros(len(rel))
+        d = np.linalg.norm(rel - t[:, None] * line, axis=1)
+        k = int(d.argmax())
+        if d[k] > eps:
+            keep[a + 1 + k] = True
+            todo += [(a, a + 1 + k), (a + 1 + k, b)]
+    return np.flatnonzero(keep)
+
+
+def ramer_douglas_peucker(df: DataFrame, eps: float, columns: Sequence[str] = ("x", "y"), keys: Sequence[str] = ("clip",)) -> DataFrame:
+    """(keys, place, columns): the rows that stay, numbered by their place in the series."""
+    width = len(columns)
+
+    def pick(x: np.ndarray) -> dict:
+        at = simplify(x, eps)
+        return {"place": at, **{c: x[at, i] for i, c in enumerate(columns)}}
+
+    assert width
+    return _grouped(df, keys, list(columns), "frame", pick, ", ".join(["place long", *(f"{c} double" for c in columns)]))
+
+
+def smoothed_spectrum(df: DataFrame, fs: float, value: str = "v", keys: Sequence[str] = ("clip",)) -> DataFrame:
+    """(keys, k, freq, magnitude) by a fast transform, for series too long for a join with frequencies."""
+
+    def pick(x: np.ndarray) -> dict:
+        m = np.abs(np.fft.rfft(x[:, 0]))
+        return {"k": np.arange(len(m)), "freq": np.arange(len(m)) * fs / len(x), "magnitude": m}
+
+    return _grouped(df, keys, [value], "frame", pick, "k long, freq double, magnitude double")

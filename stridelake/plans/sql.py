@@ -13,9 +13,17 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 
 
+_NUMBER = re.compile(r"('(?:[^']|'')*')|(?<![\w.])(\d+\.\d+)(?![\w.])")
+
+
+def spark_text(sql: str) -> str:
+    """Numbers with a point as doubles: Spark would read them as decimals, which are slower and round."""
+    return _NUMBER.sub(lambda m: m[1] or f"{m[2]}D", sql)
+
+
 def apply(df: DataFrame, sql: str, **more: DataFrame) -> DataFrame:
     """``sql`` with ``{t}`` standing for ``df`` and other names in braces for other DataFrames."""
-    return df.sparkSession.sql(sql, t=df, **more)
+    return df.sparkSession.sql(spark_text(sql), t=df, **more)
 
 
 def stages(source: str, *steps: Mapping[str, str], keep: str = "*") -> str:
@@ -78,4 +86,4 @@ def joined_text(expr: str, order: str, duck: bool, sep: str = ",") -> str:
 
 def names_of(sql: str) -> set[str]:
     """Names in braces that a text asks for."""
-    return set(re.findall(r"\{(\w+)\}", sql))
+    return set(re.findall(r"\{([A-Za-z_]\w*)\}", sql))
