@@ -45,18 +45,18 @@ apache-1.1 ; 88 ; apache ; this product includes software developed by the apach
 gpl ; 80 ; general public ; under the terms of the gnu general public license
 gpl-2.0-or-later ; 92 ; general public ; gnu general public license as published by the free software foundation either version 2 of the license or (?:at your option )?any later version
 gpl-3.0-or-later ; 92 ; general public ; gnu general public license as published by the free software foundation either version 3 of the license or (?:at your option )?any later version
-gpl-2.0 ; 88 ; general public ; gnu general public license (?:version|v) 2
-gpl-3.0 ; 88 ; general public ; gnu general public license (?:version|v) 3
-gpl-1.0 ; 88 ; general public ; gnu general public license (?:version|v) 1
+gpl-2.0 ; 88 ; general public ; gnu general public license (?:version |v ?)2
+gpl-3.0 ; 88 ; general public ; gnu general public license (?:version |v ?)3
+gpl-1.0 ; 88 ; general public ; gnu general public license (?:version |v ?)1
 gpl ; 75 ; free software ; this program is free software you can redistribute it and or modify
 gpl ; 60 ; general public ; you should have received a copy of the gnu general public license
 lgpl ; 82 ; lesser ; under the terms of the gnu lesser general public license
-lgpl-2.1 ; 90 ; lesser ; gnu lesser general public license (?:version|v) 2 1
-lgpl-3.0 ; 90 ; lesser ; gnu lesser general public license (?:version|v) 3
-lgpl-2.0 ; 90 ; library ; gnu library general public license (?:version|v) 2
+lgpl-2.1 ; 90 ; lesser ; gnu lesser general public license (?:version |v ?)2 1
+lgpl-3.0 ; 90 ; lesser ; gnu lesser general public license (?:version |v ?)3
+lgpl-2.0 ; 90 ; library ; gnu library general public license (?:version |v ?)2
 lgpl ; 62 ; lesser ; you should have received a copy of the gnu lesser general public license
 agpl ; 82 ; affero ; under the terms of the gnu affero general public license
-agpl-3.0 ; 90 ; affero ; gnu affero general public license (?:version|v) 3
+agpl-3.0 ; 90 ; affero ; gnu affero general public license (?:version |v ?)3
 gfdl ; 82 ; documentation license ; under the terms of the gnu free documentation license
 gfdl-1.3 ; 90 ; documentation license ; gnu free documentation license version 1 3
 gfdl-1.2 ; 90 ; documentation license ; gnu free documentation license version 1 2
@@ -64,8 +64,8 @@ gfdl ; 70 ; invariant ; with no invariant sections no front cover texts and no b
 mpl-2.0 ; 92 ; mozilla ; this source code form is subject to the terms of the mozilla public license v 2 0
 mpl-1.1 ; 92 ; mozilla ; the contents of this file are subject to the mozilla public license version 1 1
 mpl ; 75 ; mozilla ; subject to the (?:terms of the )?mozilla public license
-epl-2.0 ; 90 ; eclipse ; made available under the terms of the eclipse public license (?:version|v) ?2 0
-epl-1.0 ; 90 ; eclipse ; made available under the terms of the eclipse public license (?:version|v) ?1 0
+epl-2.0 ; 90 ; eclipse ; made available under the terms of the eclipse public license (?:version |v ?)2 0
+epl-1.0 ; 90 ; eclipse ; made available under the terms of the eclipse public license (?:version |v ?)1 0
 epl ; 75 ; eclipse ; under the terms of the eclipse public license
 cddl ; 80 ; development and distribution ; subject to the terms of the common development and distribution license
 boost ; 90 ; boost ; distributed under the boost software license version 1 0
@@ -100,9 +100,9 @@ openssl ; 85 ; openssl ; this product includes software developed by the openssl
 sleepycat ; 80 ; sleepycat ; redistributions in any form must be accompanied by information on how to obtain complete source code
 json ; 85 ; good not evil ; the software shall be used for good not evil
 beerware ; 85 ; beer ; (?:you can )?buy me a beer in return
-eupl-1.2 ; 88 ; european union public ; licensed under the eupl (?:version|v)? ?1 2
+eupl-1.2 ; 88 ; european union public ; licensed under the eupl (?:version |v ?)?1 2
 busl ; 85 ; business source ; business source license 1 1
-sspl ; 85 ; server side public ; server side public license (?:version|v) 1
+sspl ; 85 ; server side public ; server side public license (?:version |v ?)1
 commons-clause ; 85 ; commons clause ; commons clause license condition v1 0
 elastic ; 85 ; elastic ; elastic license 2 0
 ogl ; 85 ; open government ; contains public sector information licensed under the open government licence

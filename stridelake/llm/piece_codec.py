@@ -200,7 +200,10 @@ class PieceCodec:
         return surface[1:] if self.prefix and surface[:1] == " " else surface
 
     def decode(self, ids: list[int]) -> str:
-        return self._trimmed(self._surface(ids))
+        """The blank that encoding put before a text goes, if the first piece has one."""
+        first = next((i for i in ids if self.kinds[i] != _CONTROL), None)
+        surface = self._surface(ids)
+        return self._trimmed(surface) if first is not None and self.pieces[first][:1] == _SPACE else surface
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, sha256 of the ids, sha256 of the decoded text): by parts, as a byte run never crosses one."""

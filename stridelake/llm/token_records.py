@@ -125,7 +125,7 @@ class WordIds:
         for p in parts:
             low = p.lower() if p.isascii() and b"<|" not in p else p
             word = low.rstrip(b".,!?;:")
-            ids = known(word) if word != p and word else None
+            ids = known(word) if word != p and word.isalpha() else None
             if ids is None:
                 ids = stem_ids(word)
             if ids is not None and word != low:
