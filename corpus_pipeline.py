@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stridelake.llm import minhash_dedup, piece_codec, quality_rank, robust_rules, source_mix
-from stridelake.llm.common import table, written
+from stridelake.llm.common import small_batches, table, written
 from stridelake.llm.queries import tokenizer_path
 
 #: Fitted models and hashes cannot be written as SQL; tests hold the stages against plain versions.
@@ -24,18 +24,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return robust_rules.accept(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return minhash_dedup.drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return source_mix.apply(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return piece_codec.digests(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
