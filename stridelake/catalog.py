@@ -597,7 +597,7 @@ def walking_pace(duck):
 
 @query
 def gait_parameters(duck):
-    g = C.gait(_placed(duck, method="height", height_threshold=1.5), _root(duck), 0.04, 3, 5)
+    g = C.gait(_placed(duck, method="height", height_threshold=1.5), _root(duck), 0.04, 3, 5, duck=duck)
     return out(g, "clip", "cadence", "stride_length", "stride_cv", "step_length", "stance_fraction", "double_support", "pace", "asymmetry")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from stridelake.functions.vectors import norm
 from stridelake.operators.series import drop_short_runs, hysteresis, islands, release_open_runs
-from stridelake.plans.sql import median, over, percentile, stages
+from stridelake.plans.sql import last_known, median, over, percentile, stages
 
 KEYS = "clip, node"
 
@@ -44,11 +44,17 @@ def clearance(src: str, up: str = "y", share: float = 0.02, duck: bool = False)
     return f"SELECT a.*, {_height(up)} - f.floor AS clearance FROM ({src}) a JOIN ({floor_height(src, up, share, duck)}) f ON a.clip = f.clip"
 
 
+def _informed(src: str, vel: float, margin: float, duck: bool) -> str:
+    """Adds height_limit, over the partitioning that the stages before and after use too."""
+    part = f" OVER (PARTITION BY {KEYS})"
+    slow = f"CASE WHEN speed < {vel} THEN clearance END"
+    s = stages(src, {"__low": median(slow, duck) + part, "__high": percentile("clearance", 0.9, duck) + part})
+    return stages(s, {"height_limit": f"CASE WHEN __low IS NOT NULL AND __high > __low + 2.0 * {margin} THEN __low + {margin} ELSE {margin} END"})
+
+
 def informed_height(src: str, vel: float, margin: float, duck: bool = False) -> str:
     """(clip, node, limit): the median clearance of slow frames plus a margin where the clearance rises well above that, else the margin."""
-    slow = f"CASE WHEN speed < {vel} THEN clearance END"
-    g = f"SELECT clip, node, {median(slow, duck)} AS low, {percentile('clearance', 0.9, duck)} AS high FROM ({src}) GROUP BY clip, node"
-    return f"SELECT clip, node, CASE WHEN low IS NOT NULL AND high > low + 2.0 * {margin} THEN low + {margin} ELSE {margin} END AS height_limit FROM ({g})"
+    return f"SELECT clip, node, min(height_limit) AS height_limit FROM ({_informed(src, vel, margin, duck)}) GROUP BY clip, node"
 
 
 def contacts(
@@ -69,7 +75,7 @@ def contacts(
     if height_threshold is not None:
         s = stages(s, {"height_limit": f"{float(height_threshold)}"})
     elif height_reference == "velocity":
-        s = f"SELECT s.*, h.height_limit FROM ({s}) s JOIN ({informed_height(s, vel, margin, duck)}) h ON s.clip = h.clip AND s.node = h.node"
+        s = _informed(s, vel, margin, duck)
     else:
         s = stages(s, {"height_limit": f"{margin}"})
     marks = []
@@ -156,24 +162,37 @@ def walking_pace(root: str, dt: float, up: str = "y") -> str:
     return f"SELECT clip, CASE WHEN max(frame) > 0 THEN sum(__d) / (CASE WHEN max(frame) > 0 THEN max(frame) ELSE 1 END * {dt}) END AS pace FROM ({s}) GROUP BY clip"
 
 
-def gait(src: str, root: str, dt: float, left: int, right: int, up: str = "y") -> str:
+def gait(src: str, root: str, dt: float, left: int, right: int, up: str = "y", duck: bool = False) -> str:
     """One row for each clip: cadence, stride length and its variation within a foot, step length along the way,
-    stance share of a cycle, double support, pace, and asymmetry of the two feet's stance shares."""
+    stance share, double support, pace, and asymmetry of the two feet's stance shares.
+
+    ``src`` (with x, y, z and contact) is read once: landings look back at the last landing of the same
+    foot and of any foot through windows, then feet and clips are aggregated in turn.
+    """
     a, b = _ground(up)
-    s = strides(src, up)
-    by_foot = f"SELECT clip, node, avg(stride) AS m, stddev_pop(stride) AS d FROM ({s}) GROUP BY clip, node"
-    stride = f"SELECT clip, avg(stride) AS stride_length FROM ({s}) GROUP BY clip"
-    cv = f"SELECT clip, avg(CASE WHEN m > 1e-12 THEN d / (CASE WHEN m > 1e-12 THEN m ELSE 1.0 END) END) AS stride_cv FROM ({by_foot}) GROUP BY clip"
+    land = stages(src, {"__on": f"contact AND NOT lag(contact) {over(KEYS)}"})
+    land = stages(land, {"__on": "coalesce(__on, FALSE)"}, keep=f"clip, node, frame, contact, {a}, {b}")
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    look = {}
+    for tag, w in (("s", over(KEYS, frame=before)), ("t", over("clip", "frame, node", before))):
+        look |= {f"__{tag}{c}": last_known(f"CASE WHEN __on THEN {c} END", w, duck) for c in (a, b)}
+    look["__other"] = last_known("CASE WHEN __on THEN node END", over("clip", "frame, node", before), duck)
+    look["__down"] = "sum(CASE WHEN contact THEN 1 ELSE 0 END) OVER (PARTITION BY clip, frame)"
+    seen = stages(land, look)
+    gap = f"sqrt(({a} - __s{a}) * ({a} - __s{a}) + ({b} - __s{b}) * ({b} - __s{b}))"
     way = f"SELECT clip, max_by({a}, frame) - min_by({a}, frame) AS wa, max_by({b}, frame) - min_by({b}, frame) AS wb FROM ({root}) GROUP BY clip"
-    on = f"SELECT s.clip, s.node, s.frame, s.{a} AS pa, s.{b} AS pb FROM ({src}) s JOIN ({events(src)}) e ON s.clip = e.clip AND s.node = e.node AND s.frame = e.frame WHERE e.kind = 'onset'"
-    w = over("clip", "frame, node")
-    step = stages(on, {"da": f"pa - lag(pa) {w}", "db": f"pb - lag(pb) {w}", "other": f"lag(node) {w}"})
-    steps = f"SELECT t.clip, avg(CASE WHEN sqrt(wa * wa + wb * wb) > 1e-12 THEN (da * wa + db * wb) / (CASE WHEN sqrt(wa * wa + wb * wb) > 1e-12 THEN sqrt(wa * wa + wb * wb) ELSE 1.0 END) END) AS step_length FROM ({step}) t JOIN ({way}) y ON t.clip = y.clip WHERE other IS NOT NULL AND other <> node GROUP BY t.clip"
-    stance = f"SELECT clip, node, avg(CASE WHEN contact THEN 1.0 ELSE 0.0 END) AS stance FROM ({src}) GROUP BY clip, node"
-    both = f"SELECT clip, avg(CASE WHEN down >= 2 THEN 1.0 ELSE 0.0 END) AS double_support FROM (SELECT clip, frame, sum(CASE WHEN contact THEN 1 ELSE 0 END) AS down FROM ({src}) GROUP BY clip, frame) GROUP BY clip"
-    sides = f"SELECT clip, avg(stance) AS stance_fraction, max(CASE WHEN node = {left} THEN stance END) AS l, max(CASE WHEN node = {right} THEN stance END) AS r FROM ({stance}) GROUP BY clip"
-    asym = "CASE WHEN l + r > 1e-12 THEN abs(l - r) / (CASE WHEN l + r > 1e-12 THEN (l + r) / 2.0 ELSE 1.0 END) END"
-    return (
-        f"SELECT c.clip, c.cadence, d.stride_length, v.stride_cv, t.step_length, s.stance_fraction, b.double_support, p.pace, {asym} AS asymmetry FROM ({cadence(src, dt)}) c JOIN ({sides}) s ON c.clip = s.clip "
-        f"JOIN ({both}) b ON c.clip = b.clip JOIN ({walking_pace(root, dt, up)}) p ON c.clip = p.clip LEFT JOIN ({stride}) d ON c.clip = d.clip LEFT JOIN ({cv}) v ON c.clip = v.clip LEFT JOIN ({steps}) t ON c.clip = t.clip"
+    met = f"SELECT e.*, y.wa, y.wb FROM ({seen}) e JOIN ({way}) y ON e.clip = y.clip"
+    size = "sqrt(wa * wa + wb * wb)"
+    step = f"CASE WHEN __on AND __other <> node AND {size} > 1e-12 THEN (({a} - __t{a}) * wa + ({b} - __t{b}) * wb) / (CASE WHEN {size} > 1e-12 THEN {size} ELSE 1.0 END) END"
+    rows = stages(met, {"__stride": f"CASE WHEN __on THEN {gap} END", "__step": step})
+    feet = (
+        f"SELECT clip, node, max(frame) AS last, count(CASE WHEN __on THEN 1 END) AS hits, avg(__stride) AS m, stddev_pop(__stride) AS d, sum(__stride) AS total, count(__stride) AS strides, "
+        f"sum(__step) AS step_sum, count(__step) AS steps, avg(CASE WHEN contact THEN 1.0 ELSE 0.0 END) AS stance, sum(CASE WHEN __down >= 2 THEN 1.0 ELSE 0.0 END) AS both_, count(*) AS n FROM ({rows}) GROUP BY clip, node"
     )
+    share = lambda n, d: f"CASE WHEN {d} > 0 THEN {n} / (CASE WHEN {d} > 0 THEN {d} ELSE 1 END) END"
+    clip = (
+        f"SELECT clip, {share('sum(hits)', f'(max(last) * {dt})')} AS cadence, {share('sum(total)', 'sum(strides)')} AS stride_length, avg(CASE WHEN m > 1e-12 THEN d / (CASE WHEN m > 1e-12 THEN m ELSE 1.0 END) END) AS stride_cv, "
+        f"{share('sum(step_sum)', 'sum(steps)')} AS step_length, avg(stance) AS stance_fraction, sum(both_) / sum(n) AS double_support, max(CASE WHEN node = {left} THEN stance END) AS l, max(CASE WHEN node = {right} THEN stance END) AS r FROM ({feet}) GROUP BY clip"
+    )
+    asym = "CASE WHEN l + r > 1e-12 THEN abs(l - r) / (CASE WHEN l + r > 1e-12 THEN (l + r) / 2.0 ELSE 1.0 END) END"
+    return f"SELECT c.clip, cadence, stride_length, stride_cv, step_length, stance_fraction, double_support, p.pace, {asym} AS asymmetry FROM ({clip}) c JOIN ({walking_pace(root, dt, up)}) p ON c.clip = p.clip"
