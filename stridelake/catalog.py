@@ -697,10 +697,33 @@ def change_euler_order(duck):
     return out(s, "clip, frame", "n0", "n1", "n2")
 
 
+ORDERS = [x.order for x in RIG if x.joint >= 0]
+
+
+def _reoriented(duck, rest_only):
+    s = D.reorient(_motion(duck), ORDERS, D.axis_rotation("+y", "+z"), rest_only)
+    return out(s, "clip, frame", "n_root_x", "n_root_y", "n_root_z", *(f"n{j}_{k}" for j in range(len(ORDERS)) for k in range(3)))
+
+
 @query
 def reorient_world_up(duck):
-    """Everything turned so that the old up becomes the new one: positions by a fixed matrix."""
-    return out(_motion(duck), "clip, frame", x="root_x", y="-root_z", z="root_y")
+    return _reoriented(duck, False)
+
+
+@query
+def reorient_rest_up(duck):
+    return _reoriented(duck, True)
+
+
+@query
+def feature_array_full(duck):
+    """Rotations with velocities per frame and contacts of the feet."""
+    positions = K.fk_sql(_motion(duck), RIG)
+    long = " UNION ALL ".join(f"SELECT clip, frame, {i} AS node, p{i}_x AS x, p{i}_y AS y, p{i}_z AS z FROM ({positions})" for i in (4, 6))
+    v = S.differences(long, {"dx": "x", "dy": "y", "dz": "z"}, "1.0", pad="none", duck=duck, keys="clip, node")
+    c = C.contacts(long, 0.04, method="height", height_threshold=5.0, duck=duck)
+    rows = D.feature_rows(D.features(_motion(duck), ORDERS, "euler"), v, c, (4, 6), (4, 6))
+    return out(rows, "clip, frame", *(f"f{i}" for i in range(15)), *(f"v{n}_{x}" for n in (4, 6) for x in "xyz"), "contact_4", "contact_6")
 
 
 @query

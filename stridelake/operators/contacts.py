@@ -58,12 +58,12 @@ def informed_height(src: str, vel: float, margin: float, duck: bool = False) ->
 
 
 def contacts(
-    src: str, dt: float, method: str = "combined", up: str = "y", scale: float = 1.0, vel_threshold: float | None = None, height_threshold: float | None = None, smooth: float = 1 / 30,
+    src: str, dt: float, method: str = "combined", up: str = "y", scale: float = 1.0, vel_threshold: float | str | None = None, height_threshold: float | None = None, smooth: float = 1 / 30,
     min_contact: float = 0.1, min_gap: float = 0.1, band: float = 0.25, height_reference: str = "velocity", duck: bool = False,
 ) -> str:
     """(clip, frame, node, speed, clearance, contact): contact holds while a node rests on the ground.
 
-    Limits default to 0.12 of the skeleton's scale per second and 0.013 of it above the floor. Runs of
+    vel_threshold may be the name of a column of ``src``, such as each foot's own limit. Limits default to 0.12 of the skeleton's scale per second and 0.013 of it above the floor. Runs of
     contact shorter than ``min_contact`` seconds go, then gaps shorter than ``min_gap``; runs at a
     clip's ends are spared, as they may go on outside it.
     """

@@ -128,6 +128,61 @@ def harmonized(src: str, reference: str) -> str:
     return f"SELECT b.clip, first_bad IS NULL AND n = m AS kept, CASE WHEN first_bad IS NOT NULL THEN concat('node ', CAST(first_bad AS STRING)) WHEN n <> m THEN 'extra nodes' END AS reason FROM ({bad}) b JOIN ({counts}) c ON b.clip = c.clip CROSS JOIN ({size}) z"
 
 
+def uniform(lo: float, hi: float, tag: str, seed: int = 0) -> str:
+    """A draw for each clip, from a hash of (clip, tag, seed): the same on every run and partitioning."""
+    return f"({float(lo)} + {float(hi) - float(lo)} * (pmod(xxhash64(clip, '{tag}', {seed}), 9007199254740992) / 9007199254740992.0))"
+
+
+def random_translate(src: str, reach: float = 100.0, seed: int = 0) -> str:
+    return stages(src, {f"t{c}": f"{c} + {uniform(-reach, reach, c, seed)}" for c in "xyz"})
+
+
+def random_rotate_vertical(src: str, lo: float = -3.141592653589793, hi: float = 3.141592653589793, up: str = "y", seed: int = 0) -> str:
+    return rotate_vertical(src, uniform(lo, hi, "turn", seed), up)
+
+
+def random_perturb_speed(src: str, dt: float, columns: tuple[str, ...], lo: float = 0.8, hi: float = 1.2, seed: int = 0) -> str:
+    """Each clip faster by a factor of its own; the time between frames stays."""
+    return resample(src, dt, f"({1 / dt} / {uniform(lo, hi, 'speed', seed)})", columns)
+
+
+def axis_rotation(have: str, want: str) -> tuple[str, ...]:
+    """The signed permutation matrix, by rows, that turns one axis such as '+z' into another about the axis between them."""
+    unit = lambda a: [(-1 if a[0] == "-" else 1) if c == a[-1] else 0 for c in "xyz"]
+    a, b = unit(have), unit(want)
+    if a == b:
+        m = [[int(i == j) for j in range(3)] for i in range(3)]
+    elif [-x for x in a] == b:  # half a turn about the next axis
+        k = ("xyz".index(have[-1]) + 1) % 3
+        m = [[(1 if i == k else -1) if i == j else 0 for j in range(3)] for i in range(3)]
+    else:
+        v = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+        k = [[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]]
+        m = [[int(i == j) + k[i][j] + sum(k[i][n] * k[n][j] for n in range(3)) for j in range(3)] for i in range(3)]
+    return tuple(f"({float(x)})" for row in m for x in row)
+
+
+def similarity(angles: tuple[str, ...], order: str, left: tuple[str, ...] | None, right: tuple[str, ...] | None, out: str) -> list[dict[str, str]]:
+    """Stages for the angles {out}0..2 of left R right, in the same order."""
+    m = R.names(f"{out}_m", 9)
+    turned = R.matmul(left, m) if left else m
+    turned = R.matmul(turned, right) if right else turned
+    return [*R.euler_to_matrix(angles, order, f"{out}_m"), dict(zip(R.names(f"{out}_t", 9), turned)), *R.matrix_to_euler(R.names(f"{out}_t", 9), order, out)]
+
+
+def reorient(src: str, orders: list[str], m: tuple[str, ...], rest_only: bool) -> str:
+    """root_* and a{joint}_* after a change of axes by the matrix m, as n_root_* and n{joint}_*.
+
+    For a new world up everything turns: positions by m, joints to m R m'. For a new rest pose only the
+    offsets turn (see ``Topology.turned``), and angles make up for it: the root to R m', others to m R m'.
+    """
+    back = R.transpose(m)
+    steps = [dict(zip(("n_root_x", "n_root_y", "n_root_z"), ("root_x", "root_y", "root_z") if rest_only else R.apply(m, ("root_x", "root_y", "root_z"))))]
+    for j, order in enumerate(orders):
+        steps += similarity(tuple(f"a{j}_{k}" for k in range(3)), order, None if rest_only and j == 0 else m, back, f"n{j}_")
+    return stages(src, *steps)
+
+
 WIDTHS = {"euler": 3, "axisangle": 3, "quat": 4, "6d": 6, "rotmat": 9}
 
 
@@ -152,6 +207,18 @@ def features(src: str, orders: list[str], representation: str = "6d") -> str:
     return f"SELECT clip, frame, {', '.join(f'{c} AS f{i}' for i, c in enumerate(cols))} FROM ({stages(src, *steps)})"
 
 
+def feature_rows(base: str, velocities: str | None = None, contacts: str | None = None, nodes: tuple[int, ...] = (), feet: tuple[int, ...] = ()) -> str:
+    """``base`` joined with columns v{node}_x .. and contact_{node} of long relations; frames without a velocity go."""
+    sql = base
+    if velocities:
+        cols = ", ".join(f"max(CASE WHEN node = {n} THEN d{c} END) AS v{n}_{c}" for n in nodes for c in "xyz")
+        sql = f"SELECT a.*, {', '.join(f'b.v{n}_{c}' for n in nodes for c in 'xyz')} FROM ({sql}) a JOIN (SELECT clip, frame, {cols} FROM ({velocities}) GROUP BY clip, frame) b ON a.clip = b.clip AND a.frame = b.frame"
+    if contacts:
+        cols = ", ".join(f"CAST(max(CASE WHEN node = {n} AND contact THEN 1 ELSE 0 END) AS DOUBLE) AS contact_{n}" for n in feet)
+        sql = f"SELECT a.*, {', '.join(f'b.contact_{n}' for n in feet)} FROM ({sql}) a JOIN (SELECT clip, frame, {cols} FROM ({contacts}) GROUP BY clip, frame) b ON a.clip = b.clip AND a.frame = b.frame"
+    return sql
+
+
 def snap_frame_time(expr: str) -> str:
     """The nearest whole rate's frame time where it is within 1e-4 of it, else as it is."""
     rate = f"round(1.0 / {expr})"

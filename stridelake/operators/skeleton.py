@@ -154,6 +154,11 @@ class Topology(tuple):
             level = [k for k, c in enumerate(self) if c.parent in level]
         return i
 
+    def turned(self, m: Sequence[str | float]) -> Topology:
+        """All offsets turned by a matrix of nine values."""
+        r = np.array([float(str(x).strip("()")) for x in m]).reshape(3, 3)
+        return Topology([Node(n.name, n.parent, n.joint, n.order, tuple(r @ np.array(n.offset))) for n in self])
+
     def mirrored(self, pairs: dict[str, str], lateral: int) -> Topology:
         """Offsets mirrored across the lateral axis and swapped between the named partners."""
         partner = pairs | {b: a for a, b in pairs.items()}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridelake.operators import contacts as C
+from stridelake.operators import kernels as KR
 from stridelake.operators import pose as P
 from stridelake.operators import series as S
 from stridelake.operators import skeleton as K
@@ -98,13 +99,41 @@ class MotionSet:
     def kinetic_energy(self) -> DataFrame:
         return apply(self.joint_positions(), P.kinetic_energy("SELECT * FROM {t}", str(self.frame_time)))
 
-    def foot_contacts(self, feet: list[str] | None = None, **options) -> DataFrame:
+    def foot_contacts(self, feet: list[str] | None = None, adaptive: bool = False, **options) -> DataFrame:
         nodes = [self.index(f) for f in feet] if feet else self.topology.feet()
         if not nodes:
             raise ValueError("no feet found: name them")
         rest = self.topology.rest_positions()
         scale = sum(float((rest[i] ** 2).sum() ** 0.5) for i in nodes) / len(nodes) or 1.0
-        return apply(self.positions().where(F.col("node").isin(nodes)), C.contacts("SELECT * FROM {t}", self.frame_time, up=self.up, scale=scale, **options))
+        feet_only = self.positions().where(F.col("node").isin(nodes))
+        if adaptive:
+            speeds = apply(feet_only, C.foot_speed("SELECT * FROM {t}", self.frame_time))
+            limits = KR.adaptive_threshold(speeds, 0.12 * scale).withColumnRenamed("threshold", "vel_limit")
+            feet_only, options = feet_only.join(limits, ["clip", "node"]), options | {"vel_threshold": "vel_limit"}
+        return apply(feet_only, C.contacts("SELECT * FROM {t}", self.frame_time, up=self.up, scale=scale, **options))
+
+    def resample(self, fps: float) -> MotionSet:
+        orders = [n.order for n in self.topology if n.joint >= 0]
+        return replace(self, frames=KR.resample_frames(self.frames, orders, self.frame_time, fps), frame_time=1 / fps)
+
+    def concat(self, other: MotionSet) -> MotionSet:
+        """Frames of clips of ``other`` after those of the same clip here; names and orders must agree."""
+        if [(n.name, n.order) for n in self.topology] != [(n.name, n.order) for n in other.topology]:
+            raise ValueError("the skeletons have different names or orders")
+        ends = self.frames.groupBy("clip").agg((F.max("frame") + 1).alias("n"))
+        moved = other.frames.join(ends, "clip", "left").select("clip", (F.col("frame") + F.coalesce("n", F.lit(0))).alias("frame"), "root", "angles")
+        return replace(self, frames=self.frames.select("clip", "frame", "root", "angles").unionByName(moved))
+
+    def harmonize(self, fps: float | None = None, skeleton: K.Topology | None = None) -> MotionSet:
+        """One skeleton's offsets, then one rate where it differs by more than 0.01."""
+        s = self.retarget(skeleton) if skeleton else self
+        return s.resample(fps) if fps and abs(fps - s.fps) > 0.01 else s
+
+    def equals(self, other: MotionSet) -> bool:
+        """Same skeleton, rate and frames, exactly."""
+        same = self.topology == other.topology and self.frame_time == other.frame_time
+        cols = ["clip", "frame", "root", "angles"]
+        return same and not self.frames.select(cols).exceptAll(other.frames.select(cols)).limit(1).count() and not other.frames.select(cols).exceptAll(self.frames.select(cols)).limit(1).count()
 
     def retarget(self, other: K.Topology, names: dict[str, str] | None = None, strict: bool = False) -> MotionSet:
         return replace(self, topology=self.topology.retarget(other, names, strict))

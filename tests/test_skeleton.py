@@ -189,3 +189,44 @@ def test_streams(spark, tmp_path):
     w = causal.windowed_stats(spark.createDataFrame(rows, schema), "k", "ts", "v", "3 seconds").orderBy("start").collect()
     assert [(r.n, r.most) for r in w] == [(3, 4.0), (3, 25.0)]
     assert causal.sessions(spark.createDataFrame(rows, schema), "k", "ts", "2 seconds").first().n == 6
+
+
+def test_reorientation_keeps_the_motion(spark):
+    from stridelake.operators import dataset as D
+
+    root, angles = motion(5, 3)
+    cols = ", ".join([f"root[{i}] AS root_{c}" for i, c in enumerate("xyz")] + [f"angles[{3 * j + k}] AS a{j}_{k}" for j in range(4) for k in range(3)])
+    orders = [n.order for n in RIG if n.joint >= 0]
+    want = K.pose_arrays(RIG, root, angles)
+    for have, new in (("+y", "+z"), ("+y", "-y"), ("+y", "-x"), ("+y", "+y")):
+        m = D.axis_rotation(have, new)
+        r = np.array([float(x.strip("()")) for x in m]).reshape(3, 3)
+        axis = lambda a: np.eye(3)["xyz".index(a[1])] * (-1 if a[0] == "-" else 1)
+        assert np.allclose(r @ axis(have), axis(new)) and np.linalg.det(r) == pytest.approx(1)
+        for rest_only in (False, True):
+            df = apply(arrays(spark, root, angles), D.reorient(f"SELECT clip, frame, {cols} FROM {{t}}", orders, m, rest_only)).orderBy("frame").collect()
+            new_root = np.array([[x.n_root_x, x.n_root_y, x.n_root_z] for x in df])
+            new_angles = np.array([[[x[f"n{j}_{k}"] for k in range(3)] for j in range(4)] for x in df])
+            got = K.pose_arrays(RIG.turned(m), new_root, new_angles)
+            assert np.allclose(got, want if rest_only else want @ r.T, atol=1e-6)
+
+
+def test_set_operations(spark):
+    from stridelake.operators import dataset as D
+    from stridelake.operators import kernels as KR
+
+    root, angles = motion(9, 4)
+    s = MotionSet(RIG, arrays(spark, root, angles), 0.1)
+    same = s.resample(10.0)
+    assert same.equals(s) or np.allclose([K.pose_arrays(RIG, np.array([r.root]), np.array(r.angles).reshape(1, 4, 3)) for r in same.frames.orderBy("frame").collect()], K.pose_arrays(RIG, root, angles)[:, None], atol=1e-6)
+    assert s.harmonize(20.0).frames.count() == 17 and s.harmonize(10.0) is s and s.concat(s).frames.agg({"frame": "max"}).first()[0] == 17
+    assert s.equals(s) and not s.equals(s.scale(2.0))
+    q = KR._quaternions(np.array([np.eye(3), np.diag([1.0, -1, -1])]))
+    assert np.allclose(np.abs(q), [[1, 0, 0, 0], [0, 1, 0, 0]])
+    mid, turned = KR.resample_motion(np.zeros((2, 3)), np.array([[[0.0, 0, 0]], [[1.0, 0, 0]]]), ["ZYX"], 1.0, 2.0)
+    assert np.allclose(turned[1, 0], [0.5, 0, 0]) and len(mid) == 3
+    assert s.foot_contacts(["LeftFoot", "RightFoot"], adaptive=True).count() == 18 and s.foot_contacts(["LeftFoot", "RightFoot"]).columns[-1] == "contact"
+    t = s.trajectory("Hips")
+    for sql in (D.random_translate("SELECT * FROM {t}"), D.random_rotate_vertical("SELECT * FROM {t}"), D.random_perturb_speed("SELECT * FROM {t}", 0.1, ("x", "y", "z"))):
+        a, b = apply(t, sql).orderBy("frame").collect(), apply(t.repartition(3), sql).orderBy("frame").collect()
+        assert a == b and len(a) >= 7
