@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -35,12 +37,29 @@ def shared_dir(spark: SparkSession) -> str:
         return known.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    known = "file://" + tempfile.mkdtemp(prefix="stridelake-")
+    folder = tempfile.mkdtemp(prefix="stridelake-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    known = f"file://{folder}"
     spark.sparkContext.setCheckpointDir(known)
     spark.conf.set("spark.checkpoint.dir", known)
     return known
 
 
+_MARKED: set[str] = set()
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The part of the shared folder for this application's intermediate tables; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/stridelake/{spark.sparkContext.applicationId}"
+    if path not in _MARKED:
+        _MARKED.add(path)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and stored in the shared folder; its lineage ends there."""
     spark = df.sparkSession
@@ -51,7 +70,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: columnar, with sizes that the planner sees."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stridelake/{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -33,7 +33,6 @@ _CLASS[[33, 63]] = 4
 _CLASS[[ord(c) for c in "#$%&*<>=+^~@_\\{}[]"]] = 5
 _CLASS[[ord("|")]] = 6
 _CLASS[[ord(c) for c in ".,;:'\"()-/`"]] = 8
-_ONES = np.ones(256, np.uint8)
 FEATURES = ("length", "upper", "digit", "shout", "symbol", "bar", "stop", "word", "adjacent", "repeat", "lines", "marked", "shouting", "symbols")
 
 
@@ -114,22 +113,28 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = 100_000, l2: float = 1e-3,
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Ranker:
     """Fits on labelled rows that are not held out: at most ``max_labelled`` ids, by smallest hash.
 
-    Null ids and null labels teach nothing; an id labelled twice takes its smaller label; of texts
-    that repeat under one id each is an example.
+    Null ids and null labels teach nothing; an id labelled twice takes its smaller label; texts that
+    repeat under one id count as one example, their features averaged.
     """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("good")).where("doc_id is not null and good is not null")
     known = known.where(~held_out()).groupBy("doc_id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     texts = as_bytes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    names = [f"x{i}" for i in range(len(FEATURES))]
+    kind = dict(docs.dtypes)[doc_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = matrix(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["good", "x"])
-
-    # max_labelled rows of 16 bytes bound what is broadcast, and of 14 numbers what is collected
-    rows = texts.join(F.broadcast(known), "doc_id").select(F.col("good").cast("int").alias("good"), "text").mapInArrow(run, "good int, x array<double>").orderBy("good", "x").toArrow()
-    x = np.array(rows.column("x").to_pylist(), np.float64).reshape(rows.num_rows, len(FEATURES))
-    return fit(x, rows.column("good").to_numpy())
+            x = matrix(b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c) for c in x.T)], ["doc_id", "good", *names])
+
+    # max_labelled rows of 16 bytes bound what is broadcast, and of 15 numbers what is collected
+    rows = texts.join(F.broadcast(known), "doc_id").select("doc_id", F.col("good").cast("int").alias("good"), "text")
+    rows = rows.mapInArrow(run, f"doc_id {kind}, good int, " + ", ".join(f"{n} double" for n in names))
+    rows = rows.groupBy("doc_id").agg(F.min("good").alias("good"), *[F.avg(n).alias(n) for n in names]).toArrow()
+    x = np.stack([rows.column(n).to_numpy() for n in names], axis=1)
+    good = rows.column("good").to_numpy()
+    order = np.lexsort((*x.T, good))  # the fit must not depend on the order in which tasks end
+    return fit(x[order], good[order])
 
 
 def score(docs: DataFrame, ranker: Ranker, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

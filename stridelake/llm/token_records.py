@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import as_bytes, shared_dir
+from stridelake.llm.common import as_bytes, work_dir
 
 _NULL = -(1 << 63)
 _HEAD = struct.Struct("<QI")
@@ -245,12 +245,13 @@ def read_records(spark: SparkSession, folder: str, shards: list[tuple[str, int]]
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | None = None, **options) -> DataFrame:
-    """Writes ``docs`` and reads the files back: (doc_id, start, n_tokens, ids_crc32).
+    """Writes ``docs`` and reads the files back: (doc_id, start, n_tokens, ids_crc32). Without a ``folder`` the files
+    go when the application ends.
 
     The driver gets one row for each shard file, whatever the number of documents.
     """
     spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark)}/stridelake/records-{uuid.uuid4().hex}"
+    folder = folder or f"{work_dir(spark)}/records-{uuid.uuid4().hex}"
     done = sorted({(r.shard, r.name, r.tokens) for r in write_records(docs, folder, tokenizer_path, end_id, **options).collect()})
     shards, start = [], 0
     for _, name, tokens in done:
