@@ -512,7 +512,7 @@ def angular_velocities(duck):
 @query
 def root_trajectory(duck):
     """Ground position, sine and cosine of the heading, and the heading's rate after unwrapping."""
-    s = stages(roles.turning(duck), *R.quat_to_matrix(_e(4), "m"), {"heading": "atan2(m2, m8)"})
+    s = stages(roles.turning(duck), *R.quat_to_matrix(_e(4), "m"), {"heading": "atan2(m8, m2)"})
     s = S.differences(S.unwrap_angles(s, "heading", "whole"), {"rate": "whole"}, DT, duck=duck)
     return out(s, "clip, frame", ga="e1", gb="e2", sin_h="sin(heading)", cos_h="cos(heading)", rate="rate")
 
@@ -536,6 +536,11 @@ def foot_speed(duck):
     return out(C.foot_speed(_feet(duck), 0.04), "clip, frame, node", "speed")
 
 
+@query
+def foot_speed_smoothed(duck):
+    return out(C.foot_speed(_feet(duck), 0.04, 0.17), "clip, frame, node", "speed")
+
+
 @query
 def floor_height(duck):
     return out(C.floor_height(roles.pose(duck), duck=duck), "clip", floor_="floor")
@@ -573,7 +578,12 @@ def contact_diagnostics(duck):
 
 @query
 def contact_confidence(duck):
-    return out(C.confidence(_contacts(duck, method="height", height_threshold=1.5), 60.0, 1.5), "clip, node", "confidence")
+    return out(C.confidence(_contacts(duck, vel_threshold=60.0, details=True)), "clip, node", "confidence")
+
+
+@query
+def contact_confidence_height(duck):
+    return out(C.confidence(_contacts(duck, method="height", height_threshold=1.5, details=True), "height"), "clip, node", "confidence")
 
 
 @query
@@ -674,8 +684,8 @@ def skeleton_size(duck):
 
 @query
 def l_r_name_pairs(duck):
-    words = "SELECT 'rig:LeftLeg' AS name UNION ALL SELECT 'rig:RightLeg' UNION ALL SELECT 'arm_l.001' UNION ALL SELECT 'arm_r.001' UNION ALL SELECT 'LHand' UNION ALL SELECT 'RHand' UNION ALL SELECT 'Spine'"
-    return K.lr_pairs_sql(words)
+    words = ("rig:LeftLeg", "rig:RightLeg", "arm_l.001", "arm_r.001", "arm_r", "LHand", "RHand", "Spine", "eye.Left", "eye.Right", "upperleftlip", "upperrightlip", "LEFTTOE", "Left", "tail_L")
+    return K.lr_pairs_sql(" UNION ALL ".join(f"SELECT '{w}' AS name" for w in words))
 
 
 @query

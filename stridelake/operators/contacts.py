@@ -23,12 +23,19 @@ def _frames(seconds: float, dt: float) -> int:
 
 
 def foot_speed(src: str, dt: float, smooth: float = 1 / 30) -> str:
-    """Column speed: steps averaged as vectors over a short window, then their length per second; frame 0 copies frame 1."""
+    """Column speed: steps averaged as vectors over a short window (ends repeated), then their length per second; frame 0 copies frame 1."""
     w = over(KEYS)
     step = stages(src, {f"s{c}": f"{c} - lag({c}) {w}" for c in "xyz"})
     n = _frames(smooth, dt)
     lo, hi = (n - 1) // 2, n // 2
-    mean = {f"m{c}": f"avg(s{c}) {over(KEYS, frame=f'ROWS BETWEEN {lo} PRECEDING AND {hi} FOLLOWING')}" for c in "xyz"} if n > 1 else {f"m{c}": f"s{c}" for c in "xyz"}
+    if n > 1:
+        part = f"OVER (PARTITION BY {KEYS})"
+        step = stages(step, {"__last": f"max(frame) {part}"} | {f"__a{c}": f"max(CASE WHEN frame = 1 THEN s{c} END) {part}" for c in "xyz"})
+        step = stages(step, {f"__b{c}": f"max(CASE WHEN frame = __last THEN s{c} END) {part}" for c in "xyz"})
+        inside = over(KEYS, frame=f"ROWS BETWEEN {lo} PRECEDING AND {hi} FOLLOWING")
+        mean = {f"m{c}": f"(sum(s{c}) {inside} + greatest({lo} - (frame - 1), 0) * __a{c} + greatest(frame + {hi} - __last, 0) * __b{c}) / {float(n)}" for c in "xyz"}
+    else:
+        mean = {f"m{c}": f"s{c}" for c in "xyz"}
     s = stages(step, mean)
     s = stages(s, {"__v": f"CASE WHEN frame = 0 THEN NULL ELSE {norm(('mx', 'my', 'mz'))} / {dt} END"})
     return stages(s, {"speed": f"coalesce(__v, lead(__v) {w}, 0.0)"})
@@ -59,13 +66,13 @@ def informed_height(src: str, vel: float, margin: float, duck: bool = False) ->
 
 def contacts(
     src: str, dt: float, method: str = "combined", up: str = "y", scale: float = 1.0, vel_threshold: float | str | None = None, height_threshold: float | None = None, smooth: float = 1 / 30,
-    min_contact: float = 0.1, min_gap: float = 0.1, band: float = 0.25, height_reference: str = "velocity", duck: bool = False,
+    min_contact: float = 0.1, min_gap: float = 0.1, band: float = 0.25, height_reference: str = "velocity", details: bool = False, duck: bool = False,
 ) -> str:
     """(clip, frame, node, speed, clearance, contact): contact holds while a node rests on the ground.
 
     vel_threshold may be the name of a column of ``src``, such as each foot's own limit. Limits default to 0.12 of the skeleton's scale per second and 0.013 of it above the floor. Runs of
     contact shorter than ``min_contact`` seconds go, then gaps shorter than ``min_gap``; runs at a
-    clip's ends are spared, as they may go on outside it.
+    clip's ends are spared, as they may go on outside it. With ``details`` come the masks and limits.
     """
     if method not in ("velocity", "height", "combined"):
         raise ValueError("method is velocity, height or combined")
@@ -74,7 +81,7 @@ def contacts(
     s = clearance(foot_speed(src, dt, smooth), up, duck=duck)
     if height_threshold is not None:
         s = stages(s, {"height_limit": f"{float(height_threshold)}"})
-    elif height_reference == "velocity":
+    elif height_reference == "velocity" and method == "combined":
         s = _informed(s, vel, margin, duck)
     else:
         s = stages(s, {"height_limit": f"{margin}"})
@@ -92,35 +99,39 @@ def contacts(
     s = stages(s, {"raw_contact": " AND ".join(marks)})
     s = drop_short_runs(s, "raw_contact", _frames(min_contact, dt), True, "opened", KEYS, "__p")
     s = drop_short_runs(s, "opened", _frames(min_gap, dt), False, "contact", KEYS, "__q")
-    return f"SELECT clip, frame, node, speed, clearance, contact FROM ({s})"
+    more = f", raw_contact, {', '.join(marks)}, {vel} AS vel_limit, height_limit" if details else ""
+    return f"SELECT clip, frame, node, speed, clearance, contact{more} FROM ({s})"
 
 
 def _bare(sql: str, duck: bool, *names: str) -> str:
     return f"SELECT * {'EXCLUDE' if duck else 'EXCEPT'} ({', '.join(names)}) FROM ({sql})"
 
 
-def diagnostics(src: str, scale: float = 1.0) -> str:
+def diagnostics(src: str, scale: float = 1.0, up: str = "y") -> str:
     """(clip, node, mean_skate, max_skate, contact_height, airborne) of contact rows with x, y, z.
 
-    Skate is the farthest a node strays from where a run of two frames or more began, over the scale;
-    airborne is the share of frames in which no node is down.
+    Skate is how far on the ground a node strays from where a run of two frames or more began, over the
+    scale, 0 without such runs; airborne is the share of frames in which no node is down.
     """
+    a, b = _ground(up)
     s = islands(src, "contact", KEYS, "__i")
     part = "OVER (PARTITION BY clip, node, __i ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
-    s = stages(s, {f"o{c}": f"{c} - first_value({c}) {part}" for c in "xyz"} | {"__n": f"count(*) {part}"})
-    run = f"SELECT clip, node, __i, max({norm(('ox', 'oy', 'oz'))}) / {scale} AS drift FROM ({s}) WHERE contact AND __n >= 2 GROUP BY clip, node, __i"
-    skate = f"SELECT clip, node, avg(drift) AS mean_skate, max(drift) AS max_skate FROM ({run}) GROUP BY clip, node"
-    height = f"SELECT clip, node, avg(CASE WHEN contact THEN clearance END) AS contact_height FROM ({src}) GROUP BY clip, node"
-    air = f"SELECT clip, avg(down) AS airborne FROM (SELECT clip, frame, CASE WHEN max(CASE WHEN contact THEN 1 ELSE 0 END) = 0 THEN 1.0 ELSE 0.0 END AS down FROM ({src}) GROUP BY clip, frame) GROUP BY clip"
-    return f"SELECT h.clip, h.node, k.mean_skate, k.max_skate, h.contact_height, a.airborne FROM ({height}) h LEFT JOIN ({skate}) k ON h.clip = k.clip AND h.node = k.node JOIN ({air}) a ON h.clip = a.clip"
+    s = stages(s, {f"o{c}": f"{c} - first_value({c}) {part}" for c in (a, b)} | {"__n": f"count(*) {part}", "__down": "sum(CASE WHEN contact THEN 1 ELSE 0 END) OVER (PARTITION BY clip, frame)"})
+    drift = f"max(CASE WHEN contact AND __n >= 2 THEN sqrt(o{a} * o{a} + o{b} * o{b}) END)"
+    run = f"SELECT clip, node, __i, {drift} / {scale} AS drift, sum(CASE WHEN contact THEN clearance END) AS h, count(CASE WHEN contact THEN 1 END) AS c, count(*) AS n, count(CASE WHEN __down = 0 THEN 1 END) AS air FROM ({s}) GROUP BY clip, node, __i"
+    return f"SELECT clip, node, coalesce(avg(drift), 0.0) AS mean_skate, coalesce(max(drift), 0.0) AS max_skate, CASE WHEN sum(c) > 0 THEN sum(h) / (CASE WHEN sum(c) > 0 THEN sum(c) ELSE 1 END) END AS contact_height, sum(air) / sum(n) AS airborne FROM ({run}) GROUP BY clip, node"
 
 
-def confidence(src: str, vel: float, height: float) -> str:
-    """(clip, node, confidence): the mean clipped margin below both limits over contact frames, times how often the two agree, rooted."""
-    m = lambda v, t: f"least(greatest(({t} - {v}) / {t}, 0.0), 1.0)"
-    margin = f"(({m('speed', vel)}) + ({m('clearance', height)})) / 2.0"
-    agree = f"CASE WHEN (speed < {vel}) = (clearance < {height}) THEN 1.0 ELSE 0.0 END"
-    return f"SELECT clip, node, sqrt(avg(CASE WHEN contact THEN {margin} END) * avg({agree})) AS confidence FROM ({src}) GROUP BY clip, node"
+def confidence(src: str, method: str = "combined") -> str:
+    """(clip, node, confidence) of ``contacts(..., details=True)``: the mean margin below the limits over contact frames,
+    for the combined method times the share of frames in which the two masks agree, rooted; 0 without contact."""
+    pair = {"velocity": ("speed", "vel_limit"), "height": ("clearance", "height_limit")}
+    used = [pair[m] for m in pair if method in (m, "combined")]
+    margin = " + ".join(f"least(greatest(({t} - {v}) / {t}, 0.0), 1.0)" for v, t in used)
+    mean = f"coalesce(avg(CASE WHEN raw_contact THEN ({margin}) / {float(len(used))} END), 0.0)"
+    if method == "combined":
+        mean = f"sqrt({mean} * avg(CASE WHEN mask_velocity = mask_height THEN 1.0 ELSE 0.0 END))"
+    return f"SELECT clip, node, {mean} AS confidence FROM ({src}) GROUP BY clip, node"
 
 
 def events(src: str) -> str:
@@ -163,36 +174,39 @@ def walking_pace(root: str, dt: float, up: str = "y") -> str:
 
 
 def gait(src: str, root: str, dt: float, left: int, right: int, up: str = "y", duck: bool = False) -> str:
-    """One row for each clip: cadence, stride length and its variation within a foot, step length along the way,
-    stance share, double support, pace, and asymmetry of the two feet's stance shares.
+    """One row for each clip: cadence, stride length, its variation within feet, step length along the way,
+    stance share of a cycle, double support, pace, and asymmetry of the two feet's strides.
 
     ``src`` (with x, y, z and contact) is read once: landings look back at the last landing of the same
     foot and of any foot through windows, then feet and clips are aggregated in turn.
     """
     a, b = _ground(up)
-    land = stages(src, {"__on": f"contact AND NOT lag(contact) {over(KEYS)}"})
-    land = stages(land, {"__on": "coalesce(__on, FALSE)"}, keep=f"clip, node, frame, contact, {a}, {b}")
+    was = f"lag(contact) {over(KEYS)}"
+    land = stages(src, {"__on": f"coalesce(contact AND NOT {was}, FALSE)", "__off": f"coalesce(NOT contact AND {was}, FALSE)"}, keep=f"clip, node, frame, contact, {a}, {b}")
     before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    look = {}
-    for tag, w in (("s", over(KEYS, frame=before)), ("t", over("clip", "frame, node", before))):
-        look |= {f"__{tag}{c}": last_known(f"CASE WHEN __on THEN {c} END", w, duck) for c in (a, b)}
-    look["__other"] = last_known("CASE WHEN __on THEN node END", over("clip", "frame, node", before), duck)
-    look["__down"] = "sum(CASE WHEN contact THEN 1 ELSE 0 END) OVER (PARTITION BY clip, frame)"
+    own, any_ = over(KEYS, frame=before), over("clip", "frame, node", before)
+    known = lambda flag, c, w: last_known(f"CASE WHEN {flag} THEN {c} END", w, duck)
+    look = {f"__{tag}{c}": known("__on", c, w) for tag, w in (("s", own), ("t", any_)) for c in (a, b)}
+    look |= {"__o0": known("__on", "frame", own), "__up": known("__off", "frame", own), "__down": "sum(CASE WHEN contact THEN 1 ELSE 0 END) OVER (PARTITION BY clip, frame)", "__feet": "count(*) OVER (PARTITION BY clip, frame)"}
     seen = stages(land, look)
     gap = f"sqrt(({a} - __s{a}) * ({a} - __s{a}) + ({b} - __s{b}) * ({b} - __s{b}))"
     way = f"SELECT clip, max_by({a}, frame) - min_by({a}, frame) AS wa, max_by({b}, frame) - min_by({b}, frame) AS wb FROM ({root}) GROUP BY clip"
     met = f"SELECT e.*, y.wa, y.wb FROM ({seen}) e JOIN ({way}) y ON e.clip = y.clip"
     size = "sqrt(wa * wa + wb * wb)"
-    step = f"CASE WHEN __on AND __other <> node AND {size} > 1e-12 THEN (({a} - __t{a}) * wa + ({b} - __t{b}) * wb) / (CASE WHEN {size} > 1e-12 THEN {size} ELSE 1.0 END) END"
-    rows = stages(met, {"__stride": f"CASE WHEN __on THEN {gap} END", "__step": step})
+    step = f"CASE WHEN __on AND {size} > 1e-12 THEN abs(({a} - __t{a}) * wa + ({b} - __t{b}) * wb) / (CASE WHEN {size} > 1e-12 THEN {size} ELSE 1.0 END) END"
+    stance = "CASE WHEN __on AND __up > __o0 THEN (__up - __o0) / CAST(frame - __o0 AS DOUBLE) END"
+    rows = stages(met, {"__stride": f"CASE WHEN __on THEN {gap} END", "__step": step, "__stance": stance})
     feet = (
-        f"SELECT clip, node, max(frame) AS last, count(CASE WHEN __on THEN 1 END) AS hits, avg(__stride) AS m, stddev_pop(__stride) AS d, sum(__stride) AS total, count(__stride) AS strides, "
-        f"sum(__step) AS step_sum, count(__step) AS steps, avg(CASE WHEN contact THEN 1.0 ELSE 0.0 END) AS stance, sum(CASE WHEN __down >= 2 THEN 1.0 ELSE 0.0 END) AS both_, count(*) AS n FROM ({rows}) GROUP BY clip, node"
+        f"SELECT clip, node, max(frame) AS last, count(CASE WHEN __on THEN 1 END) AS hits, avg(__stride) AS m, var_pop(__stride) AS v, sum(__stride) AS total, count(__stride) AS strides, sum(__step) AS step_sum, count(__step) AS steps, "
+        f"sum(__stance) AS stance_sum, count(__stance) AS cycles, sum(CASE WHEN __down >= 2 THEN 1 ELSE 0 END) AS both_, count(*) AS n, max(__feet) AS feet FROM ({rows}) GROUP BY clip, node"
     )
     share = lambda n, d: f"CASE WHEN {d} > 0 THEN {n} / (CASE WHEN {d} > 0 THEN {d} ELSE 1 END) END"
+    pooled = "sum(CASE WHEN strides >= 2 THEN strides END)"
     clip = (
-        f"SELECT clip, {share('sum(hits)', f'(max(last) * {dt})')} AS cadence, {share('sum(total)', 'sum(strides)')} AS stride_length, avg(CASE WHEN m > 1e-12 THEN d / (CASE WHEN m > 1e-12 THEN m ELSE 1.0 END) END) AS stride_cv, "
-        f"{share('sum(step_sum)', 'sum(steps)')} AS step_length, avg(stance) AS stance_fraction, sum(both_) / sum(n) AS double_support, max(CASE WHEN node = {left} THEN stance END) AS l, max(CASE WHEN node = {right} THEN stance END) AS r FROM ({feet}) GROUP BY clip"
+        f"SELECT clip, {share('sum(hits)', f'(max(last) * {dt})')} AS cadence, {share('sum(total)', 'sum(strides)')} AS stride_length, {share('sum(CASE WHEN strides >= 2 THEN v * strides END)', pooled)} AS variance, "
+        f"{share('sum(step_sum)', 'sum(steps)')} AS step_length, {share('sum(stance_sum)', 'sum(cycles)')} AS stance_fraction, CASE WHEN max(feet) >= 2 THEN sum(both_) / CAST(sum(n) AS DOUBLE) END AS double_support, "
+        f"max(CASE WHEN node = {left} THEN m END) AS l, max(CASE WHEN node = {right} THEN m END) AS r FROM ({feet}) GROUP BY clip"
     )
+    cv = "CASE WHEN stride_length > 1e-12 THEN sqrt(variance) / (CASE WHEN stride_length > 1e-12 THEN stride_length ELSE 1.0 END) END"
     asym = "CASE WHEN l + r > 1e-12 THEN abs(l - r) / (CASE WHEN l + r > 1e-12 THEN (l + r) / 2.0 ELSE 1.0 END) END"
-    return f"SELECT c.clip, cadence, stride_length, stride_cv, step_length, stance_fraction, double_support, p.pace, {asym} AS asymmetry FROM ({clip}) c JOIN ({walking_pace(root, dt, up)}) p ON c.clip = p.clip"
+    return f"SELECT c.clip, cadence, stride_length, {cv} AS stride_cv, step_length, stance_fraction, double_support, p.pace, {asym} AS asymmetry FROM ({clip}) c JOIN ({walking_pace(root, dt, up)}) p ON c.clip = p.clip"

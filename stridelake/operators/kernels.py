@@ -29,17 +29,14 @@ def _grouped(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order:
 
 
 def ellipsoid(points: np.ndarray) -> dict:
-    """Axes of the population covariance, radii grown so that every point is inside; an axis without spread has radius 0."""
+    """Axes of the population covariance; radii from the largest projections, grown together until every point is inside."""
     centre = points.mean(0)
     off = points - centre
-    value, axes = np.linalg.eigh(off.T @ off / len(points))
-    turned = off @ axes
-    radii = np.sqrt(np.maximum(value, 0))
-    wide = radii > 1e-12
-    reach = np.sqrt(((turned[:, wide] / radii[wide]) ** 2).sum(1).max()) if wide.any() else 0.0
-    out = {f"c{c}": centre[i] for i, c in enumerate("xyz")}
-    radii = np.where(wide, radii * reach, 0.0)
-    return out | {f"r{i}": radii[i] for i in range(3)} | {"volume": 4 / 3 * np.pi * radii.prod()}
+    turned = off @ np.linalg.eigh(off.T @ off / len(points))[1]
+    radii = np.abs(turned).max(0)
+    reach = np.sqrt(((turned / np.where(radii > 1e-12, radii, 1.0)) ** 2).sum(1).max())
+    radii = radii * reach
+    return {f"c{c}": centre[i] for i, c in enumerate("xyz")} | {f"r{i}": radii[i] for i in range(3)} | {"volume": 4 / 3 * np.pi * radii.prod()}
 
 
 def bounding_ellipsoid(df: DataFrame, keys: Sequence[str] = ("clip", "frame")) -> DataFrame:

@@ -88,10 +88,10 @@ class Topology(tuple):
             i, d = self[i].parent, d + 1
         return d
 
-    def feet(self) -> list[int]:
-        """Nodes named like feet or toes with an end site or toe below, the most distal of a chain, by rest height and name."""
+    def feet(self, up: int = 1) -> list[int]:
+        """Nodes named like feet or toes with an end site or toe below (any, where none has one), the most distal of a chain, by rest height and name."""
         like = [i for i, n in enumerate(self) if n.joint >= 0 and any(w in n.name.lower() for w in ("foot", "toe"))]
-        tipped = [i for i in like if any(c.parent == i and (c.joint < 0 or "toe" in c.name.lower()) for c in self)]
+        tipped = [i for i in like if any(c.parent == i and (c.joint < 0 or "toe" in c.name.lower()) for c in self)] or like
         above = set()
         for i in tipped:
             p = self[i].parent
@@ -99,7 +99,7 @@ class Topology(tuple):
                 above.add(p)
                 p = self[p].parent
         rest = self.rest_positions()
-        return sorted((i for i in tipped if i not in above), key=lambda i: (rest[i, 1], self[i].name))
+        return sorted((i for i in tipped if i not in above), key=lambda i: (rest[i, up], self[i].name))
 
     def retarget(self, other: Topology, names: dict[str, str] | None = None, strict: bool = False) -> Topology:
         """Offsets of ``other`` for nodes whose (mapped) name it has."""
@@ -318,21 +318,24 @@ def retarget_sql(nodes: str, other: str) -> str:
     return f"SELECT a.node_idx, a.name, a.parent_idx, a.joint_idx, a.euler_order, {cols} FROM ({nodes}) a LEFT JOIN ({named}) k ON a.name = k.name LEFT JOIN ({other}) b ON b.node_idx = k.last"
 
 
+#: Endings that mark sides, the longer ones first.
+_SIDES = ((".Left", ".Right"), ("_Left", "_Right"), (".left", ".right"), ("_left", "_right"), (".L", ".R"), ("_L", "_R"), (".l", ".r"), ("_l", "_r"))
+
+
 def lr_pairs_sql(names: str) -> str:
-    """(left_name, right_name) among rows of name: the prefix Left/Right or L/R before a capital, or a suffix _l/.l/_L.
+    """(left_name, right_name) among rows of name, where both exist.
 
-    Namespaces before a colon and number suffixes such as .001 are looked past.
+    Tried in turn: an ending such as .L or _left, the word left anywhere, an L before a capital. A
+    namespace before a colon and a number such as .001 at the end are looked past, and must agree.
     """
-    bare = "regexp_replace(regexp_replace(name, '^.*:', ''), '[.][0-9]+$', '')"
-    rules = [
-        ("bare LIKE 'Left%'", "'Right' || substr(bare, 5)"),
-        ("bare LIKE 'left%'", "'right' || substr(bare, 5)"),
-        ("(bare LIKE '%_l' OR bare LIKE '%.l' OR bare LIKE '%_L' OR bare LIKE '%.L') AND length(bare) > 2", "substr(bare, 1, length(bare) - 1) || CASE WHEN substr(bare, length(bare), 1) = 'l' THEN 'r' ELSE 'R' END"),
-        ("bare LIKE 'L%' AND substr(bare, 2, 1) BETWEEN 'A' AND 'Z'", "'R' || substr(bare, 2)"),
-    ]
-    case = "CASE " + " ".join(f"WHEN {c} THEN {e}" for c, e in rules) + " END"
-    n = f"SELECT DISTINCT name, {bare} AS bare FROM ({names})"
-    return f"SELECT a.name AS left_name, b.name AS right_name FROM (SELECT *, {case} AS wanted FROM ({n})) a JOIN ({n}) b ON a.wanted = b.bare"
+    parts = stages(f"SELECT DISTINCT name FROM ({names})", {"pre": "regexp_extract(name, '^.*:', 0)", "num": "regexp_extract(name, '[.][0-9]+$', 0)"})
+    parts = stages(parts, {"base": "substr(name, length(pre) + 1, length(name) - length(pre) - length(num))"})
+    ends = [f"SELECT name, {i} AS rule, pre || substr(base, 1, length(base) - {len(a)}) || '{b}' || num AS wanted FROM ({parts}) WHERE base LIKE '%{a.replace('_', '!_')}' ESCAPE '!'" for i, (a, b) in enumerate(_SIDES)]
+    word = f"SELECT name, 20 AS rule, pre || replace(replace(replace(base, 'Left', 'Right'), 'left', 'right'), 'LEFT', 'RIGHT') || num AS wanted FROM ({parts}) WHERE lower(base) LIKE '%left%'"
+    capital = f"SELECT name, 21 AS rule, pre || 'R' || substr(base, 2) || num AS wanted FROM ({parts}) WHERE base LIKE 'L%' AND substr(base, 2, 1) BETWEEN 'A' AND 'Z'"
+    tried = " UNION ALL ".join([*ends, word, capital])
+    met = f"SELECT t.name AS left_name, t.wanted AS right_name, row_number() OVER (PARTITION BY t.name ORDER BY t.rule) AS r FROM ({tried}) t JOIN (SELECT DISTINCT name FROM ({names})) n ON n.name = t.wanted WHERE t.wanted <> t.name"
+    return f"SELECT left_name, right_name FROM ({met}) WHERE r = 1"
 
 
 def natural_key_sql(text: str, duck: bool = False) -> str:

@@ -100,7 +100,7 @@ class MotionSet:
         return apply(self.joint_positions(), P.kinetic_energy("SELECT * FROM {t}", str(self.frame_time)))
 
     def foot_contacts(self, feet: list[str] | None = None, adaptive: bool = False, **options) -> DataFrame:
-        nodes = [self.index(f) for f in feet] if feet else self.topology.feet()
+        nodes = [self.index(f) for f in feet] if feet else self.topology.feet("xyz".index(self.up))
         if not nodes:
             raise ValueError("no feet found: name them")
         rest = self.topology.rest_positions()

@@ -230,3 +230,62 @@ def test_set_operations(spark):
     for sql in (D.random_translate("SELECT * FROM {t}"), D.random_rotate_vertical("SELECT * FROM {t}"), D.random_perturb_speed("SELECT * FROM {t}", 0.1, ("x", "y", "z"))):
         a, b = apply(t, sql).orderBy("frame").collect(), apply(t.repartition(3), sql).orderBy("frame").collect()
         assert a == b and len(a) >= 7
+
+
+def plain_gait(mask, pos, dt, way):
+    """The measures of one clip by loops: mask (F, 2), ground positions (F, 2, 2)."""
+    f = len(mask)
+    on = [[t for t in range(1, f) if mask[t, k] and not mask[t - 1, k]] for k in range(2)]
+    off = [[t for t in range(1, f) if not mask[t, k] and mask[t - 1, k]] for k in range(2)]
+    strides = [[np.linalg.norm(pos[b, k] - pos[a, k]) for a, b in zip(on[k], on[k][1:])] for k in range(2)]
+    pooled = np.concatenate(strides)
+    resid = np.concatenate([np.array(s) - np.mean(s) for s in strides if len(s) >= 2])
+    order = sorted((t, k) for k in range(2) for t in on[k])
+    pts = np.array([pos[t, k] for t, k in order])
+    cycles = [(next(o for o in off[k] if a < o <= b) - a) / (b - a) for k in range(2) for a, b in zip(on[k], on[k][1:])]
+    m = [np.mean(s) for s in strides]
+    return {
+        "cadence": len(order) / ((f - 1) * dt), "stride_length": pooled.mean(), "stride_cv": resid.std() / pooled.mean(), "step_length": np.abs(np.diff(pts, axis=0) @ (way / np.linalg.norm(way))).mean(),
+        "stance_fraction": np.mean(cycles), "double_support": np.mean(mask.sum(1) >= 2), "asymmetry": abs(m[0] - m[1]) / np.mean(m),
+    }
+
+
+def test_gait_matches_loops(spark):
+    rng = np.random.default_rng(7)
+    mask = np.stack([((np.arange(300) + 17 * k) // rng.integers(9, 14)) % 2 == 0 for k in range(2)], 1)
+    pos = rng.normal(size=(300, 2, 2)).cumsum(0)
+    df = spark.createDataFrame([(0, t, (3, 5)[k], float(pos[t, k, 0]), 0.0, float(pos[t, k, 1]), bool(mask[t, k])) for t in range(300) for k in range(2)], "clip long, frame long, node int, x double, y double, z double, contact boolean")
+    root = spark.createDataFrame([(0, t, float(t), 1.0, 0.5 * t) for t in range(300)], "clip long, frame long, x double, y double, z double")
+    got = apply(df, C.gait("SELECT * FROM {t}", "SELECT * FROM {r}", 0.04, 3, 5), r=root).first()
+    for name, value in plain_gait(mask, pos, 0.04, np.array([299.0, 149.5])).items():
+        assert got[name] == pytest.approx(value), name
+    assert got.pace == pytest.approx(np.hypot(1, 0.5) / 0.04)
+
+
+def test_smoothed_speed_repeats_the_ends(spark):
+    rng = np.random.default_rng(8)
+    p = rng.normal(size=(20, 3)).cumsum(0)
+    df = spark.createDataFrame([(0, t, 3, *map(float, p[t])) for t in range(20)], "clip long, frame long, node int, x double, y double, z double")
+    d = np.diff(p, axis=0)
+    for smooth, n in ((0.04, 1), (0.17, 4), (0.2, 5)):
+        lo, hi = (n - 1) // 2, n // 2
+        padded = np.concatenate([np.repeat(d[:1], lo, 0), d, np.repeat(d[-1:], hi, 0)])
+        mean = np.stack([np.convolve(padded[:, c], np.ones(n) / n, "valid") for c in range(3)], 1)
+        v = np.linalg.norm(mean, axis=1) / 0.04
+        got = [r.speed for r in apply(df, C.foot_speed("SELECT * FROM {t}", 0.04, smooth)).orderBy("frame").collect()]
+        assert np.allclose(got, [v[0], *v])
+
+
+def test_names_of_sides(spark):
+    pairs = {"mix:LeftArm": "mix:RightArm", "arm.L": "arm.R", "arm_l.001": "arm_r.001", "eyeleft": "eyeright", "LHand": "RHand", "a_Left": "a_Right"}
+    alone = ["Spine", "foot_l", "Lower", "other:RightArm", "left", "mix:LeftLeg"]
+    names = [*pairs, *pairs.values(), *alone]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    assert {r.left_name: r.right_name for r in apply(df, K.lr_pairs_sql("SELECT * FROM {t}")).collect()} == pairs
+
+
+def test_feet():
+    N = K.Node
+    leg = [N("Hips", -1, 0, "XYZ", (0, 0, 0)), N("LeftFoot", 0, 1, "XYZ", (0, -2, 0)), N("LeftToe", 1, 2, "XYZ", (0, -1, 0)), N("e", 2, -1, "", (0, 0, 1)), N("RightFoot", 0, 3, "XYZ", (0, -2, 0)), N("e", 4, -1, "", (0, 0, 1)), N("FootGear", 0, 4, "XYZ", (0, 1, 0))]
+    assert K.Topology(leg).feet() == [2, 4]
+    assert K.Topology([leg[0], N("FootGear", 0, 1, "XYZ", (0, 1, 0))]).feet() == [1] and RIG.feet() == []
