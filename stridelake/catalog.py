@@ -394,7 +394,14 @@ def lagged_covariance(duck):
 
 @query
 def facing_frame(duck):
-    return out(P.facing(roles.pose(duck), [(3, 5), (4, 6)]), "clip, frame, valid", "left_x", "left_y", "left_z", "forward_x", "forward_y", "forward_z")
+    return out(P.facing(roles.pose(duck), [(3, 5), (4, 6)]), "clip, frame, valid", *(f"{d}_{c}" for d in ("forward", "left", "up") for c in "xyz"))
+
+
+@query
+def forward_at(duck):
+    s = P.facing(roles.pose(duck), [(3, 5), (4, 6)])
+    ahead, left = (tuple(f"{d}_{c}" for c in "xyz") for d in ("forward", "left"))
+    return f"SELECT clip, frame, {V.argmax_axis(ahead)} AS forward_axis, {V.argmax_axis(left)} AS left_axis FROM ({s})"
 
 
 # ---- rotations
@@ -411,7 +418,7 @@ def _conversion(have, n, want, m, order=None, lo=0):
     return sql
 
 
-for _o in ("XYZ", "XZY", "YXZ", "YZX", "ZXY", "ZYX", "ZXZ", "XYX"):
+for _o in ("XYZ", "XZY", "YXZ", "YZX", "ZXY", "ZYX", "XYX", "XZX", "YXY", "YZY", "ZXZ", "ZYZ"):
     _register(f"euler_to_rotmat_{_o.lower()}", _conversion("euler", 3, "rotmat", 9, _o))
     _register(f"rotmat_to_euler_{_o.lower()}", _conversion("quat", 4, "euler", 3, _o))
 for _name, _args in {

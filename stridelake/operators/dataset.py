@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from stridelake.functions import rotations as R
-from stridelake.plans.sql import numbers, over, stages
+from stridelake.plans.sql import first_known, last_known, numbers, over, stages
 
 
 def slice_frames(src: str, start: int | None = None, stop: int | None = None, step: int = 1) -> str:
@@ -99,24 +99,33 @@ def mirror_angles(angles: tuple[str, ...], order: str, lateral: str = "x") -> tu
     return tuple(a if axis.lower() == lateral else f"(-{a})" for a, axis in zip(angles, R.check_order(order)))
 
 
-def drop_frames(src: str, rate: float, columns: tuple[str, ...], seed: int = 0, duck: bool = False) -> str:
-    """Frames left out by a hash of (clip, frame, seed), ends spared, and filled in from their neighbours in a straight line."""
-    if duck:
-        raise NotImplementedError("hashes differ between engines")
+def drop_frames(src: str, rate: float, columns: tuple[str, ...] = (), quats: tuple[tuple[str, ...], ...] = (), seed: int = 0) -> str:
+    """Frames left out by a hash of (clip, frame, seed), ends spared, and filled in from their neighbours: columns in a
+    straight line, quaternions along the arc. Frames that stay are as they were."""
     draw = f"pmod(xxhash64(clip, frame, {seed}), 1000000) / 1000000.0"
     s = stages(src, {"dropped": f"{draw} < {rate} AND frame > 0 AND frame < max(frame) OVER (PARTITION BY clip)"})
     back, ahead = over("clip", frame="ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"), over("clip", frame="ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING")
-    ends = {"__f0": f"last_value(CASE WHEN NOT dropped THEN frame END) IGNORE NULLS {back}", "__f1": f"first_value(CASE WHEN NOT dropped THEN frame END) IGNORE NULLS {ahead}"}
-    for c in columns:
-        ends |= {f"__{c}0": f"last_value(CASE WHEN NOT dropped THEN {c} END) IGNORE NULLS {back}", f"__{c}1": f"first_value(CASE WHEN NOT dropped THEN {c} END) IGNORE NULLS {ahead}"}
+    ends = {}
+    for c in ("frame", *columns, *(c for q in quats for c in q)):
+        kept = f"CASE WHEN NOT dropped THEN {c} END"
+        ends |= {f"__{c}0": last_known(kept, back, False), f"__{c}1": first_known(kept, ahead, False)}
     s = stages(s, ends)
-    return stages(s, {f"filled_{c}": f"CASE WHEN dropped THEN __{c}0 + (__{c}1 - __{c}0) * (frame - __f0) / (__f1 - __f0) ELSE {c} END" for c in columns})
+    s = stages(s, {"__t": "CASE WHEN dropped THEN (frame - __frame0) / CAST(__frame1 - __frame0 AS DOUBLE) ELSE 0.0 END"})
+    steps = [{f"filled_{c}": f"CASE WHEN dropped THEN __{c}0 + (__{c}1 - __{c}0) * __t ELSE {c} END" for c in columns}] if columns else []
+    for i, q in enumerate(quats):
+        steps += R.slerp(tuple(f"__{c}0" for c in q), tuple(f"__{c}1" for c in q), "__t", f"__r{i}_")
+        steps.append({f"filled_{c}": f"CASE WHEN dropped THEN __r{i}_{k} ELSE {c} END" for k, c in enumerate(q)})
+    return stages(s, *steps)
 
 
-def noise(src: str, columns: tuple[str, ...], sigma: float, seed: int = 0) -> str:
-    """Normal noise from hashes of (clip, frame, seed), so that results do not depend on partitions (Box and Muller)."""
+def noise(src: str, columns: tuple[str, ...], sigma: float, seed: int = 0, wrap: bool = False) -> str:
+    """Normal noise from hashes of (clip, frame, seed), so that results do not depend on partitions (Box and Muller); wrap brings angles into [-pi, pi)."""
     u = lambda c, k: f"((pmod(xxhash64(clip, frame, '{c}', {seed}, {k}), 9007199254740992) + 0.5) / 9007199254740992.0)"
-    return stages(src, {f"noisy_{c}": f"{c} + {sigma} * sqrt(-2.0 * ln({u(c, 0)})) * cos(2.0 * pi() * {u(c, 1)})" for c in columns})
+    s = stages(src, {f"noisy_{c}": f"{c} + {sigma} * sqrt(-2.0 * ln({u(c, 0)})) * cos(2.0 * pi() * {u(c, 1)})" for c in columns})
+    if not wrap:
+        return s
+    kept = ", ".join(f"noisy_{c} - 2.0 * pi() * floor((noisy_{c} + pi()) / (2.0 * pi())) AS noisy_{c}" for c in columns)
+    return f"SELECT * EXCEPT ({', '.join(f'noisy_{c}' for c in columns)}), {kept} FROM ({s})"
 
 
 def harmonized(src: str, reference: str) -> str:

@@ -102,16 +102,17 @@ def covariance(src: str, lag: int = 0, duck: bool = False) -> str:
     return f"SELECT p.clip, p.channel AS a, q.channel AS b, avg(p.d * q.d) AS cov FROM ({c}) p JOIN ({c}) q ON p.clip = q.clip AND p.frame = q.frame + {lag} GROUP BY p.clip, p.channel, q.channel"
 
 
-def facing(src: str, pairs: list[tuple[int, int]], up: tuple[str, str, str] = ("0.0", "1.0", "0.0")) -> str:
-    """(clip, frame, left, forward, up, valid): left is the mean of left minus right without its part along up."""
-    cases = [(f"WHEN node = {a} THEN 1.0 WHEN node = {b} THEN -1.0") for a, b in pairs]
+def facing(src: str, pairs: list[tuple[int, int]], up: tuple[str, str, str] = ("0.0", "1.0", "0.0"), fallback: tuple[str, str, str] = ("0.0", "0.0", "1.0")) -> str:
+    """(clip, frame, forward, left, up, valid): forward is left cross up, where left is the mean of left minus right
+    without its part along up; frames without such a direction face the fallback and are not valid."""
+    cases = [f"WHEN node = {a} THEN 1.0 WHEN node = {b} THEN -1.0" for a, b in pairs]
     sign = "CASE " + " ".join(cases) + " ELSE 0.0 END"
     mean = f"SELECT {AT}, " + ", ".join(f"sum({sign} * {c}) / {float(len(pairs))} AS l{c}" for c in "xyz") + f" FROM ({src}) GROUP BY {AT}"
-    l = ("lx", "ly", "lz")
-    flat = stages(mean, {"__u": dot(l, up)})
+    flat = stages(mean, {"__u": dot(("lx", "ly", "lz"), up)})
     flat = stages(flat, {f"f{c}": f"l{c} - __u * {up[i]}" for i, c in enumerate("xyz")})
     flat = stages(flat, {"__n": norm(("fx", "fy", "fz"))})
-    unit = {f"left_{c}": ratio(f"f{c}", "__n", "1e-6") for c in "xyz"}
-    s = stages(flat, unit)
-    fwd = cross(("left_x", "left_y", "left_z"), up)
-    return f"SELECT {AT}, left_x, left_y, left_z, {', '.join(f'{e} AS forward_{c}' for c, e in zip('xyz', fwd))}, __n >= 1e-6 AS valid FROM ({s})"
+    s = stages(flat, {"valid": "__n >= 1e-6"} | {f"w{c}": f"CASE WHEN __n >= 1e-6 THEN f{c} / (CASE WHEN __n >= 1e-6 THEN __n ELSE 1.0 END) END" for c in "xyz"})
+    ahead = cross(("wx", "wy", "wz"), up)
+    s = stages(s, {f"forward_{c}": f"CASE WHEN valid THEN {ahead[i]} ELSE {fallback[i]} END" for i, c in enumerate("xyz")})
+    left = cross(up, ("forward_x", "forward_y", "forward_z"))
+    return f"SELECT {AT}, valid, forward_x, forward_y, forward_z, {', '.join(f'{e} AS left_{c}' for c, e in zip('xyz', left))}, {', '.join(f'CAST({u} AS DOUBLE) AS up_{c}' for c, u in zip('xyz', up))} FROM ({s})"

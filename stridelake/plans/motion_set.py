@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stridelake.operators import contacts as C
 from stridelake.operators import kernels as KR
+from stridelake.operators import orientation as O
 from stridelake.operators import pose as P
 from stridelake.operators import series as S
 from stridelake.operators import skeleton as K
@@ -35,7 +36,7 @@ class MotionSet:
         r = one[0]
         top = K.Topology([K.Node(n, p, j, o, tuple(r.offsets[3 * i : 3 * i + 3])) for i, (n, p, j, o) in enumerate(zip(r.names, r.parents, r.joints, r.orders))])
         same = files.where((F.col("names") == F.array(*map(F.lit, r.names))) & (F.col("parents") == F.array(*map(F.lit, r.parents))) & (F.col("orders") == F.array(*map(F.lit, r.orders))))
-        return cls(top, motion_text.frames(same), r.frame_time, motion_text.world_up(top).strip("+-"))
+        return cls(top, motion_text.frames(same), r.frame_time, O.world_up(top).strip("+-"))
 
     @property
     def fps(self) -> float:
@@ -141,5 +142,24 @@ class MotionSet:
     def scale(self, factor: float) -> MotionSet:
         return replace(self, topology=self.topology.scale(factor), frames=self.frames.withColumn("root", F.transform("root", lambda x: x * factor)))
 
-    def to_wide(self) -> DataFrame:
-        return motion_text.to_wide(self.frames, self.topology, self.frame_time)
+    def to_wide(self, mode: str = "euler", centered: str = "world") -> DataFrame:
+        """One row for each frame: time and angles in degrees, or time and the coordinates of every node by its place and name."""
+        if mode == "euler":
+            return motion_text.to_wide(self.frames, self.topology, self.frame_time)
+        if mode != "coordinates":
+            raise ValueError("mode is euler or coordinates")
+        frames = self.frames
+        if centered == "first":
+            frames = frames.join(frames.where("frame = 0").select("clip", F.col("root").alias("root0")), "clip")
+        poses = K.fk_kernel(frames, self.topology, centered, "xyz".index(self.up))
+        cols = [F.col("pos")[3 * i + k].alias(f"{n.name}_{c}") for i, n in enumerate(self.topology) for k, c in enumerate("XYZ")]
+        return poses.select("clip", "frame", (F.col("frame") * self.frame_time).alias("time"), *cols)
+
+    def facing(self, pairs: dict[str, str] | None = None) -> DataFrame:
+        """(clip, frame, valid, forward, left, up) from left and right joints, which names tell unless given."""
+        joints = O.joint_pairs(self.topology, pairs, strict=pairs is not None)
+        if not joints:
+            raise ValueError("no left and right joints: name them")
+        text = lambda axis: tuple(str(float(x)) for x in O.vector_of(axis))
+        up = f"+{self.up}"
+        return apply(self.positions(), P.facing("SELECT * FROM {t}", joints, text(up), text(O.rest_forward(self.topology, up, pairs))))

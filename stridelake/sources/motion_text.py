@@ -6,7 +6,6 @@ Writing gives one text for each clip. Both run per file in Python workers, files
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -232,20 +231,3 @@ def to_wide(frames_: DataFrame, topology: Topology, frame_time: float) -> DataFr
     cols = [(F.col("frame") * frame_time).alias("time"), *[F.col("root")[i].alias(f"{name}_{c}_pos") for i, c in enumerate("XYZ")]]
     cols += [F.degrees(F.col("angles")[3 * n.joint + k]).alias(f"{n.name}_{c}_rot") for n in topology if n.joint >= 0 for k, c in enumerate(n.order)]
     return frames_.select("clip", "frame", *cols)
-
-
-def world_up(topology: Topology, positions: np.ndarray | None = None) -> str:
-    """The up axis: from head to root at the first frame where one axis is twice the others, else the rest pose's, else +y."""
-    rest = topology.rest_positions()
-    named = [i for w in ("head", "neck", "chest", "spine") for i, n in enumerate(topology) if n.name.lower() == w]
-    for p in ([positions] if positions is not None else []) + [rest]:
-        d = p[named[0]] - p[0] if named else p.max(0) - p.min(0)
-        a = np.sort(np.abs(d))
-        if a[-1] > 1e-6 and (p is rest or a[-1] >= 2 * a[-2]):
-            k = int(np.abs(d).argmax())
-            return ("-" if d[k] < 0 else "+") + "xyz"[k]
-    return "+y"
-
-
-def duration(frame_time: float, count: int) -> float:
-    return frame_time * max(0, count - 1) if math.isfinite(frame_time) else float("nan")

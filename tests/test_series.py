@@ -237,6 +237,11 @@ def test_dropped_frames_and_noise_do_not_depend_on_partitions(spark):
     two = apply(df.repartition(7), D.drop_frames(SRC, 0.3, ("v",))).orderBy("frame").collect()
     assert [(r.dropped, r.filled_v) for r in one] == [(r.dropped, r.filled_v) for r in two]
     assert 30 < sum(r.dropped for r in one) < 90 and np.allclose([r.filled_v for r in one], np.arange(200.0))
+    ang = frame(spark, np.linspace(0, 2, 200), np.linspace(0, 2, 200), names=("a", "b"))
+    half = apply(ang, D.drop_frames("SELECT clip, frame, cos(a) AS q0, sin(a) AS q1, 0.0 AS q2, 0.0 AS q3 FROM {t}", 0.4, (), (("q0", "q1", "q2", "q3"),))).orderBy("frame").collect()
+    assert np.allclose([r.filled_q0 for r in half], np.cos(np.linspace(0, 2, 200))) and any(r.dropped for r in half)
+    wrapped = apply(df, D.noise(SRC, ("v",), 2.0, wrap=True)).collect()
+    assert all(-np.pi <= r.noisy_v < np.pi for r in wrapped)
     n = apply(df, D.noise(SRC, ("v",), 2.0)).orderBy("frame").collect()
     e = np.array([r.noisy_v - r.v for r in n])
     assert abs(e.mean()) < 0.6 and 1.5 < e.std() < 2.5

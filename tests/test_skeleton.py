@@ -289,3 +289,30 @@ def test_feet():
     leg = [N("Hips", -1, 0, "XYZ", (0, 0, 0)), N("LeftFoot", 0, 1, "XYZ", (0, -2, 0)), N("LeftToe", 1, 2, "XYZ", (0, -1, 0)), N("e", 2, -1, "", (0, 0, 1)), N("RightFoot", 0, 3, "XYZ", (0, -2, 0)), N("e", 4, -1, "", (0, 0, 1)), N("FootGear", 0, 4, "XYZ", (0, 1, 0))]
     assert K.Topology(leg).feet() == [2, 4]
     assert K.Topology([leg[0], N("FootGear", 0, 1, "XYZ", (0, 1, 0))]).feet() == [1] and RIG.feet() == []
+
+
+def test_orientation(spark):
+    from stridelake.operators import orientation as O
+
+    assert O.name_pairs(RIG) == {"LeftLeg": "RightLeg"} and O.joint_pairs(RIG) == [(3, 5)]
+    assert O.node_pairs(RIG) == ([(3, 5), (4, 6)], []) and O.node_pairs(K.Topology(RIG[:6])) == ([(3, 5)], [(3, 5)])
+    with pytest.raises(ValueError):
+        O.joint_pairs(RIG, {"LeftLeg": "Wing"}, strict=True)
+    assert O.rest_up(RIG) == "+y" and O.rest_left(RIG) == "-x" and O.facing_is_measured(RIG, "+y") and not O.facing_is_measured(RIG, "+x")
+    assert O.rest_forward(RIG, "+y") == "-z" and O.left_at(RIG, RIG.rest_positions(), "+y") == "-x"
+    lone = K.Topology(RIG[:3])
+    assert O.rest_forward(lone, "+y") == "+z" and not O.facing_is_measured(lone, "+y")
+    up_z = RIG.rest_positions()[:, [0, 2, 1]]
+    assert O.world_up(RIG, up_z) == "+z" and O.world_up(RIG) == "+y" and O.world_up(RIG, np.ones((7, 3))) == "+y"
+    assert O.check_axis("-Z") == "-z" and O.check_axis("y", unsigned=True) == "+y"
+    with pytest.raises(ValueError):
+        O.check_axis("y")
+    root, angles = motion(4, 9)
+    s = MotionSet(RIG, arrays(spark, root, angles), 0.1)
+    want = K.pose_arrays(RIG, root, angles)
+    for r in s.facing().collect():
+        f, left = np.array([r.forward_x, r.forward_y, r.forward_z]), np.array([r.left_x, r.left_y, r.left_z])
+        d = (want[r.frame, 3] - want[r.frame, 5]) * [1, 0, 1]
+        assert r.valid and np.allclose(left, d / np.linalg.norm(d)) and np.allclose(np.cross(f, left), [0, 1, 0])
+    row = s.to_wide("coordinates").orderBy("frame").first()
+    assert np.allclose([row.LeftFoot_X, row.LeftFoot_Y, row.LeftFoot_Z], want[0, 4])
