@@ -98,38 +98,52 @@ class PieceCodec:
 
     def part(self, text: str) -> list[str]:
         """The pieces of a part by backtracking; characters outside the vocabulary stand for themselves."""
-        greedy = [(last + 1 - len(p), p) for last, p in self.matches.iter_long(text)]
-        at = 0
-        before = None
-        fits = self.fits
-        for start, p in greedy:  # the longest matches one after another are right for most parts
-            if start != at or before is not None and not (fits.get((before, p)) or (before, p) not in fits and self.compatible(before, p)):
+        n, at, before = len(text), 0, None
+        fits, compatible = self.fits, self.compatible
+        out: list[str] = []
+        for last, p in self.matches.iter_long(text):  # the longest matches one after another are right for most parts
+            if last + 1 - len(p) != at:
                 break
+            if before is not None:
+                fit = fits.get((before, p))
+                if not (compatible(before, p) if fit is None else fit):
+                    break
+            out.append(p)
             before = p
-            at += len(p)
-        if at == len(text):
-            return [p for _, p in greedy]
-        n, ends = len(text), {}
+            at = last + 1
+        if at == n:
+            return out
+        ends: dict[int, list[str]] = {}
         for last, p in self.matches.iter(text):  # every match, by where it starts; longest last
-            at = last + 1 - len(p)
-            if at in ends:
-                ends[at].append(p)
+            start = last + 1 - len(p)
+            if start in ends:
+                ends[start].append(p)
             else:
-                ends[at] = [p]
-        out: list[str] = []
-        failed, at = 0, 0  # a bit for each position from which no compatible rest was found
-        choice: list[int] = []
+                ends[start] = [p]
+        choice, place = [], 0  # which of the options was taken; so far always the longest
+        for p in out:
+            options = ends[place]
+            if len(options[0]) > 1:  # a character that is no piece stands for itself
+                options.insert(0, text[place])
+            choice.append(len(options) - 1)
+            place += len(p)
+        failed = 0  # a bit for each position from which no compatible rest was found
         pick = None
         while at < n:
-            options = ends.get(at, [])
-            if not options or len(options[0]) > 1:
-                options = [text[at], *options]
+            options = ends.get(at)
+            if options is None or len(options[0]) > 1:
+                options = ends[at] = [text[at], *(options or ())]
             i = len(options) - 1 if pick is None else pick
             pick = None
+            before = out[-1] if out else None
             while i >= 0:
                 p = options[i]
-                if not failed >> (at + len(p)) & 1 and (not out or self.compatible(out[-1], p)):
-                    break
+                if not failed or not failed >> (at + len(p)) & 1:
+                    if before is None:
+                        break
+                    fit = fits.get((before, p))
+                    if compatible(before, p) if fit is None else fit:
+                        break
                 i -= 1
             if i >= 0:
                 out.append(p)
@@ -141,8 +155,6 @@ class PieceCodec:
             failed |= 1 << at
             at -= len(out.pop())
             pick = choice.pop() - 1
-            if pick < 0:
-                pick = -1
         return out
 
     def _numbers(self, pieces: list[str]) -> list[int]:
