@@ -69,9 +69,11 @@ class PieceCodec:
         if any(x[0] != _SPACE and x[1] == _SPACE for x in inner):
             return re.compile("(?s:.+)")
         alone = "" if any("\n" in x for x in inner) else "\n"
-        # marks that never follow a letter within a piece
-        marks = "".join(m for m in "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~" if not any(x[1] == m and x[0].isalpha() for x in inner))
-        word = [f"{_SPACE}*[^\\W\\d_]++(?=[{re.escape(marks)}])"] if marks else []
+        # marks that never follow one of these letters within a piece
+        letter = "[A-Za-zÀ-ÖØ-öø-ɏͰ-ϿЀ-ӿ]"
+        follow = {x[1] for x in inner if re.match(letter, x[0])}
+        marks = "".join(m for m in "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~" if m not in follow)
+        word = [f"{_SPACE}*{letter}++(?=[{re.escape(marks)}])"] if marks else []
         return re.compile("|".join([f"[{alone}]"] * bool(alone) + word + [f"{_SPACE}+[^{_SPACE}{alone}]*", f"[^{_SPACE}{alone}]+"]))
 
     def merge(self, text: str) -> list[str]:

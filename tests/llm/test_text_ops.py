@@ -143,6 +143,18 @@ def test_pieces_match_the_library(texts):
         assert ours.digest(t) == (len(ids), sha(",".join(map(str, ids))), sha(theirs.decode(ids)))
 
 
+def test_joined_pieces_match_the_library():
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    theirs, ours = sentencepiece.SentencePieceProcessor(model_file=path), PC.PieceCodec(path, cache_size=1000)
+    rng = random.Random(5)
+    pieces = [p for p in ours.ids if len(p) > 1] + ["²."] * 300
+    for _ in range(8000):
+        t = "".join(rng.choice(pieces)[: rng.randint(1, 9)] for _ in range(rng.randint(1, 6))).replace("▁", rng.choice([" ", ""]))
+        assert ours.encode(t) == theirs.encode(t), t
+
+
 def test_bytes_that_are_no_text_decode_as_the_library_does():
     import sentencepiece
 
