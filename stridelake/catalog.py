@@ -626,7 +626,8 @@ RIG = K.sample_rig()
 def _motion(duck):
     e = lambda i: f"CAST(embedding[{i + (1 if duck else 0)}] AS DOUBLE)"
     cols = [f"{e(i)} * 10.0 AS root_{c}" for i, c in enumerate("xyz")] + [f"{e(3 + 3 * j + k)} * 3.0 AS a{j}_{k}" for j in range(4) for k in range(3)]
-    return f"SELECT label AS clip, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS frame, {', '.join(cols)} FROM {'embeddings' if duck else '{embeddings}'}"
+    src = f"SELECT label AS clip, vec_id, {', '.join(cols)} FROM {'embeddings' if duck else '{embeddings}'}"
+    return roles.numbered(src, "vec_id", ", ".join(c.rpartition(" ")[2] for c in cols))
 
 
 def _places(prefix="p"):
@@ -854,7 +855,7 @@ def large_signal_stats(duck):
 @query
 def large_signal_velocity(duck):
     t = "lineitem" if duck else "{lineitem}"
-    s = f"SELECT l_suppkey AS clip, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS BIGINT) AS frame, l_extendedprice / 1000.0 AS v FROM {t}"
+    s = roles.numbered(f"SELECT l_suppkey AS clip, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice FROM {t}", "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice", "l_extendedprice / 1000.0 AS v")
     return out(S.velocity_reductions(s, "v", 1.0), "clip", "peak", "mean", "peak_to_mean", "peak_accel", "peak_decel")
 
 
@@ -862,7 +863,7 @@ def large_signal_velocity(duck):
 def order_runs(duck):
     """Runs of dear orders of each customer."""
     t = "orders" if duck else "{orders}"
-    s = f"SELECT o_custkey AS clip, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS frame, o_totalprice > 150000 AS on_ FROM {t}"
+    s = roles.numbered(f"SELECT o_custkey AS clip, o_orderdate, o_orderkey, o_totalprice FROM {t}", "o_orderdate, o_orderkey", "o_totalprice > 150000 AS on_")
     return S.runs(s, "on_")
 
 

@@ -13,6 +13,7 @@ from stridelake.operators import orientation as O
 from stridelake.operators import pose as P
 from stridelake.operators import series as S
 from stridelake.operators import skeleton as K
+from stridelake.plans.session import settle
 from stridelake.plans.sql import apply
 from stridelake.sources import motion_text
 
@@ -29,7 +30,7 @@ class MotionSet:
     @classmethod
     def read(cls, spark: SparkSession, path: str, pattern: str = "*.bvh") -> MotionSet:
         """All files of a folder that have the first good file's skeleton (by path)."""
-        files = motion_text.read_files(spark, path, pattern).where("error is null")
+        files = motion_text.read_files(settle(spark), path, pattern).where("error is null")
         one = files.orderBy("source_path").limit(1).collect()
         if not one:
             raise ValueError(f"no readable file in {path}")

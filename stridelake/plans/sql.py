@@ -12,6 +12,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
+from stridelake.plans.session import settle
+
 
 _NUMBER = re.compile(r"('(?:[^']|'')*')|(?<![\w.])(\d+\.\d+)(?![\w.])")
 
@@ -23,7 +25,7 @@ def spark_text(sql: str) -> str:
 
 def apply(df: DataFrame, sql: str, **more: DataFrame) -> DataFrame:
     """``sql`` with ``{t}`` standing for ``df`` and other names in braces for other DataFrames."""
-    return df.sparkSession.sql(spark_text(sql), t=df, **more)
+    return settle(df.sparkSession).sql(spark_text(sql), t=df, **more)
 
 
 def stages(source: str, *steps: Mapping[str, str], keep: str = "*") -> str:

@@ -316,3 +316,16 @@ def test_orientation(spark):
         assert r.valid and np.allclose(left, d / np.linalg.norm(d)) and np.allclose(np.cross(f, left), [0, 1, 0])
     row = s.to_wide("coordinates").orderBy("frame").first()
     assert np.allclose([row.LeftFoot_X, row.LeftFoot_Y, row.LeftFoot_Z], want[0, 4])
+
+
+def test_unions_that_meet_their_own_sums(spark):
+    """Rows must not double where clips of a union are joined with an aggregate of it."""
+    from pyspark.sql import functions as F
+
+    from stridelake.plans.session import settle
+
+    rows = settle(spark).range(2000).select((F.col("id") % 10).alias("clip"), F.col("id").alias("frame"), F.rand(1).alias("y"))
+    half = apply(rows, "SELECT clip, frame, y, row_number() OVER (PARTITION BY clip ORDER BY frame) AS r FROM {t}")
+    both = half.withColumn("node", F.lit(1)).unionByName(half.withColumn("node", F.lit(2)))
+    assert both.join(both.groupBy("clip").agg(F.min("y").alias("low")), "clip").count() == 4000
+    assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
