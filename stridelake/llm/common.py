@@ -10,12 +10,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stridelake.plans.session import settle
+
 #: Characters that part words: space and U+0009 to U+000D. ``bytes.split()`` uses the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """At most ``rows`` rows in an Arrow batch: whole texts pass through buffers of a few megabytes, in the JVM and in Python."""
+    settle(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
@@ -62,14 +65,14 @@ def work_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and stored in the shared folder; its lineage ends there."""
-    spark = df.sparkSession
+    spark = settle(df.sparkSession)
     shared_dir(spark)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: columnar, with sizes that the planner sees."""
-    spark = df.sparkSession
+    spark = settle(df.sparkSession)
     path = f"{work_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
