@@ -6,6 +6,8 @@ lies, so every stretch of the schedule is close to the weights. Slots are ranked
 source's documents lie end to end in a shuffled order (by a hash of the id); that stream is cut into
 blocks of as many words as a slot has, and the slot of rank r takes block r. A stream goes round
 once more where a source's target is above its size, so no document is taken more than twice.
+The schedule's shares are right to a few slots; behind it each source gets slots for the blocks it
+still lacks, and its last block ends at the target, so every source takes its target to the word.
 
 Everything is DataFrame operations. Positions in a stream and ranks of slots are sums over parts of
 bounded size plus the totals of the parts before, so no source is gathered into one task.
@@ -90,18 +92,33 @@ def streams(docs: DataFrame, sizes: DataFrame, part_words: int = 1 << 20) -> Dat
     return summed.join(starts, F.col("s").eqNullSafe(F.col("s2")) & (F.col("part") == F.col("p2"))).select("row", "doc_id", "source", "size", "source_size", (F.col("inside") + F.col("ahead")).alias("start"))
 
 
+def filled_up(plan: DataFrame, shares: DataFrame, block: int) -> DataFrame:
+    """(slot, source, rank, words): ``plan`` without the ranks that lie behind a source's target, and with slots
+    behind its last for the ranks that a source lacks. ``words`` is the target as whole words, one at least."""
+    ends = shares.where("target > 0").select(F.col("source").alias("s"), F.greatest(F.round("target"), F.lit(1)).cast("long").alias("words"))
+    ends = ends.withColumn("ranks", F.ceil(F.col("words") / F.lit(block)))
+    have = plan.groupBy("source").agg(F.count("*").alias("have"))
+    last = plan.agg(F.coalesce(F.max("slot") + 1, F.lit(0)).alias("last"))
+    lacking = ends.join(have, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < ranks")
+    lacking = lacking.select(F.col("s").alias("source"), F.explode(F.sequence("have", F.col("ranks") - 1)).alias("rank"), "words").crossJoin(last)
+    behind = F.row_number().over(Window.orderBy("rank", F.col("source").asc_nulls_last())) - 1
+    dealt = plan.join(ends, F.col("source").eqNullSafe(F.col("s"))).where("rank < ranks").select("slot", "source", "rank", "words")
+    return dealt.unionByName(lacking.select((F.col("last") + behind).alias("slot"), "source", "rank", "words"))
+
+
 def taken_pieces(placed: DataFrame, plan: DataFrame, block: Column) -> DataFrame:
     """(row, round, slot, from_word, to_word): what each slot takes, as words of documents.
 
-    ``placed`` has the column that ``block`` names or computes: words in a block. Round 0 is the
-    first pass over a stream, round 1 the second.
+    ``placed`` has the column that ``block`` names or computes: words in a block. ``plan`` is as
+    from ``filled_up``; nothing behind a source's ``words`` is taken. Round 0 is the first pass over
+    a stream, round 1 the second.
     """
     twice = placed.where("size > 0").withColumn("round", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("a", F.col("start") + F.col("round") * F.col("source_size"))
     cut = twice.withColumn("b", block).withColumn("rank", F.explode(F.sequence(F.floor(F.col("a") / F.col("b")), F.floor((F.col("a") + F.col("size") - 1) / F.col("b")))))
-    met = cut.join(plan.select(F.col("source").alias("s"), "slot", F.col("rank").alias("r")), F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("r")))
+    met = cut.join(plan.select(F.col("source").alias("s"), "slot", F.col("rank").alias("r"), "words"), F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("r")))
     lo = F.greatest(F.col("rank") * F.col("b"), F.col("a")) - F.col("a")
-    hi = F.least((F.col("rank") + 1) * F.col("b"), F.col("a") + F.col("size")) - F.col("a")
-    return met.select("row", "round", "slot", lo.cast("long").alias("from_word"), hi.cast("long").alias("to_word"))
+    hi = F.least((F.col("rank") + 1) * F.col("b"), F.col("a") + F.col("size"), F.col("words")) - F.col("a")
+    return met.where("a < words and rank * b < words").select("row", "round", "slot", lo.cast("long").alias("from_word"), hi.cast("long").alias("to_word"))
 
 
 def _mixed(docs: DataFrame, weights, share, most, slots, doc_id, text, source) -> DataFrame:
@@ -113,6 +130,7 @@ def _mixed(docs: DataFrame, weights, share, most, slots, doc_id, text, source) -
     # whole words in a block; rounding up makes slots a little long, so the schedule ends when the targets are filled
     block = max(1, -(-int(whole) // slots))
     plan = schedule(spark, shares, slots).where(F.col("slot") < -(-int(whole) // block))
+    plan = written(filled_up(written(plan), shares, block))
     placed = written(streams(rows, shares.select("source", "source_size")))
     pieces = taken_pieces(placed, plan, F.lit(block).cast("long"))
     sums = pieces.groupBy("row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.countDistinct("round").alias("rounds"))

@@ -248,6 +248,18 @@ def test_mix_meets_its_targets(spark, docs):
     assert key(SM.mix(docs.repartition(7)).collect()) == key(got)
 
 
+def test_small_sources_beside_a_hot_one_meet_their_targets(spark):
+    rows = [(i, "w " * 100, "en", "hot", 200) for i in range(3000)] + [(10_000 + i, "w " * 10, "en", f"rare{i % 5}", 20) for i in range(25)] + [(20_000, "w " * 30, "en", None, 60)]
+    df = spark.createDataFrame(rows, DOC)
+    for slots in (64, 1 << 18):
+        got, taken = SM.mix(df, slots=slots).collect(), collections.Counter()
+        for r in got:
+            taken[r.source] += r.taken
+        assert all(abs(taken[r.source] - r.target) <= 1 for r in got) and taken["rare0"] == 100
+        assert all(0 <= r.taken <= 2 * r.size and r.rounds == -(-r.taken // r.size) for r in got if r.source != "hot")
+    assert {r.doc_id for r in SM.apply(df, slots=64).collect()} >= {r[0] for r in rows if r[0] >= 10_000}
+
+
 def test_schedule_is_even_everywhere(spark):
     shares = spark.createDataFrame([("a", 10, 600.0), ("b", 10, 300.0), (None, 10, 100.0), ("z", 0, 0.0)], "source string, source_size long, target double")
     rows = SM.schedule(spark, shares, slots=4096, part=100).orderBy("slot").collect()
