@@ -27,8 +27,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 from stridelake.llm.common import written
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: The vector's statistics with the standard deviation below which none counts as narrower.
-VECTOR = {"length": 0.25, "symbols": 0.05, "marks": 0.05, "duplicates": 0.2, "repeats": 0.15, "size": 0.5}
+#: The vector's statistics with the standard deviation below which none counts as narrower. The default bound is
+#: 7.2 of them, so each statistic alone can pass it: 5 % of characters, a third of lines or words.
+VECTOR = {"length": 0.1, "symbols": 0.03, "marks": 0.03, "duplicates": 0.08, "repeats": 0.08, "size": 0.5}
 _COUNTS = (*BASE, "n_lines", "n_marks")
 _P = len(VECTOR)
 _CORE = 0.75

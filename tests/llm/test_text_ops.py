@@ -111,6 +111,27 @@ def test_robust_estimate_is_near_the_clean_part(spark):
     assert np.allclose(fit["a"].mu, 1, atol=0.35) and fit["tiny"].g == "pooled"
 
 
+def test_an_outlier_in_any_statistic_goes(spark):
+    rng = random.Random(2)
+    word = lambda lo=2, hi=8: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(lo, hi)))
+    words = lambda n: [word() for _ in range(n)]
+    lines = lambda n: [" ".join(words(2)) for _ in range(n)]
+    phrase, again = words(8), " ".join(words(2))
+    texts = ["\n".join(lines(rng.randint(40, 60))) for _ in range(300)]
+    texts += [
+        " ".join(word(10, 18) for _ in range(100)),
+        " ".join(w + "$" * (i % 2) for i, w in enumerate(words(100))),
+        " ".join(w + "!" * (i % 2) for i, w in enumerate(words(100))),
+        "\n".join(x for line in lines(50) for x in (line, again)),
+        " ".join(x for _ in range(5) for x in (*phrase, *words(12))),
+        "\n".join(lines(100_000)),
+    ]
+    df = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in enumerate(texts)], DOC)
+    got = {r.doc_id: r for r in RR.judge(df).collect()}
+    assert all(got[i].kept for i in range(300)) and not any(got[i].base_failed for i in got)
+    assert [got[i].kept for i in range(300, 306)] == [False] * 6
+
+
 def test_rule_edge_cases(spark, odd):
     got = RR.judge(odd).collect()
     assert len(got) == len(ODD) and all(r.base_failed and not r.kept for r in got if r.n_words < 50)
