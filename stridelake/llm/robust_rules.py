@@ -1,15 +1,18 @@
 """Quality rules: plain limits, then robust multivariate outliers per language and source.
 
 Each document gets a vector of transformed text statistics. For each group (language, source) the
-minimum-covariance-determinant estimate is found by concentration steps: a step takes the three
-quarters of the group's rows that lie nearest under the present estimate, and estimates mean and
-covariance from them. Two starts (medians with quartile ranges, plain mean with covariance) are run
-side by side and the smaller determinant wins. Rows beyond a chi-square bound are rejected.
+minimum-covariance-determinant estimate is found by concentration steps: a step takes the half of
+the group's rows that lie nearest under the present estimate, and estimates mean and covariance from
+them, until the determinants settle. Two starts are run side by side and the smaller determinant
+wins: medians with median deviations, and the mean and covariance of the rows' directions from the
+medians. Equal vectors of a group count once in its estimate, so copies of a text, junk or not, cannot
+draw it to them. The rows near the half that is found give the final estimate; rows beyond a
+chi-square bound are rejected.
 
 No step gathers a group: rows are summed per distance bin (counts, sums and products, combined
 before the shuffle), and running sums over the bins of a group give the nearest part. A bin is 4.4 %
-of a squared distance wide, so the part taken is a little more than three quarters. Covariances have
-a floor, the spread of each statistic that is never held against a document.
+of a squared distance wide; of the last one its share is taken, so rows at one distance are split.
+Covariances have a floor, the spread of each statistic that is never held against a document.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ from stridelake.llm.common import written
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The vector's statistics with the standard deviation below which none counts as narrower. The default bound is
-#: 7.2 of them, so each statistic alone can pass it: 5 % of characters, a third of lines or words.
+#: 6.2 of them, so each statistic alone can pass it: 3.4 % of characters, a quarter of lines or words.
 VECTOR = {"length": 0.1, "symbols": 0.03, "marks": 0.03, "duplicates": 0.08, "repeats": 0.08, "size": 0.5}
 _COUNTS = (*BASE, "n_lines", "n_marks")
 _P = len(VECTOR)
-_CORE = 0.75
+#: Rows within this part of the chi-square distribution give the final estimate.
+_NEAR = 0.975
 _DROP = bytes(set(range(256)) - set(b"#*$%&|<>"))
 _CONTINUED = bytes(range(0x80, 0xC0))
 
@@ -129,8 +133,13 @@ _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
 _FIT = "g string, start int, mu array<double>, w array<double>, logdet double"
 
 
-def _solve(rows: DataFrame) -> DataFrame:
-    """Mean and whitening matrix of (g, start, n, sums, products), one row for each group."""
+def spread(part: float) -> float:
+    """By how much the covariance of a normal group exceeds that of its nearest ``part``."""
+    return part / chi2_cdf(chi2_quantile(part, _P), _P + 2) if part < 1 else 1.0
+
+
+def _solve(rows: DataFrame, part: Column) -> DataFrame:
+    """Mean and whitening matrix of (g, start, n, sums, products), one row for each group, whose rows are its nearest ``part``."""
     floor = np.diag(np.square(list(VECTOR.values())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,6 +151,7 @@ def _solve(rows: DataFrame) -> DataFrame:
                 cov = np.zeros((_P, _P))
                 for i, j in _PAIRS:
                     cov[i, j] = cov[j, i] = r[f"p{i}{j}"] / n - mu[i] * mu[j]
+                cov *= spread(r["part"])
                 # at least the floor in every direction: eigenvalues against the floor's scale
                 scale = np.sqrt(np.diag(floor))
                 value, vector = np.linalg.eigh(cov / np.outer(scale, scale))
@@ -153,7 +163,7 @@ def _solve(rows: DataFrame) -> DataFrame:
             f = pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(mus, f), pa.array(ws, f), pa.array(dets, pa.float64())], ["g", "start", "mu", "w", "logdet"])
 
-    return rows.select("g", "start", "n", *[f"s{i}" for i in range(_P)], *[f"p{i}{j}" for i, j in _PAIRS]).mapInArrow(run, _FIT)
+    return rows.select("g", "start", "n", *[f"s{i}" for i in range(_P)], *[f"p{i}{j}" for i, j in _PAIRS], part.cast("double").alias("part")).mapInArrow(run, _FIT)
 
 
 def _sums() -> list[Column]:
@@ -165,38 +175,53 @@ def _group(names: list[str]) -> Column:
     return F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(names)]), {"ignoreNullFields": "false"})
 
 
-def estimate(rows: DataFrame, least: int = 40, steps: int = 4) -> DataFrame:
-    """(g, group, mu, w) for every group of (group, x0 ...); groups under ``least`` rows share one estimate."""
+def estimate(rows: DataFrame, least: int = 40, steps: int = 40) -> DataFrame:
+    """(g, group, mu, w) for every group of (group, x0 ...); groups under ``least`` distinct rows share one estimate.
+
+    Equal rows of a group count once.     Steps end when no determinant, and no mean in units of its floor, moves by a thousandth, or after ``steps``.
+    """
+    rows = written(rows.select("group", *[f"x{i}" for i in range(_P)]).distinct())
     sizes = rows.groupBy("group").agg(F.count("*").alias("c")).select("group", F.when(F.col("c") >= least, F.col("group")).otherwise("pooled").alias("g"))
     sizes = written(sizes)
     rows = written(rows.join(sizes, "group").select("g", *[f"x{i}" for i in range(_P)]))
-    # start 0: medians and quartile ranges from counts of narrow bins
+    # start 0: medians and median deviations from counts of narrow bins
     bins = rows.select("g", F.posexplode(F.array(*[F.floor(F.col(f"x{i}") * 64).cast("long") for i in range(_P)])).alias("f", "bin")).groupBy("g", "f", "bin").agg(F.count("*").alias("c"))
-    up = Window.partitionBy("g", "f").orderBy("bin")
-    at = bins.withColumn("to", F.sum("c").over(up)).withColumn("all", F.sum("c").over(Window.partitionBy("g", "f")))
-    middle = lambda q: F.min(F.when(F.col("to") >= q * F.col("all"), (F.col("bin") + 0.5) / 64))
-    quarters = at.groupBy("g", "f").agg(middle(0.5).alias("m"), (middle(0.75) - middle(0.25)).alias("iqr"))
+    bins = written(bins)
+    at = lambda df, order: df.withColumn("to", F.sum("c").over(Window.partitionBy("g", "f").orderBy(order))).withColumn("all", F.sum("c").over(Window.partitionBy("g", "f"))).groupBy("g", "f").agg(F.min(F.when(2 * F.col("to") >= F.col("all"), F.col(order))).alias("at"))
+    middles = at(bins, "bin").select("g", "f", F.col("at").alias("m"))
+    off = at(bins.join(middles, ["g", "f"]).withColumn("off", F.abs(F.col("bin") - F.col("m"))), "off").select("g", "f", F.col("at").alias("off"))
     floors = F.element_at(F.array(*[F.lit(float(v)) for v in VECTOR.values()]), F.col("f") + 1)
-    quarters = quarters.withColumn("sd", F.greatest(F.col("iqr") / 1.349, floors))
+    both = middles.join(off, ["g", "f"]).select("g", "f", ((F.col("m") + 0.5) / 64).alias("m"), F.greatest(F.col("off") / 64 * 1.4826, floors).alias("sd"))
     by_f = lambda c: F.max(F.when(F.col("f") == i, F.col(c)))
     parts = []
     for i in range(_P):
         parts += [by_f("m").alias(f"m{i}"), by_f("sd").alias(f"d{i}")]
-    wide = quarters.groupBy("g").agg(*parts)
+    wide = written(both.groupBy("g").agg(*parts))
     diagonal = [F.col(f"d{i}") if i == j else F.lit(0.0) for i, j in _PAIRS]
     first = wide.select("g", F.lit(0).alias("start"), F.array(*[f"m{i}" for i in range(_P)]).alias("mu"), F.array(*[(1 / c if i == j else c) for c, (i, j) in zip(diagonal, _PAIRS)]).alias("w"), F.lit(0.0).alias("logdet"))
-    # start 1: all rows
-    now = written(first.unionByName(_solve(rows.groupBy("g").agg(*_sums()).withColumn("start", F.lit(1)))))
+    # start 1: all rows, drawn to one distance from the medians
+    away = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"d{i}") for i in range(_P)]
+    far = F.greatest(F.sqrt(sum((u * u for u in away), F.lit(0.0))), F.lit(1e-9))
+    drawn = rows.join(wide, "g").withColumn("far", far).select("g", *[(F.col(f"m{i}") + F.col(f"d{i}") * u / F.col("far") * math.sqrt(_P)).alias(f"x{i}") for i, u in enumerate(away)])
+    now = written(first.unionByName(_solve(drawn.groupBy("g").agg(*_sums()).withColumn("start", F.lit(1)), F.lit(1.0))))
+    names = ["n", *[f"s{i}" for i in range(_P)], *[f"p{i}{j}" for i, j in _PAIRS]]
+    up = Window.partitionBy("g", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     for _ in range(steps):
         bin_ = F.floor(F.log2(_distance("mu", "w") + 1e-9) * 16).cast("int")
         counts = rows.join(now, "g").withColumn("bin", bin_).groupBy("g", "start", "bin").agg(*_sums())
-        run = Window.partitionBy("g", "start").orderBy("bin")
-        names = ["n", *[f"s{i}" for i in range(_P)], *[f"p{i}{j}" for i, j in _PAIRS]]
-        total = counts.select("g", "start", F.col("n").alias("own"), F.sum("n").over(Window.partitionBy("g", "start")).alias("all"), *[F.sum(c).over(run).alias(c) for c in names])
-        core = F.ceil(F.col("all") * _CORE)
-        now = written(_solve(total.where((F.col("n") >= core) & (F.col("n") - F.col("own") < core))))
-    best = now.groupBy("g").agg(F.min_by(F.struct("mu", "w"), F.struct("logdet", "start")).alias("b"))
-    return written(sizes.join(best.select("g", "b.mu", "b.w"), "g"))
+        total = counts.select("g", "start", F.sum("n").over(Window.partitionBy("g", "start")).alias("all"), F.struct(*names).alias("own"), F.struct(*[F.coalesce(F.sum(c).over(up), F.lit(0)).alias(c) for c in names]).alias("under"))
+        core = F.least(F.floor((F.col("all") + _P + 1) / 2), F.col("all"))
+        last = total.withColumn("core", core).where("under.n < core and under.n + own.n >= core").withColumn("share", (F.col("core") - F.col("under.n")) / F.col("own.n"))
+        half = last.select("g", "start", "core", "all", *[(F.col("under")[c] + F.col("own")[c] * F.col("share")).alias(c) for c in names])
+        before, now = now, written(_solve(half, F.col("core") / F.col("all")))
+        # covariances at their floor have settled determinants while the means still move
+        steps_of = [F.abs(F.col("mu")[i] - F.col("was_mu")[i]) / v for i, v in enumerate(VECTOR.values())]
+        moved = now.join(before.select("g", "start", F.col("logdet").alias("was"), F.col("mu").alias("was_mu")), ["g", "start"]).where(F.greatest(F.abs(F.col("logdet") - F.col("was")), *steps_of) > 1e-3)
+        if moved.isEmpty():
+            break
+    best = now.groupBy("g").agg(F.min_by(F.struct("mu", "w"), F.struct("logdet", "start")).alias("b")).select("g", "b.mu", "b.w")
+    near = rows.join(best, "g").where(_distance("mu", "w") <= chi2_quantile(_NEAR, _P)).groupBy("g").agg(*_sums()).withColumn("start", F.lit(0))
+    return written(sizes.join(_solve(near, F.lit(_NEAR)).select("g", "mu", "w"), "g"))
 
 
 def _ready(found: DataFrame, groups: list[str]) -> DataFrame:
@@ -211,9 +236,7 @@ def _fits(found: DataFrame, groups: list[str]) -> DataFrame:
 
 def _verdicts(found: DataFrame, groups: list[str], fits: DataFrame, tail: float) -> DataFrame:
     """``found`` (with __s) and columns base_failed and kept."""
-    # the spread of the nearest part understates that of a normal group by this factor
-    factor = _CORE / chi2_cdf(chi2_quantile(_CORE, _P), _P + 2)
-    fine = F.coalesce(_distance("__mu", "__w") <= chi2_quantile(1 - tail, _P) * factor, F.lit(True))
+    fine = F.coalesce(_distance("__mu", "__w") <= chi2_quantile(1 - tail, _P), F.lit(True))
     judged = _ready(found, groups).join(fits, "__g", "left").withColumn("base_failed", _failed())
     return judged.withColumn("kept", ~F.col("base_failed") & fine)
 
@@ -222,8 +245,8 @@ def judge(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source"), tail: f
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept), a row for each input row.
 
     Null, empty and blank texts have no words and fail the base rules. A null language or source is
-    a group of its own; groups under 40 rows are estimated together. Equal vectors have equal
-    verdicts. Repeated rows count as often as they come. An empty table gives an empty result.
+    a group of its own; groups under 40 distinct vectors are estimated together. Equal vectors have
+    equal verdicts and count once in the estimate; repeated rows come back as often as they come. An empty table gives an empty result.
     Extra columns are ignored.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)])

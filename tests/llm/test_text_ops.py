@@ -132,6 +132,25 @@ def test_an_outlier_in_any_statistic_goes(spark):
     assert [got[i].kept for i in range(300, 306)] == [False] * 6
 
 
+def test_a_third_of_copies_does_not_hide_itself(spark):
+    rng = np.random.default_rng(3)
+    p, rows, cases = len(RR.VECTOR), [], {}
+    for k, far, wide in ((0, 7.5, 0), (3, 10, 0), (4, 40, 0), (1, 12, 1), (5, 25, 0.5)):
+        junk = np.zeros(p)
+        junk[k] = far
+        cases[f"{k}/{far}"] = junk
+        for x in (*rng.normal(size=(400, p)), *(junk + wide * rng.normal(size=(200, p)))):
+            rows.append((f"{k}/{far}", *map(float, x)))
+    df = spark.createDataFrame(rows, "group string, " + ", ".join(f"x{i} double" for i in range(p)))
+    fits = {r.group: r for r in RR.estimate(df).collect()}
+    bound = RR.chi2_quantile(1 - 1e-6, p)
+    for g, junk in cases.items():
+        w = np.zeros((p, p))
+        w[np.tril_indices(p)] = fits[g].w
+        assert np.allclose(fits[g].mu, 0, atol=0.35) and np.sum((w @ (junk - fits[g].mu)) ** 2) > bound
+        assert np.all(np.sum(((np.array([r[1:] for r in rows if r[0] == g])[:400] - fits[g].mu) @ w.T) ** 2, axis=1) <= bound)
+
+
 def test_rule_edge_cases(spark, odd):
     got = RR.judge(odd).collect()
     assert len(got) == len(ODD) and all(r.base_failed and not r.kept for r in got if r.n_words < 50)
