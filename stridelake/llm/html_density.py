@@ -8,8 +8,10 @@ and tags of its links; its composite density is
 (C characters, T tags, LC characters in links, NLC others, LT link tags; LC' is LC or 1). The sum of
 an element's children's densities says how much text it holds together. The element with the largest
 sum within the body marks the content; the threshold is the least density on the path from it to the
-body, and the main subtree is the largest-sum element among those that reach it. Blocks of that
-subtree are its text, without the elements that are never content.
+body. From the mark the main subtree grows upwards while the parent reaches the threshold and brings
+no more linked than other text. Beside it every subtree is kept that reaches the threshold without
+being mostly links, and the headings of its ancestors. Blocks of these subtrees are the text, in the
+order of the page, without the elements that are never content.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ _SCOPE = frozenset("table ul ol dl html body div article section td th".split())
 _BOILER = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|menus|breadcrumbs?|sidebar|side-bar|widget|footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|comments?|comment-list|disqus|respond|replies|related|recommended|pagination|pager|toolbar|skip-link)(?:$|[\s_-])"
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_INNER = _HEADINGS | frozenset("a span b i em strong p li blockquote pre td tr tbody table ul ol".split())
 _TOKEN = re.compile(r"<(?:!--(.*?)(?:--!?>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|/?[A-Za-z][^<>]*(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
@@ -156,14 +160,15 @@ def measure(nodes: list[Node], body: Node) -> None:
         node.total += own / (t + 1) if own else 0.0  # text right under an element counts as an unnamed child
 
 
-def main_node(root: Node) -> Node:
+def main_nodes(root: Node) -> list[Node]:
+    """The subtrees that hold the text, in order; none lies in another."""
     nodes = _order(root)
     body = next((x for x in nodes if x.tag == "body"), root)
     if not body.chars:
         measure(nodes, body)
     within = [x for x in _order(body) if not x.skip and x.chars]
     if not within:
-        return body
+        return [body]
     best = max(within, key=lambda x: x.total)
     path, node = [], best
     while node is not None:
@@ -173,12 +178,30 @@ def main_node(root: Node) -> Node:
             break
         node = node.parent
     threshold = min(path, default=0.0)
-    dense = [x for x in within if x.density >= threshold and x.tag not in ("a", "span", "b", "i", "em", "strong", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li")]
-    chosen = max(dense, key=lambda x: x.total, default=best)
-    # paragraphs beside the chosen block belong to it: go up while that gains text without links
-    while chosen is not body and chosen.parent is not None and chosen.tag in ("p", "li", "blockquote", "pre", "td", "tr", "tbody", "table", "ul", "ol"):
-        chosen = chosen.parent
-    return chosen
+    main = best
+    # text right beside an element of running text belongs to it
+    while main is not body and main.tag in _INNER:
+        main = main.parent
+    while main is not body and main.parent is not body:
+        up = main.parent
+        if up.density < threshold or 2 * (up.link_chars - main.link_chars) > up.chars - main.chars:
+            break
+        main = up
+    above, node = set(), main
+    while node is not body:
+        node = node.parent
+        above.add(node)
+    kept, todo = [], [body]
+    while todo:
+        x = todo.pop()
+        if x.skip or not x.chars and x is not body:
+            continue
+        plain = 2 * x.link_chars <= x.chars
+        if x is main or plain and x not in above and (x.density >= threshold or x.tag in _HEADINGS and x.parent in above):
+            kept.append(x)
+        else:
+            todo.extend(k for k in reversed(x.kids) if type(k) is Node)
+    return kept
 
 
 def blocks(node: Node) -> list[str]:
@@ -218,7 +241,7 @@ def main_text(page: str) -> str:
     """The article of a page, its blocks joined by two line breaks; empty where there is none."""
     if not page or page.isspace():
         return ""
-    return "\n\n".join(blocks(main_node(parse(page))))
+    return "\n\n".join(x for node in main_nodes(parse(page)) for x in blocks(node))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -401,6 +401,16 @@ def test_density_prefers_the_article_to_lists_of_links():
     assert got.startswith("Paragraph 0") and "link" not in got and got.count("\n\n") == 5
 
 
+def test_articles_with_containers_stay_whole():
+    p = "<p>" + "word " * 39 + "last.</p>"
+    links = "<div>" + "".join(f"<p><a href=/{i}>A link with some words {i}</a></p>" for i in range(30)) + "</div>"
+    parts = f"<h1>Title</h1><section>{p * 5}</section><section>{p * 5}</section><section>{p * 3}</section>"
+    for page in (f"<article>{parts}</article>", parts, f"<div>{links}<div><article>{parts}</article></div></div>"):
+        got = H.main_text(f"<body>{links}{page}</body>").split("\n\n")
+        assert got[0] == "Title" and len(got) == 14 and all(x.endswith("last.") for x in got[1:])
+    assert H.main_text(f"<body><article><h1>Title</h1><div class=entry-content>{p * 5}</div></article></body>").split("\n\n")[0] == "Title"
+
+
 @pytest.mark.parametrize("page,text", [("", ""), ("   ", ""), ("just text", "just text"), ("<p>a", "a"), ("<nav>x</nav>", ""), ("<script>x", ""), ("<p>a</p></div></p>", "a"), ("a<!-- b", "a"), ("<p>x &am", "x &am"), ("<p>x<b", "x"), ("<p title='a>b'>x</p>", "x"), ("</p>", ""), ("<p>1 < 2</p>", "1 < 2")])
 def test_odd_pages(page, text):
     assert H.main_text(page) == text
