@@ -28,45 +28,63 @@ from pyspark.sql import functions as F
 #: Element names of the HTML standard, and words that name parts of pages.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_SKIP = frozenset("script style noscript template head title svg math canvas object iframe select option button textarea input form nav header footer aside menu dialog noembed noframes audio video map datalist".split())
+_SKIP = frozenset("script style noscript template head title svg math canvas object iframe select option button textarea input nav header footer aside menu dialog noembed noframes audio video map datalist".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _CLOSES_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "html", "body", "li", "dd", "dt"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "thead": set(), "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 _SCOPE = frozenset("table ul ol dl html body div article section td th".split())
-_BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|menus|breadcrumbs?|sidebar|side-bar|widget|footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|comments?|comment-list|disqus|respond|replies|related|recommended|pagination|pager|toolbar|skip-link)(?:$|[\s_-])"
-)
+#: A class or id that is made of such words only; in others (no-sidebar, comments-open) they are about something else.
+_WORDS = r"(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menus?|breadcrumbs?|side-?bar|widget|footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|comments?|comment-list|disqus|respond|replies|related|recommended|pagination|pager|toolbar|skip-link)"
+_BOILER = re.compile(rf"{_WORDS}(?:[_-]{_WORDS})*")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _INNER = _HEADINGS | frozenset("a span b i em strong p li blockquote pre td tr tbody table ul ol".split())
 _TOKEN = re.compile(r"<(?:!--(.*?)(?:--!?>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|/?[A-Za-z][^<>]*(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 _GAP = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "skip", "chars", "tags", "link_chars", "link_tags", "total", "density")
+    __slots__ = ("tag", "parent", "kids", "skip", "named", "chars", "tags", "link_chars", "link_tags", "total", "density")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool):
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag: str, parent: Node | None, skip: bool, named: bool = False):
+        self.tag, self.parent, self.skip, self.named = tag, parent, skip, named
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.total = self.density = 0.0
 
 
-def _boiler(tag: str, attributes: str) -> bool:
-    if tag in _SKIP:
+def _named(tag: str, attributes: str) -> bool:
+    if tag == "form":
         return True
     if not attributes or tag in ("html", "body", "main", "article"):
         return False
     for m in _NAMED.finditer(attributes):
         value = (m[1] or m[2] or m[3] or "").lower()
-        if value in _ROLES or _BOILER.search(value):
+        if value in _ROLES or any(_BOILER.fullmatch(x) for x in value.split()):
             return True
-    return _HIDDEN.search(attributes) is not None
+    return False
+
+
+def _hidden(tag: str, attributes: str) -> bool:
+    return tag in _SKIP or bool(attributes) and tag not in ("html", "body", "main", "article") and _HIDDEN.search(attributes) is not None
+
+
+def _settle(root: Node) -> None:
+    """Skip forms and elements named as boilerplate, with all below, unless they hold blocks with most of the body's text outside links."""
+    nodes = _order(root)
+    if not any(x.named for x in nodes):
+        return
+    plain: dict[Node, int] = {}
+    for x in reversed(nodes):
+        plain[x] = 0 if x.skip or x.tag == "a" else sum(plain[k] if type(k) is Node else 0 if k.isspace() else len(k) for k in x.kids)
+    whole = plain[next((x for x in nodes if x.tag == "body"), root)]
+    for x in nodes:
+        if x.parent is not None and (x.parent.skip or x.named and not (2 * plain[x] > whole and any(type(k) is Node and k.tag in _BLOCK for k in x.kids))):
+            x.skip = True
 
 
 def parse(page: str) -> Node:
@@ -110,7 +128,7 @@ def parse(page: str) -> Node:
                 node = node.parent
             if last is not None:
                 now = last.parent
-        child = Node(tag, now, now.skip or _boiler(tag, m[4]))
+        child = Node(tag, now, now.skip or _hidden(tag, m[4]), _named(tag, m[4]))
         now.kids.append(child)
         if tag in _VOID or m[4].endswith("/") and tag not in _BLOCK and tag not in _RAW and tag not in ("a", "b", "i", "em", "strong", "span"):
             continue
@@ -119,6 +137,7 @@ def parse(page: str) -> Node:
             at = end.end() if end else n
             continue
         now = child
+    _settle(root)
     return root
 
 

@@ -411,6 +411,15 @@ def test_articles_with_containers_stay_whole():
     assert H.main_text(f"<body><article><h1>Title</h1><div class=entry-content>{p * 5}</div></article></body>").split("\n\n")[0] == "Title"
 
 
+def test_names_and_forms_do_not_drop_the_article():
+    p = "<p>" + "word " * 39 + "last.</p>"
+    ad = "<div class='ad'>Buy now</div><div class=cookie-notice>We use cookies</div><div id=sidebar>Elsewhere</div><form><label>Name</label></form>"
+    for name in ("layout no-sidebar", "has-sidebar", "hentry comments-open", "post header-large", "content with-related", "content header"):
+        assert H.main_text(f"<body>{ad}<div class='{name}'>{p * 5}</div></body>").count("last.") == 5
+        got = H.main_text(f"<body><form><input value=x><button>Go</button><div class='{name}'>{ad}{p * 5}</div></form></body>")
+        assert got.count("last.") == 5 and not any(x in got for x in ("Buy", "cookies", "Elsewhere", "Name", "Go"))
+
+
 @pytest.mark.parametrize("page,text", [("", ""), ("   ", ""), ("just text", "just text"), ("<p>a", "a"), ("<nav>x</nav>", ""), ("<script>x", ""), ("<p>a</p></div></p>", "a"), ("a<!-- b", "a"), ("<p>x &am", "x &am"), ("<p>x<b", "x"), ("<p title='a>b'>x</p>", "x"), ("</p>", ""), ("<p>1 < 2</p>", "1 < 2")])
 def test_odd_pages(page, text):
     assert H.main_text(page) == text
