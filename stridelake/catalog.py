@@ -382,14 +382,12 @@ def kinetic_energy_masses(duck):
 
 @query
 def cov3dj(duck):
-    few = f"SELECT * FROM ({roles.pose(duck)}) WHERE node < 5"
-    return out(P.covariance(few, duck=duck), "clip, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b", "cov")
+    return out(P.covariance(roles.pose(duck), duck=duck), "clip, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b", "cov")
 
 
 @query
 def lagged_covariance(duck):
-    few = f"SELECT * FROM ({roles.pose(duck)}) WHERE node < 3"
-    return out(P.covariance(few, 2, duck), "clip, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b", "cov")
+    return out(P.covariance(roles.pose(duck), 2, duck), "clip, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b", "cov")
 
 
 @query

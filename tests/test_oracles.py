@@ -47,3 +47,9 @@ def test_scans_read_only_what_they_use(spark, small):
     plan = catalog.queries()["temporal_stats"](spark, small)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp" in plan.replace("timestamp_ntz", "timestamp") or "user_id" in plan
     assert "props" not in plan.split("== Physical Plan ==")[1]
+
+
+@pytest.mark.parametrize("name", ["cov3dj", "lagged_covariance"])
+def test_covariances_have_all_channels(name, spark, small):
+    counts = catalog.queries()[name](spark, small).groupBy("clip").count().collect()
+    assert counts and all(r["count"] == (3 * 21) ** 2 for r in counts)
