@@ -1,7 +1,7 @@
 """Licence signatures, written for texts in lower case whose words are parted by single blanks.
 
 A line is ``label ; priority ; keyword ; pattern``. The pattern runs only on texts that hold the
-keyword. Between words of a pattern stands a blank; ``~`` stands for up to three words of any kind.
+keyword, which every match of it contains. Between words of a pattern stands a blank; ``~`` stands for up to three words of any kind.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ bsd-3-clause ; 80 ; endorse ; may be used to endorse or promote products derived
 bsd-4-clause ; 88 ; advertising ; all advertising materials mentioning features or use of this software must display
 apache-2.0 ; 90 ; apache ; licensed under the apache license version 2 0
 apache-2.0 ; 85 ; apache org ; (?:https? )?(?:www )?apache org licenses license 2 0
-apache ; 70 ; apache ; you may not use this file except in compliance with the license
+apache ; 70 ; except in compliance ; you may not use this file except in compliance with the license
 apache-1.1 ; 88 ; apache ; this product includes software developed by the apache software foundation
 gpl ; 80 ; general public ; under the terms of the gnu general public license
 gpl-2.0-or-later ; 92 ; general public ; gnu general public license as published by the free software foundation either version 2 of the license or (?:at your option )?any later version
@@ -78,7 +78,7 @@ cc0-1.0 ; 88 ; waived ; (?:has )?waived all copyright and related or neighboring
 cc0-1.0 ; 85 ; dedicat ; dedicate[sd]? ~ to the public domain
 public-domain ; 80 ; public domain ; (?:released|placed|put) (?:in|into) the public domain
 public-domain ; 70 ; public domain ; this (?:work|file|text|software|book|page|image) is (?:in|part of) the public domain
-public-domain ; 60 ; public domain ; no known copyright
+public-domain ; 60 ; known copyright ; no known copyright
 cc-by-4.0 ; 90 ; creative commons ; (?:licensed|released|available|published) under (?:a|the) creative commons attribution 4 0 international license
 cc-by-sa-4.0 ; 90 ; creative commons ; (?:licensed|released|available|published) under (?:a|the) creative commons attribution share ?alike 4 0 international license
 cc-by-nc-4.0 ; 90 ; creative commons ; (?:licensed|released|available|published) under (?:a|the) creative commons attribution non ?commercial 4 0 international license
@@ -97,10 +97,10 @@ psf ; 85 ; python software ; python software foundation license version 2
 postgresql ; 85 ; university of california ; in no event shall the university of california be liable to any party
 ncsa ; 85 ; illinois ; university of illinois ncsa open source license
 openssl ; 85 ; openssl ; this product includes software developed by the openssl project
-sleepycat ; 80 ; sleepycat ; redistributions in any form must be accompanied by information on how to obtain complete source code
+sleepycat ; 80 ; complete source code ; redistributions in any form must be accompanied by information on how to obtain complete source code
 json ; 85 ; good not evil ; the software shall be used for good not evil
 beerware ; 85 ; beer ; (?:you can )?buy me a beer in return
-eupl-1.2 ; 88 ; european union public ; licensed under the eupl (?:version |v ?)?1 2
+eupl-1.2 ; 88 ; eupl ; licensed under the eupl (?:version |v ?)?1 2
 busl ; 85 ; business source ; business source license 1 1
 sspl ; 85 ; server side public ; server side public license (?:version |v ?)1
 commons-clause ; 85 ; commons clause ; commons clause license condition v1 0
@@ -140,7 +140,7 @@ lgpl ; 50 ; lgpl ; lgpl
 agpl ; 62 ; affero ; gnu affero general public licen[sc]e
 agpl-3.0 ; 72 ; agpl ; agpl ?(?:version |v ?)?3(?: 0)?
 agpl ; 50 ; agpl ; agpl
-gfdl ; 62 ; documentation license ; gnu free documentation licen[sc]e
+gfdl ; 62 ; free documentation ; gnu free documentation licen[sc]e
 gfdl ; 50 ; gfdl ; gfdl
 mpl-2.0 ; 72 ; mozilla ; mozilla public licen[sc]e (?:version |v ?)?2(?: 0)?
 mpl-1.1 ; 72 ; mozilla ; mozilla public licen[sc]e (?:version |v ?)?1 1
@@ -249,9 +249,9 @@ gpl ; 44 ; general public license ; general public license
 public-domain ; 40 ; public domain ; public domain
 # licences named in other languages
 gpl ; 60 ; licence publique ; licence publique g[ée]n[ée]rale gnu
-cc-by ; 54 ; paternit ; creative commons (?:paternit[ée]|attribution)
+cc-by ; 54 ; creative commons ; creative commons (?:paternit[ée]|attribution)
 cc-by ; 54 ; namensnennung ; creative commons namensnennung
-cc-by ; 54 ; reconocimiento ; creative commons (?:reconocimiento|atribuci[óo]n)
+cc-by ; 54 ; creative commons ; creative commons (?:reconocimiento|atribuci[óo]n)
 reserved ; 46 ; droits ; tous droits r[ée]serv[ée]s
 reserved ; 46 ; alle rechte ; alle rechte vorbehalten
 reserved ; 46 ; todos los derechos ; todos los derechos reservados

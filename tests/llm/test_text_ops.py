@@ -365,6 +365,39 @@ def test_license_labels(text, labels):
     assert L.Scanner().scan(text.encode())[5] == labels
 
 
+def matched(parsed):
+    """All byte strings that a parsed pattern matches, with a zero byte for a part that is no fixed text."""
+    out = {b""}
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            parts = {bytes([arg])}
+        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
+            parts = {bytes([v]) for _, v in arg}
+        elif name == "SUBPATTERN":
+            parts = matched(arg[-1])
+        elif name == "BRANCH":
+            parts = set().union(*map(matched, arg[1]))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT") and tuple(arg[:2]) == (0, 1):
+            parts = {b""} | matched(arg[2])
+        elif name == "ASSERT":
+            parts = {b""}
+        else:
+            parts = {b"\0"}
+        out = {a + b for a in out for b in parts}
+    return out
+
+
+def test_every_match_holds_its_keyword():
+    for r in L.signatures():
+        assert all(r.keyword in x for x in matched(re._parser.parse(r.pattern.pattern))), (r.label, r.keyword, r.pattern.pattern)
+
+
+@pytest.mark.parametrize("text,label", [("licensed under the EUPL v1.2", "eupl-1.2"), ("No known copyright", "public-domain"), ("GNU Free Documentation Licence", "gfdl")])
+def test_rules_run_without_other_phrases(text, label):
+    assert L.Scanner().scan(text.encode())[5] == label
+
+
 def test_contained_detections_are_suppressed():
     spans = L.Scanner().spans(b"x licensed under the mit license y mit license")
     assert [(s[0], s[1], s[2]) for s in spans] == [("mit", 1, 6), ("mit", 7, 9)]
