@@ -11,6 +11,8 @@ import duckdb
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from stridelake.llm import html_density as H
 from stridelake.llm import license_scan as L
 from stridelake.llm import piece_codec as PC
@@ -101,14 +103,87 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
+RULE_COLS = [f"{c}{i}" for c in "xn" for i in range(len(RR.VECTOR))]
+RULE_ROWS = "group string, " + ", ".join(f"{c} double" for c in RULE_COLS)
+
+
+def unpacked(cov):
+    """The matrix of a lower triangle."""
+    p = len(RR.VECTOR)
+    out = np.zeros((p, p))
+    out[np.tril_indices(p)] = cov
+    return out + np.tril(out, -1).T
+
+
 def test_robust_estimate_is_near_the_clean_part(spark):
     rng = np.random.default_rng(0)
     p = len(RR.VECTOR)
-    clean, wild = rng.normal(size=(600, p)) * 2 + 1, rng.normal(size=(140, p)) * 0.2 + 40
-    rows = [("a", *map(float, x)) for x in (*clean, *wild)] + [("tiny", *([0.0] * p))]
-    df = spark.createDataFrame(rows, "group string, " + ", ".join(f"x{i} double" for i in range(p)))
+    mixed = rng.normal(size=(p, p)) * 0.5 + np.eye(p) * 2
+    clean, wild = rng.normal(size=(600, p)) @ mixed.T + 1, rng.normal(size=(140, p)) * 0.2 + 40
+    rows = [("a", *map(float, x), *([1e-6] * p)) for x in (*clean, *wild)] + [("tiny", *([0.0] * p), *([1e-6] * p))]
+    df = spark.createDataFrame(rows, RULE_ROWS)
     fit = {r.group: r for r in RR.estimate(df).collect()}
-    assert np.allclose(fit["a"].mu, 1, atol=0.35) and fit["tiny"].g == "pooled"
+    true = mixed @ mixed.T
+    assert np.allclose(fit["a"].mu, 1, atol=0.5) and np.abs(unpacked(fit["a"].cov) - true).max() < 0.25 * true.max()
+    # one row of a group moves the whole's estimate by a part of 41
+    assert np.allclose(fit["tiny"].mu, np.array(fit["a"].mu) * 40 / 41, atol=0.2) and np.abs(unpacked(fit["tiny"].cov) - true * 40 / 41).max() < 0.25 * true.max()
+    assert RR.estimate(df.where("false")).collect() == []
+
+
+def slow_mcd(x, noise, rng, starts=60):
+    """(mean, covariance) of the rows near the half with the least determinant, from many random starts; one row for equal ones."""
+    x, first = np.unique(x, axis=0, return_index=True)
+    noise, (n, p) = noise[first], x.shape
+    h, best = min((n + p + 1) // 2, n), None
+    for _ in range(starts):
+        at, last = rng.choice(n, min(n, p + 2), replace=False), None
+        while True:
+            mu, cov = x[at].mean(0), np.cov(x[at].T, bias=True) * RR.spread(len(at) / n) + np.diag(noise[at].mean(0))
+            d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
+            det = np.linalg.slogdet(cov)[1]
+            if last is not None and last - det < 1e-9:
+                break
+            at, last = np.argsort(d, kind="stable")[:h], det if len(at) == h else None
+        if best is None or det < best[0]:
+            best = det, d <= RR.chi2_quantile(0.975, p)
+    near = x[best[1]]
+    return near.mean(0), np.cov(near.T, bias=True) * RR.spread(0.975), len(near)
+
+
+def test_verdicts_follow_a_brute_force_estimate(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", F.when(F.col("lang") == "en", "a").otherwise("b").alias("source"))
+    rows = docs.collect()
+    x, noise = RR.vectors(np.array([RR.statistics((r.text or "").encode()) for r in rows]))
+    counts = np.array([RR.statistics((r.text or "").encode()) for r in rows])
+    fine = (counts[:, 0] >= 50) & (100 * counts[:, 4] <= 50 * counts[:, 0])
+    rng = np.random.default_rng(0)
+    # equal vectors count once in a group, and in the whole once for each group
+    groups = {}
+    for i, r in enumerate(rows):
+        if fine[i]:
+            groups.setdefault((r.lang, r.source), []).append(i)
+    once = {g: np.array(at)[np.unique(x[at], axis=0, return_index=True)[1]] for g, at in groups.items()}
+    every = np.concatenate(list(once.values()))
+    whole = slow_mcd(x[every] + 1e-12 * np.arange(len(every))[:, None], noise[every], rng)
+    want, fits = {}, {}
+    for g, at in groups.items():
+        mu, cov, n = slow_mcd(x[at], noise[at], rng)
+        w = n / (n + 40)
+        fits[g] = w * mu + (1 - w) * whole[0], w * cov + (1 - w) * whole[1]
+        for i in at:
+            off = x[i] - fits[g][0]
+            want[rows[i].doc_id] = off @ np.linalg.solve(fits[g][1] + np.diag(noise[i]), off) <= RR.chi2_quantile(1 - 1e-6, 6)
+    got = {r.doc_id: r for r in RR.judge(docs).collect()}
+    same = sum(got[i].kept == w for i, w in want.items())
+    assert len(want) > 100 and not all(want.values()) and same >= 0.98 * len(want)
+    assert all(not got[r.doc_id].kept for i, r in enumerate(rows) if not fine[i])
+
+
+def test_fits_differ_by_group(spark, small):
+    found = RR.measured(spark.read.parquet(f"{small}/documents.parquet").select("text", F.col("lang").alias("g0")))
+    covs = np.array([unpacked(r["__cov"]) for r in RR._fits(found, ["g0"]).collect()])
+    spreads = np.sqrt(covs[:, [0, 5], [0, 5]])
+    assert len(covs) > 1 and len(np.unique(spreads[:, 0].round(12))) == len(covs) and (np.abs(covs[:, 5, 0]) > 0).all()
 
 
 def test_an_outlier_in_any_statistic_goes(spark):
@@ -140,15 +215,14 @@ def test_a_third_of_copies_does_not_hide_itself(spark):
         junk[k] = far
         cases[f"{k}/{far}"] = junk
         for x in (*rng.normal(size=(400, p)), *(junk + wide * rng.normal(size=(200, p)))):
-            rows.append((f"{k}/{far}", *map(float, x)))
-    df = spark.createDataFrame(rows, "group string, " + ", ".join(f"x{i} double" for i in range(p)))
+            rows.append((f"{k}/{far}", *map(float, x), *([1e-3] * p)))
+    df = spark.createDataFrame(rows, RULE_ROWS)
     fits = {r.group: r for r in RR.estimate(df).collect()}
     bound = RR.chi2_quantile(1 - 1e-6, p)
     for g, junk in cases.items():
-        w = np.zeros((p, p))
-        w[np.tril_indices(p)] = fits[g].w
-        assert np.allclose(fits[g].mu, 0, atol=0.35) and np.sum((w @ (junk - fits[g].mu)) ** 2) > bound
-        assert np.all(np.sum(((np.array([r[1:] for r in rows if r[0] == g])[:400] - fits[g].mu) @ w.T) ** 2, axis=1) <= bound)
+        far = lambda x: RR.squared_distances(x, np.full((len(x), p), 1e-3), np.array([fits[g].mu] * len(x)), np.array([fits[g].cov] * len(x)))
+        assert np.allclose(fits[g].mu, 0, atol=0.35) and far(junk[None])[0] > bound
+        assert np.all(far(np.array([r[1 : p + 1] for r in rows if r[0] == g])[:400]) <= bound)
 
 
 def test_rule_edge_cases(spark, odd):
