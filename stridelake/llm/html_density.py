@@ -40,7 +40,10 @@ _WORDS = r"(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|nav
 _BOILER = re.compile(rf"{_WORDS}(?:[_-]{_WORDS})*")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _INNER = _HEADINGS | frozenset("a span b i em strong p li blockquote pre td tr tbody table ul ol".split())
-_TOKEN = re.compile(r"<(?:!--(.*?)(?:--!?>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|/?[A-Za-z][^<>]*(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
+_NAME = re.compile(r"(/?)([A-Za-z][^\s/<>]*)")
+#: What may end a tag, and what starts a quoted value.
+_STOP = re.compile(r"[<>]|=\s*[\"']")
+_COMMENT_END = re.compile(r"--!?>")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
@@ -48,10 +51,12 @@ _GAP = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "skip", "named", "chars", "tags", "link_chars", "link_tags", "total", "density")
+    __slots__ = ("tag", "parent", "kids", "skip", "named", "paragraph", "chars", "tags", "link_chars", "link_tags", "total", "density")
 
     def __init__(self, tag: str, parent: Node | None, skip: bool, named: bool = False):
         self.tag, self.parent, self.skip, self.named = tag, parent, skip, named
+        # the paragraph that is open here, unless a block lies between
+        self.paragraph = self if tag == "p" else parent.paragraph if parent is not None and tag not in _BLOCK else None
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.total = self.density = 0.0
@@ -87,38 +92,84 @@ def _settle(root: Node) -> None:
             x.skip = True
 
 
+def _tag_end(page: str, at: int, open_quotes: dict[str, bool]) -> tuple[int, int]:
+    """(end of the attributes that start at ``at``, end of the tag): at the next > or before the next < outside quoted values.
+
+    A quote that never closes is an ordinary character. Each character is passed once; a search for
+    a closing quote that fails is not repeated.
+    """
+    n = len(page)
+    while True:
+        m = _STOP.search(page, at)
+        if m is None:
+            return n, n
+        found = page[m.end() - 1]
+        if found == ">":
+            return m.start(), m.end()
+        if found == "<":
+            return m.start(), m.start()
+        at = m.end()
+        if open_quotes.get(found, True):
+            close = page.find(found, at)
+            if close < 0:
+                open_quotes[found] = False
+            else:
+                at = close + 1
+
+
 def parse(page: str) -> Node:
     """The element tree. Unclosed paragraphs, items, cells and inline elements end where the standard ends them;
-    stray end tags and a tag that the page's end cuts off are dropped."""
+    stray end tags and a tag that the page's end cuts off are dropped. The time is in proportion to the page."""
     root = Node("#root", None, False)
     now, at, n = root, 0, len(page)
+    opened: dict[str, int] = {}
+    quotes: dict[str, bool] = {}
+
+    def close(last: Node) -> Node:
+        """Ends the open elements up to ``last``."""
+        node = now
+        while node is not last.parent:
+            opened[node.tag] -= 1
+            node = node.parent
+        return node
+
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        lt = page.find("<", at)
+        if lt < 0:
             now.kids.append(page[at:])
             break
-        if m.start() > at:
-            now.kids.append(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if not tag:
+        m = _NAME.match(page, lt + 1)
+        if m is None and page[lt + 1 : lt + 2] not in ("!", "?", "/"):
+            end = page.find("<", lt + 1)  # a sign, no tag
+            end = n if end < 0 else end
+            now.kids.append(page[at:end])
+            at = end
             continue
-        tag = tag.lower()
-        if m[2]:
-            node = now
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                now = node.parent
+        if lt > at:
+            now.kids.append(page[at:lt])
+        if m is None:
+            if page.startswith("!--", lt + 1):
+                end = _COMMENT_END.search(page, lt + 4)
+                at = end.end() if end else n
+            else:
+                end = page.find(">", lt)
+                at = end + 1 if end >= 0 else n
             continue
-        if tag in _CLOSES_P or tag == "p":
-            node = now
-            while node is not root and node.tag != "p" and (node.tag not in _BLOCK):
-                node = node.parent
-            if node.tag == "p":
-                now = node.parent
+        stop, at = _tag_end(page, m.end(), quotes)
+        if stop == n:
+            break
+        tag, attributes = m[2].lower(), page[m.end() : stop]
+        if m[1]:
+            if opened.get(tag):
+                node = now
+                while node.tag != tag:
+                    node = node.parent
+                now = close(node)
+            continue
+        if (tag in _CLOSES_P or tag == "p") and now.paragraph is not None:
+            now = close(now.paragraph)
         same = _SAME.get(tag)
-        if same is not None:
+        if same is not None and any(opened.get(x) for x in same):
             node, last = now, None
             while node is not root and node.tag not in ("table", "ul", "ol", "dl", "select", "div", "article", "section", "body"):
                 if node.tag in same:
@@ -127,15 +178,16 @@ def parse(page: str) -> Node:
                         break
                 node = node.parent
             if last is not None:
-                now = last.parent
-        child = Node(tag, now, now.skip or _hidden(tag, m[4]), _named(tag, m[4]))
+                now = close(last)
+        child = Node(tag, now, now.skip or _hidden(tag, attributes), _named(tag, attributes))
         now.kids.append(child)
-        if tag in _VOID or m[4].endswith("/") and tag not in _BLOCK and tag not in _RAW and tag not in ("a", "b", "i", "em", "strong", "span"):
+        if tag in _VOID or attributes.endswith("/") and tag not in _BLOCK and tag not in _RAW and tag not in ("a", "b", "i", "em", "strong", "span"):
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            at = n if end is None else page.find(">", end.end()) + 1 or n
             continue
+        opened[tag] = opened.get(tag, 0) + 1
         now = child
     _settle(root)
     return root
