@@ -4,14 +4,17 @@
 2. Unit vectors are turned into the principal axes of all classes, largest variance first, so the
    leading coordinates carry most of every product.
 3. Space is parted into cells by a tree over the leading coordinates. A pair with cosine c lies
-   sqrt(2 - 2c) apart at most, so a vector visits just the cells within that distance: its links are
-   all found in its own cell, however the tree was chosen (it comes from a bounded sample).
+   sqrt(2 - 2c) apart at most, so a vector visits just the cells within that distance that come after
+   its own: each pair meets once, in the later of its two cells, however the tree was chosen (it
+   comes from a bounded sample). The meeting counts for both.
 4. In a cell, tiles of own vectors meet tiles of own and visiting ones. A tile adds up products of
    leading coordinates, a group of axes at a time, and bounds the rest by the product of the suffix
    norms; pairs that cannot reach the threshold are dropped, and a tile with none left stops. What
    remains is confirmed on the unit vectors in the original axes, in double precision.
 
 Crowded cells are dealt out by hash, so a task holds ``cell_rows`` own vectors; visitors stream past.
+The bounds decide how many cells a vector visits: few where the leading axes hold most of the
+variance, half of all where no axis does. Then the work is that of all pairs of tiles.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import written
+from stridelake.llm.common import small, written
 from stridelake.llm.graph import components
 from stridelake.llm.minhash_dedup import _Forest
 
@@ -179,7 +182,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = written(found)
     near = components(found.where("b is not null"), "k", "b").withColumnRenamed("node", "k")
-    sums = found.where("b is null").select("k", "n")
+    sums = found.where("b is null").groupBy("k").agg(F.sum("n").alias("n"))
     placed = classes.join(near, "k", "left").withColumn("component", F.coalesce("component", "k"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     ends = placed.join(least, "component").join(sums, "k", "left").select("v", "component_id", (F.coalesce("n", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
@@ -189,7 +192,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "
 
 
 def _linked(classes: DataFrame, dim: int, threshold: float, cell_rows: int, lead: int, group: int, sample: int) -> DataFrame:
-    """(k, b, n): with b null, n rows that class k links with besides its own; else a link of a spanning forest."""
+    """(k, b, n): with b null, rows that class k links with besides its own, in parts; else a link of a spanning forest."""
     axes = _axes(classes, dim)
     radius = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9)
     steps = sorted({*range(group, dim, group), dim})
@@ -203,28 +206,66 @@ def _linked(classes: DataFrame, dim: int, threshold: float, cell_rows: int, lead
                 part = b.slice(lo, 4096)
                 unit = _unit(part.column(2))
                 row, cell, home = _visits(tree, unit @ axes[:, :lead], radius)
+                own = np.empty(len(unit), np.int64)
+                own[row[home]] = cell[home]
+                once = cell >= own[row]
+                row, cell, home = row[once], cell[once], home[once]
                 some = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(home), some.column(0), some.column(1), pa.array([x.tobytes() for x in unit[row]], pa.binary())], ["cell", "home", "k", "rows", "unit"])
 
     dealt = written(classes.select("k", "rows", "v").mapInArrow(deal, "cell long, home boolean, k long, rows long, unit binary"))
     crowd = dealt.where("home").groupBy("cell").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("decks"))
-    placed = dealt.join(crowd, "cell")
-    own = placed.where("home").withColumn("deck", F.pmod(F.xxhash64("k"), F.col("decks")).cast("int")).withColumn("first", F.lit(0))
-    # every row that reaches a cell, its own ones included, passes each of the cell's decks
-    seen = placed.withColumn("deck", F.explode(F.sequence(F.lit(0), F.col("decks") - 1))).withColumn("first", F.lit(1))
-    cols = ["cell", "deck", "first", "k", "rows", "unit"]
-    rows = own.select(cols).unionByName(seen.select(cols))
-    rows = rows.repartition("cell", "deck").sortWithinPartitions("cell", "deck", "first", "k")
+    # a row for each leaf of the tree, whose number the sample bounds
+    placed = dealt.join(small(written(crowd), 500_000), "cell")
+    mine = F.pmod(F.xxhash64("k"), F.col("decks")).cast("int")
+    # a cell's own rows are held in one deck (turn 0) and pass the others (1), as visitors pass all (2)
+    turn = F.when(~F.col("home"), 2).when(F.col("deck") == mine, 0).otherwise(1)
+    seen = placed.withColumn("deck", F.explode(F.sequence(F.lit(0), F.col("decks") - 1))).withColumn("turn", turn)
+    rows = seen.select("cell", "deck", "turn", "k", "rows", "unit").repartition("cell", "deck").sortWithinPartitions("cell", "deck", "turn", "k")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, at, counts, forest, links, hold = None, None, None, None, [], []
+        tile, at, counts, forest, links, hold, place = None, None, None, None, [], [], {}
+
+        def out(k, b, n):
+            return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["k", "b", "n"])
+
+        def against(ids, weight, unit, both: bool):
+            """Counts links of the tile's rows with other ones, and of those too if they meet nowhere else."""
+            i, j = compare(tile, _Tile(ids, weight, unit, axes, steps), steps, threshold)
+            other = tile.ids[i] != ids[j]
+            i, j = i[other], j[other]
+            np.add.at(counts, i, weight[j])
+            # one link of each visitor to each component of own rows is enough
+            told = set()
+            for x, y in zip(i.tolist(), ids[j].tolist()):
+                mate = place.get(y)
+                if mate is not None:
+                    if forest.join(x, mate):
+                        links.append((int(tile.ids[x]), y))
+                elif (c := (y, forest.find(x))) not in told:
+                    told.add(c)
+                    links.append((int(tile.ids[x]), y))
+            if both and len(j):
+                theirs = np.bincount(j, tile.weight[i], len(ids)).astype(np.int64)
+                some = np.flatnonzero(theirs)
+                yield out(ids[some], [None] * len(some), theirs[some])
+
+        def start():
+            """The rows held so far become the tile and are compared with each other."""
+            nonlocal tile, counts, forest, place, hold
+            ids, weight, unit = (np.concatenate(x) for x in zip(*hold))
+            tile, hold = _Tile(ids, weight, unit, axes, steps), []
+            counts, forest = np.zeros(len(ids), np.int64), _Forest(len(ids))
+            place = {k: i for i, k in enumerate(ids.tolist())}
+            for lo in range(0, len(ids), 1024):
+                yield from against(ids[lo : lo + 1024], weight[lo : lo + 1024], unit[lo : lo + 1024], False)
 
         def done():
+            if hold:
+                yield from start()
             if tile is not None:
-                n, m = len(tile.ids), len(links)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([tile.ids, np.array([x for x, _ in links], np.int64)])), pa.array([None] * n + [y for _, y in links], pa.int64()), pa.array(np.concatenate([counts, np.zeros(m, np.int64)]))], ["k", "b", "n"]
-                )
+                yield out(tile.ids, [None] * len(tile.ids), counts)
+                yield out([x for x, _ in links], [y for _, y in links], [0] * len(links))
 
         for b in batches:
             key = np.stack([b.column(i).to_numpy() for i in range(3)])
@@ -232,36 +273,20 @@ def _linked(classes: DataFrame, dim: int, threshold: float, cell_rows: int, lead
             for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), b.num_rows]):
                 for s in range(lo, hi, 1024):
                     part = b.slice(s, min(1024, hi - s))
-                    cell = (int(key[0, s]), int(key[1, s]))
+                    cell, turn = (int(key[0, s]), int(key[1, s])), key[2, s]
                     unit = np.frombuffer(b"".join(part.column(5).to_pylist()), np.float64).reshape(-1, dim)
                     ids, weight = part.column(3).to_numpy(), part.column(4).to_numpy()
                     if cell != at:
                         yield from done()
                         tile, at, links, hold = None, cell, [], []
-                    if key[2, s] == 0:
+                    if turn == 0:
                         hold.append((ids, weight, unit))
                         continue
                     if tile is None:
                         if not hold:
                             continue
-                        tile = _Tile(*(np.concatenate(x) for x in zip(*hold)), axes, steps)
-                        counts, hold = np.zeros(len(tile.ids), np.int64), []
-                        place = {k: i for i, k in enumerate(tile.ids.tolist())}
-                        forest = _Forest(len(tile.ids))
-                    i, j = compare(tile, _Tile(ids, weight, unit, axes, steps), steps, threshold)
-                    other = tile.ids[i] != ids[j]
-                    i, j = i[other], j[other]
-                    np.add.at(counts, i, weight[j])
-                    # one link of each visitor to each component of own rows is enough
-                    told = set()
-                    for x, y in zip(i.tolist(), ids[j].tolist()):
-                        mate = place.get(y)
-                        if mate is not None:
-                            if forest.join(x, mate):
-                                links.append((int(tile.ids[x]), y))
-                        elif (c := (y, forest.find(x))) not in told:
-                            told.add(c)
-                            links.append((int(tile.ids[x]), y))
+                        yield from start()
+                    yield from against(ids, weight, unit, turn == 2)
         yield from done()
 
     return rows.mapInArrow(meet, "k long, b long, n long")
