@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stridelake import set_catalog
 from stridelake.functions import rotations as R
 from stridelake.functions import vectors as V
 from stridelake.operators import contacts as C
@@ -110,21 +111,6 @@ def box_filter_even(duck):
     return out(S.box_filter(roles.signal(duck), "v", 4), "clip, frame", "smooth")
 
 
-for _norm in ("backward", "ortho", "forward", "amplitude"):
-    _register(f"fft_magnitude_{_norm}", lambda duck, n=_norm: out(S.spectrum(roles.wave(duck), "v", FS, n, duck=duck), "clip, CAST(k AS BIGINT) AS k", "freq", "magnitude"))
-
-
-@query
-def dominant_frequency(duck):
-    return out(S.dominant_frequency(roles.wave(duck), "v", FS, duck=duck), "clip", "dominant")
-
-
-@query
-def spectral_arc_length(duck):
-    speeds = f"SELECT clip, frame, abs(v) AS v FROM ({roles.wave(duck)})"
-    return out(S.sparc_small(speeds, "v", FS, padlevel=1, duck=duck), "clip", "sparc")
-
-
 @query
 def zero_crossings(duck):
     return S.zero_crossings(roles.wave(duck), "v")
@@ -380,16 +366,6 @@ def kinetic_energy_masses(duck):
     return out(P.kinetic_energy(roles.pose(duck), DT, "1.0 + 0.5 * node"), "clip, frame", "energy")
 
 
-@query
-def cov3dj(duck):
-    return out(P.covariance(roles.pose(duck), duck=duck), "clip, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b", "cov")
-
-
-@query
-def lagged_covariance(duck):
-    return out(P.covariance(roles.pose(duck), 2, duck), "clip, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b", "cov")
-
-
 @query
 def facing_frame(duck):
     return out(P.facing(roles.pose(duck), [(3, 5), (4, 6)]), "clip, frame, valid", *(f"{d}_{c}" for d in ("forward", "left", "up") for c in "xyz"))
@@ -874,8 +850,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         return run
 
-    return {name: bind(f) for name, f in _SQL.items()}
+    return {name: bind(f) for name, f in _SQL.items()} | set_catalog.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: f(True) for name, f in _SQL.items()}
+    return {name: f(True) for name, f in _SQL.items()} | set_catalog.oracle_sql()

@@ -4,11 +4,12 @@ that of a recording; groups are spread over tasks by their keys."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def _grouped(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str | None, f: Callable[[np.ndarray], dict], fields: str) -> DataFrame:
@@ -76,24 +77,29 @@ def sparc(df: DataFrame, fs: float, value: str = "v", keys: Sequence[str] = ("cl
 
 
 def otsu(values: np.ndarray, nbins: int = 64, valley_ratio: float = 0.6, mass_min: float = 0.1) -> float:
-    """The threshold between two classes of values, NaN where they do not part: a valley and both masses are asked for."""
+    """The threshold between two classes of values, NaN where they do not part: the bin that parts them with the largest
+    variance between classes, the middle one of equals, with a valley of the smoothed histogram there and both masses."""
     v = values[np.isfinite(values)]
     if len(v) < 8 or v.max() <= v.min():
         return float("nan")
+    if (np.diff(np.linspace(v.min(), v.max(), nbins + 1)) <= 0).any():
+        return float("nan")  # a range of a few roundings
     hist, edges = np.histogram(v, nbins)
     mid = (edges[1:] + edges[:-1]) / 2
-    w0 = np.cumsum(hist)[:-1].astype(float)
-    w1 = len(v) - w0
-    s0 = np.cumsum(hist * mid)[:-1]
+    share = hist / len(v)
+    w0 = np.cumsum(share)
+    w1, s0 = 1 - w0, np.cumsum(share * mid)
     ok = (w0 > 0) & (w1 > 0)
-    between = np.where(ok, w0 * w1 * (s0 / np.maximum(w0, 1) - ((hist * mid).sum() - s0) / np.maximum(w1, 1)) ** 2, -1.0)
-    best = np.flatnonzero(between >= between.max() * (1 - 1e-12))
-    cut = int(round((best[0] + best[-1]) / 2))
-    if min(w0[cut], w1[cut]) < mass_min * len(v):
+    between = np.zeros(nbins)
+    between[ok] = (s0[-1] * w0[ok] - s0[ok]) ** 2 / (w0[ok] * w1[ok])
+    best = np.flatnonzero(between >= between.max() - 1e-12)
+    cut = int(best[len(best) // 2])
+    if not ok[cut] or min(w0[cut], w1[cut]) < mass_min:
         return float("nan")
-    smooth = np.convolve(hist, np.ones(5) / 5, "same")
-    low, high = smooth[: cut + 1].max(), smooth[cut + 1 :].max()
-    return float(edges[cut + 1]) if smooth[cut] <= valley_ratio * min(low, high) else float("nan")
+    smooth = np.convolve(hist.astype(float), np.full(5, 0.2), "same")
+    peak = min(smooth[: cut + 1].max(), smooth[cut:].max())
+    valley = smooth[max(0, cut - 1) : cut + 2].min()
+    return float(mid[cut]) if 0 < peak and valley <= valley_ratio * peak else float("nan")
 
 
 def adaptive_threshold(df: DataFrame, base: float, value: str = "speed", keys: Sequence[str] = ("clip", "node")) -> DataFrame:
@@ -138,16 +144,78 @@ def ramer_douglas_peucker(df: DataFrame, eps: float, columns: Sequence[str] = ("
     return _grouped(df, keys, list(columns), "frame", pick, ", ".join(["place long", *(f"{c} double" for c in columns)]))
 
 
-def smoothed_spectrum(df: DataFrame, fs: float, value: str = "v", keys: Sequence[str] = ("clip",)) -> DataFrame:
-    """(keys, k, freq, magnitude) by a fast transform, for series too long for a join with frequencies."""
+def spectrum(df: DataFrame, fs: float = 1.0, norm: str = "backward", value: str = "v", keys: Sequence[str] = ("clip",)) -> DataFrame:
+    """(keys, k, freq, magnitude) of the real transform of each series, by a fast one: n log n steps for n samples.
+
+    norm is backward, ortho, forward or amplitude (doubled but for the constant and an even series' last).
+    """
+    if norm not in ("backward", "ortho", "forward", "amplitude"):
+        raise ValueError(f"unknown norm {norm!r}")
 
     def pick(x: np.ndarray) -> dict:
-        m = np.abs(np.fft.rfft(x[:, 0]))
-        return {"k": np.arange(len(m)), "freq": np.arange(len(m)) * fs / len(x), "magnitude": m}
+        n, m = len(x), np.abs(np.fft.rfft(x[:, 0], norm="forward" if norm == "amplitude" else norm))
+        if norm == "amplitude":
+            m[1 : (n + 1) // 2] *= 2
+        return {"k": np.arange(len(m)), "freq": np.arange(len(m)) * fs / n, "magnitude": m}
 
     return _grouped(df, keys, [value], "frame", pick, "k long, freq double, magnitude double")
 
 
+def dominant_frequency(df: DataFrame, fs: float, value: str = "v", keys: Sequence[str] = ("clip",)) -> DataFrame:
+    """(keys, dominant): the frequency of the largest magnitude, the constant left out, the lowest of equals; null for one sample."""
+
+    def pick(x: np.ndarray) -> dict:
+        m = np.round(np.abs(np.fft.rfft(x[:, 0]))[1:], 9)
+        return {"dominant": (int(m.argmax()) + 1) * fs / len(x) if len(m) else None}
+
+    return _grouped(df, keys, [value], "frame", pick, "dominant double")
+
+
+def covariance(poses: DataFrame, lag: int = 0) -> DataFrame:
+    """(clip, a, b, cov) of (clip, frame, pos array<double>): covariances of channels over frames, or with a lag the mean product
+    of a's deviation and b's ``lag`` frames before, from the whole series' means.
+
+    Batches give sums of products, which add up by place: no clip is gathered, and channels never meet in a join.
+    """
+    kind = dict(poses.dtypes)["clip"]
+    rows = poses.select("clip", "pos", (F.lag("pos", lag).over(Window.partitionBy("clip").orderBy("frame")) if lag else F.col("pos")).alias("was"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # places below 0 hold sums of one side, of all rows, and counts
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = b.column(0).dictionary_encode()
+            group = codes.indices.to_numpy(zero_copy_only=False)
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            paired = b.column(2).is_valid().to_numpy(zero_copy_only=False)
+            y = np.zeros_like(x)
+            y[paired] = b.column(2).drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, x.shape[1])
+            c = x.shape[1]
+            at = np.arange(c)
+            i = np.concatenate([np.repeat(at, c), at, np.full(c, -1), at, [-1, -2]])
+            j = np.concatenate([np.tile(at, c), np.full(c, -1), at, np.full(c, -2), [-1, -2]])
+            for g, clip in enumerate(codes.dictionary):
+                mine, both = group == g, (group == g) & paired
+                p, q = x[both], y[both]
+                total = np.concatenate([(p.T @ q).ravel(), p.sum(0), q.sum(0), x[mine].sum(0), [len(p), mine.sum()]])
+                yield pa.RecordBatch.from_arrays([pa.array([clip.as_py()] * len(i), b.column(0).type), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total)], ["clip", "a", "b", "s"])
+
+    sums = rows.mapInArrow(run, f"clip {kind}, a int, b int, s double").groupBy("clip", "a", "b").agg(F.sum("s").alias("s"))
+
+    def settle(batch: pa.Table) -> pa.Table:
+        a, b, s = (batch.column(c).to_numpy() for c in ("a", "b", "s"))
+        c = int(a.max()) + 1
+        grid = np.zeros((c + 2, c + 2))
+        grid[a, b] = s  # places -1 and -2 are the last ones
+        n, whole = grid[-1, -1], grid[:c, -2] / grid[-2, -2]
+        cov = (grid[:c, :c] - np.outer(whole, grid[-1, :c]) - np.outer(grid[:c, -1], whole)) / n + np.outer(whole, whole) if n else np.zeros((0, 0))
+        i, j = np.indices(cov.shape)
+        return pa.table({"clip": pa.array([batch.column("clip")[0].as_py()] * cov.size, batch.column("clip").type), "a": pa.array(i.ravel(), pa.int32()), "b": pa.array(j.ravel(), pa.int32()), "cov": pa.array(cov.ravel())})
+
+    return sums.groupBy("clip").applyInArrow(settle, f"clip {kind}, a int, b int, cov double")
+
+
 def _slerp(a: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.ndarray:
     """(..., 4) along the shorter arc at t (...,); nearly equal ones are mixed linearly."""
     d = (a * b).sum(-1)
@@ -208,15 +276,20 @@ def resample_motion(root: np.ndarray, angles: np.ndarray, orders: Sequence[str],
     return root[lo] + t[:, None] * (root[lo + 1] - root[lo]), out
 
 
-def resample_frames(frames: DataFrame, orders: Sequence[str], dt: float, fps: float) -> DataFrame:
-    """(clip, frame, root, angles) at a new rate; a group is one clip."""
-    joints = len(orders)
+def resample_frames(frames: DataFrame, orders: Sequence[str], dt: float | None, fps: float) -> DataFrame:
+    """(clip, frame, root, angles) at a new rate, with the clips' own ``offsets`` and new ``dt`` where they have such columns;
+    a group is one clip. Without ``dt`` the clips' own times between frames count."""
+    joints, kinds = len(orders), dict(frames.dtypes)
+    own = [c for c in ("offsets", "dt") if c in kinds]
 
     def run(batch: pa.Table) -> pa.Table:
         b = batch.combine_chunks().sort_by("frame")
         flat = lambda c: b.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        root, angles = resample_motion(flat("root").reshape(-1, 3), flat("angles").reshape(-1, joints, 3), orders, dt, fps)
+        step = b.column("dt")[0].as_py() if dt is None else dt
+        root, angles = resample_motion(flat("root").reshape(-1, 3), flat("angles").reshape(-1, joints, 3), orders, step, fps)
         n = len(root)
-        return pa.table({"clip": pa.array([b.column("clip")[0].as_py()] * n, b.column("clip").type), "frame": pa.array(np.arange(n)), "root": pa.array(root.tolist()), "angles": pa.array(angles.reshape(n, -1).tolist())})
+        kept = {c: pa.array([1 / fps] * n) if c == "dt" else pa.array([b.column(c)[0].as_py()] * n, pa.list_(pa.float64())) for c in own}
+        return pa.table({"clip": pa.array([b.column("clip")[0].as_py()] * n, b.column("clip").type), "frame": pa.array(np.arange(n)), "root": pa.array(root.tolist()), "angles": pa.array(angles.reshape(n, -1).tolist()), **kept})
 
-    return frames.select("clip", "frame", "root", "angles").groupBy("clip").applyInArrow(run, f"clip {dict(frames.dtypes)['clip']}, frame long, root array<double>, angles array<double>")
+    schema = ", ".join([f"clip {kinds['clip']}", "frame long, root array<double>, angles array<double>", *(f"{c} {kinds[c]}" for c in own)])
+    return frames.select("clip", "frame", "root", "angles", *own).groupBy("clip").applyInArrow(run, schema)

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from stridelake.operators.skeleton import _SIDES, Topology
 
-#: Forward where nothing can be measured, by the letter of the up axis.
+#: Forward where nothing can be measured, by the letter of the up axis; the body parts that tell where up is,
+#: in turn; how much longer than others the first pose's way to them must be along one axis, and the least length.
 FALLBACK = {"y": "+z", "z": "+x", "x": "+y"}
+UPPER = ("head", "neck", "chest", "spine")
+CLEAR, LEAST = 2.0, 1e-6
 
 
 def axis_of(v: np.ndarray, tol: float = 1e-6) -> str | None:
@@ -77,29 +83,81 @@ def node_pairs(topology: Topology, pairs: dict[str, str] | None = None) -> tuple
     return joints + ends, [(a, b) for a, b in joints if len(sites(a)) != len(sites(b))]
 
 
+def parsed(axis: str) -> tuple[int, int, np.ndarray]:
+    """(number, sign, vector) of an axis."""
+    return "xyz".index(axis[1]), -1 if axis[0] == "-" else 1, vector_of(axis)
+
+
+def check_sides(topology: Topology, sides: Mapping[str, str]) -> None:
+    """Left joint names with right ones: known joints, none its own partner, none in two pairs."""
+    known = set(topology.joint_names)
+    both = [n for p in sides.items() for n in p]
+    if set(both) - known:
+        raise ValueError(f"unknown joints {sorted(set(both) - known)}")
+    if any(a == b for a, b in sides.items()):
+        raise ValueError("a joint is not its own partner")
+    pairs = {frozenset(p) for p in sides.items()}
+    if sum(map(len, pairs)) != len(set(both)):
+        raise ValueError("a joint is in two pairs")
+
+
 def rest_up(topology: Topology) -> str | None:
-    """From the root to a head, neck, chest or spine; else the axis of the widest spread; None for a point."""
+    """From the root to a head, neck, chest or spine; else the axis of the widest spread, towards the mean; None for a point."""
     rest = topology.rest_positions()
-    place = {n.name.lower(): i for i, n in enumerate(topology)}
-    for name in ("head", "neck", "chest", "spine"):
-        if place.get(name):
-            found = axis_of(rest[place[name]] - rest[0])
+    for name in UPPER:
+        for i, n in enumerate(topology):
+            found = axis_of(rest[i] - rest[0]) if n.name.lower() == name else None
             if found:
                 return found
     spread = rest.max(0) - rest.min(0)
-    return axis_of(spread)
+    if len(topology) < 2 or spread.max() < LEAST:
+        return None
+    k = int(spread.argmax())
+    return ("+" if rest[:, k].mean() - rest[0, k] >= 0 else "-") + "xyz"[k]
 
 
-def world_up(topology: Topology, first: np.ndarray | None = None) -> str:
-    """From the first pose (N, 3) where root to head is twice as long along one axis as along the others, else the rest pose's, else +y."""
+def pose_up(topology: Topology, first: np.ndarray | None) -> str | None:
+    """The axis from the root to the head (or neck, chest, spine) of a pose (N, 3), where it is clearly along one."""
     place = {n.name.lower(): i for i, n in enumerate(topology)}
-    head = next((place[n] for n in ("head", "neck", "chest", "spine") if n in place), 0)
-    if first is not None and head:
-        d = first[head] - first[0]
-        a = np.sort(np.abs(d))
-        if a[-1] >= 2 * a[-2] and a[-1] >= 1e-6:
-            return axis_of(d) or "+y"
-    return rest_up(topology) or "+y"
+    head = next((place[n] for n in UPPER if n in place), 0)
+    if first is None or not head:
+        return None
+    d = first[head] - first[0]
+    a = np.sort(np.abs(d))
+    return axis_of(d) if a[-1] >= CLEAR * a[-2] and a[-1] >= LEAST else None
+
+
+def world_up(topology: Topology, first: np.ndarray | None = None) -> str:
+    """From the first pose (N, 3) if it tells, else from the rest pose, else +y."""
+    return pose_up(topology, first) or rest_up(topology) or "+y"
+
+
+def _by_pose(poses: DataFrame, topology: Topology, names: Sequence[str], f: Callable[[np.ndarray], tuple], kinds: str) -> DataFrame:
+    """(clip, names) of (clip, pos) rows: ``f`` of each pose (N, 3)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [f(np.array(p).reshape(-1, 3)) for p in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in found], pa.bool_() if k == "boolean" else pa.string()) for i, k in enumerate(kinds.split()))], ["clip", *names])
+
+    clip = dict(poses.dtypes)["clip"]
+    return poses.select("clip", "pos").mapInArrow(run, ", ".join([f"clip {clip}", *(f"{n} {k}" for n, k in zip(names, kinds.split()))]))
+
+
+def inferred_up(poses: DataFrame, topology: Topology) -> DataFrame:
+    """(clip, world_up, disagrees, guessed) of first poses: disagrees where the rest pose says another axis, guessed where neither tells."""
+    rest = rest_up(topology)
+
+    def f(p: np.ndarray) -> tuple:
+        found = pose_up(topology, p)
+        return found or rest or "+y", bool(found and rest and found[1] != rest[1]), not (found or rest)
+
+    return _by_pose(poses, topology, ("world_up", "disagrees", "guessed"), f, "string boolean boolean")
+
+
+def axes_at(poses: DataFrame, topology: Topology, up: str, pairs: Mapping[str, str] | None = None) -> DataFrame:
+    """(clip, forward, left): the axes that poses face and have on their left."""
+    return _by_pose(poses, topology, ("forward", "left"), lambda p: (forward_at(topology, p, up, pairs), left_at(topology, p, up, pairs)), "string string")
 
 
 def _leftward(points: np.ndarray, pairs: list[tuple[int, int]], up: np.ndarray) -> np.ndarray | None:

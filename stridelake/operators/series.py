@@ -7,6 +7,7 @@ Undefined values are null.
 
 from __future__ import annotations
 
+from stridelake.functions import rotations as R
 from stridelake.functions.vectors import cross, dot, norm, ratio
 from stridelake.plans.sql import kurtosis, last_known, numbers, over, skewness, stages
 
@@ -296,6 +297,26 @@ def unwrap_angles(src: str, angle: str, out: str = "unwrapped", keys: str = KEYS
     return stages(s, {out: f"{angle} + sum(__c) {over(keys, frame='ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')}"})
 
 
+def angular_velocity(src: str, q: tuple[str, ...], dt: str, stencil: str = "central", pad: str = "edge", degrees: bool = False, keys: str = KEYS) -> str:
+    """Columns w0, w1, w2: the rotation vector from the frame before to the frame after, halved, or to the next frame
+    (forward); at the ends one step, or none of them with pad none."""
+    _check(stencil, pad)
+    w = over(keys)
+    if stencil == "central":
+        ends = {f"__a{i}": f"coalesce(lag({c}) {w}, {c})" for i, c in enumerate(q)} | {f"__b{i}": f"coalesce(lead({c}) {w}, {c})" for i, c in enumerate(q)}
+        ends["__n"] = f"CASE WHEN lag({q[0]}) {w} IS NOT NULL AND lead({q[0]}) {w} IS NOT NULL THEN 2.0 ELSE 1.0 END"
+    else:
+        # the last frame takes the step before it
+        ends = {f"__a{i}": f"CASE WHEN lead({c}) {w} IS NULL THEN lag({c}) {w} ELSE {c} END" for i, c in enumerate(q)} | {f"__b{i}": f"coalesce(lead({c}) {w}, {c})" for i, c in enumerate(q)} | {"__n": "1.0"}
+    ends["__end"] = f"lead({q[0]}) {w} IS NULL"
+    turn = R.quat_multiply(R.quat_conjugate(R.names("__a", 4)), R.names("__b", 4))
+    each = lambda i: f"{'degrees' if degrees else ''}(__v{i} / __n / {dt})"
+    s = stages(src, ends, {f"__d{i}": c for i, c in enumerate(turn)}, *R.quat_to_vector(R.names("__d", 4), "__v"), {f"w{i}": each(i) for i in range(3)})
+    if pad == "none":
+        return f"SELECT * FROM ({s}) WHERE {'__n = 2.0' if stencil == 'central' else 'NOT __end'}"
+    return s
+
+
 # ---- runs
 
 def runs(src: str, flag: str, keys: str = KEYS) -> str:

@@ -7,7 +7,8 @@ for few nodes or where everything must stay in the engine; Catalyst drops nodes
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -170,6 +171,66 @@ class Topology(tuple):
         same = len(self) == len(other) and all(a.name == b.name and a.parent == b.parent and a.is_end_site == b.is_end_site for a, b in zip(self, other))
         return same and (not offsets or all(np.allclose(a.offset, b.offset, atol=atol) for a, b in zip(self, other)))
 
+    def first_difference(self, other: Topology) -> str | None:
+        """Where the hierarchies part, as text; None where names, parents and end sites are the same."""
+        for i, (a, b) in enumerate(zip(self, other)):
+            if a.name != b.name:
+                return f"node {i} is {b.name!r}, not {a.name!r}"
+            if a.parent != b.parent:
+                return f"node {i} ({a.name!r}) hangs from node {b.parent}, not {a.parent}"
+            if a.is_end_site != b.is_end_site:
+                return f"node {i} ({a.name!r}) is {'an end site' if b.is_end_site else 'a joint'}"
+        return None if len(self) == len(other) else f"{len(other)} nodes, not {len(self)}"
+
+    def to_dict(self, position_order: str = "XYZ") -> dict[str, dict]:
+        """Name to offset, parent and, for joints, rotation channels and children; the root has position channels too."""
+        out: dict[str, dict] = {}
+        for i, n in enumerate(self):
+            entry: dict = {"offset": list(n.offset), "parent": self[n.parent].name if n.parent >= 0 else None}
+            if i == 0:
+                entry["pos_channels"] = list(position_order)
+            if n.joint >= 0:
+                entry |= {"rot_channels": list(n.order), "children": [c.name for c in self if c.parent == i]}
+            out[n.name] = entry
+        return out
+
+    @classmethod
+    def from_dict(cls, hierarchy: Mapping[str, Mapping], columns: Sequence[str] = ()) -> Topology:
+        """Of such a dictionary. Entries need offset and parent; missing rotation channels follow the order of wide
+        columns such as Hips_Z_rot; entries without children and columns are end sites."""
+        for name, e in hierarchy.items():
+            if "offset" not in e or "parent" not in e:
+                raise ValueError(f"{name!r} needs an offset and a parent")
+            for other in (*e.get("children", ()), *([e["parent"]] if e["parent"] not in (None, "None") else [])):
+                if other not in hierarchy:
+                    raise ValueError(f"{name!r} names {other!r}, which is not there")
+        roots = [n for n, e in hierarchy.items() if e["parent"] in (None, "None")]
+        if len(roots) != 1:
+            raise ValueError("exactly one entry has no parent")
+        below: dict[str, list[str]] = {n: list(e.get("children", ())) for n, e in hierarchy.items()}
+        for n, e in hierarchy.items():
+            if e["parent"] in below and n not in below[e["parent"]]:
+                below[e["parent"]].append(n)
+        turns: dict[str, str] = {}
+        for c in columns:
+            m = re.fullmatch(r"(.+)_([XYZ])_rot", c)
+            if m:
+                turns[m[1]] = turns.get(m[1], "") + m[2]
+        nodes: list[Node] = []
+        todo = [(roots[0], -1)]
+        while todo:
+            name, parent = todo.pop()
+            e = hierarchy[name]
+            order = "".join(e.get("rot_channels") or turns.get(name, ""))
+            site = not order and not below[name]
+            if not site and len(order) != 3:
+                raise ValueError(f"{name!r} needs three rotation channels")
+            nodes.append(Node(name, parent, -1 if site else sum(x.joint >= 0 for x in nodes), "" if site else order, tuple(map(float, e["offset"]))))
+            todo += [(c, len(nodes) - 1) for c in reversed(below[name])]
+        if len(nodes) != len(hierarchy):
+            raise ValueError("entries do not hang together")
+        return cls(nodes)
+
     def matches_channels(self, other: Topology) -> bool:
         return [n.order for n in self if n.joint >= 0] == [n.order for n in other if n.joint >= 0]
 
@@ -208,8 +269,9 @@ def _matrices(angles: np.ndarray, order: str) -> np.ndarray:
     return out
 
 
-def pose_arrays(topology: Topology, root: np.ndarray, angles: np.ndarray) -> np.ndarray:
-    """(F, N, 3) positions of (F, 3) root positions and (F, J, 3) angles; the root's own offset plays no part."""
+def pose_arrays(topology: Topology, root: np.ndarray, angles: np.ndarray, offsets: np.ndarray | None = None) -> np.ndarray:
+    """(F, N, 3) positions of (F, 3) root positions and (F, J, 3) angles; the root's own offset plays no part.
+    ``offsets`` (F, N, 3) stand for the topology's."""
     f = len(root)
     pos, turn = np.empty((f, len(topology), 3)), [None] * len(topology)
     for i, n in enumerate(topology):
@@ -218,7 +280,7 @@ def pose_arrays(topology: Topology, root: np.ndarray, angles: np.ndarray) -> np.
             pos[:, 0], turn[0] = root, own
             continue
         above = turn[n.parent]
-        pos[:, i] = pos[:, n.parent] + above @ np.array(n.offset)
+        pos[:, i] = pos[:, n.parent] + (above @ np.array(n.offset) if offsets is None else np.einsum("fij,fj->fi", above, offsets[:, i]))
         turn[i] = above @ own if own is not None else above
     return pos
 
@@ -227,6 +289,7 @@ def fk_kernel(frames: DataFrame, topology: Topology, centered: str = "world", up
     """(clip, frame, pos array<double>) of (clip, frame, root array<double>, angles array<double>): no shuffle.
 
     centered is world, skeleton (the root at the origin), or first (needs root0: the clip's first root position).
+    A column ``offsets`` holds a clip's own offsets of all nodes; a column ``dt`` passes through.
     """
     if centered not in ("world", "skeleton", "first"):
         raise ValueError("centered is world, skeleton or first")
@@ -244,14 +307,17 @@ def fk_kernel(frames: DataFrame, topology: Topology, centered: str = "world", up
             elif centered == "first":
                 shift = flat("root0").reshape(-1, 3).copy()
                 shift[:, up] = 0
-            pos = (pose_arrays(top, root, angles) - shift[:, None, :]).reshape(-1)
+            own = flat("offsets").reshape(-1, len(top), 3) if "offsets" in extra else None
+            pos = (pose_arrays(top, root, angles, own) - shift[:, None, :]).reshape(-1)
             width = 3 * len(top)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(pos) + 1, width), pa.int32()), pa.array(pos))
-            yield pa.RecordBatch.from_arrays([b.column("clip"), b.column("frame"), lists], ["clip", "frame", "pos"])
+            kept = ["clip", "frame", *(["dt"] if "dt" in extra else [])]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), lists], [*kept, "pos"])
 
     kinds = dict(frames.dtypes)
-    extra = ["root0"] if centered == "first" else []
-    return frames.select("clip", "frame", "root", "angles", *extra).mapInArrow(run, f"clip {kinds['clip']}, frame {kinds['frame']}, pos array<double>")
+    extra = (["root0"] if centered == "first" else []) + [c for c in ("offsets", "dt") if c in kinds]
+    dt = ", dt double" if "dt" in extra else ""
+    return frames.select("clip", "frame", "root", "angles", *extra).mapInArrow(run, f"clip {kinds['clip']}, frame {kinds['frame']}{dt}, pos array<double>")
 
 
 def fk_sql(src: str, topology: Topology, centered: str = "world", up: str = "y") -> str:
@@ -318,7 +384,7 @@ def retarget_sql(nodes: str, other: str) -> str:
     return f"SELECT a.node_idx, a.name, a.parent_idx, a.joint_idx, a.euler_order, {cols} FROM ({nodes}) a LEFT JOIN ({named}) k ON a.name = k.name LEFT JOIN ({other}) b ON b.node_idx = k.last"
 
 
-#: Endings that mark sides, the longer ones first.
+#: Endings that mark sides, the longer ones first.
 _SIDES = ((".Left", ".Right"), ("_Left", "_Right"), (".left", ".right"), ("_left", "_right"), (".L", ".R"), ("_L", "_R"), (".l", ".r"), ("_l", "_r"))
 
 

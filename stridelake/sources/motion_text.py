@@ -7,15 +7,18 @@ Writing gives one text for each clip. Both run per file in Python workers, files
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.operators.skeleton import Node, Topology
+from stridelake.operators.orientation import world_up
+from stridelake.operators.skeleton import Node, Topology, pose_arrays
 
 
 @dataclass(frozen=True)
@@ -141,11 +144,11 @@ def render(clip: Clip) -> str:
     return "\n".join(out) + "\n"
 
 
-_FILES = "source_path string, error string, frame_time double, names array<string>, parents array<int>, joints array<int>, orders array<string>, offsets array<double>, root array<double>, angles array<double>"
+_FILES = "source_path string, error string, frame_time double, names array<string>, parents array<int>, joints array<int>, orders array<string>, offsets array<double>, root array<double>, angles array<double>, world_up string, position_order string"
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*.bvh", recursive: bool = False) -> DataFrame:
-    """One row for each file: its skeleton and motion as flat arrays, or an error and nulls."""
+    """One row for each file: its skeleton and motion as flat arrays, its up axis from the first pose, or an error and nulls."""
     raw = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).text(path, wholetext=True).select(F.input_file_name().alias("source_path"), "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +158,11 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.bvh", recursive
                     c = parse(text)
                     t = c.topology
                     row = [source, None, c.frame_time, [n.name for n in t], [n.parent for n in t], [n.joint for n in t], [n.order for n in t], [x for n in t for x in n.offset], c.root.ravel(), c.angles.ravel()]
+                    first = pose_arrays(t, c.root[:1], c.angles[:1])[0] if len(c.root) else None
+                    row += [world_up(t, first), c.position_order]
                 except (ValueError, IndexError) as e:
-                    row = [source, str(e)] + [None] * 8
-                kinds = [pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), *[pa.list_(pa.float64())] * 3]
+                    row = [source, str(e)] + [None] * 10
+                kinds = [pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), *[pa.list_(pa.float64())] * 3, pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], [f.split()[0] for f in _FILES.split(", ")])
 
     return raw.mapInArrow(run, _FILES)
@@ -175,11 +180,11 @@ def nodes(files: DataFrame) -> DataFrame:
 
 
 def frames(files: DataFrame) -> DataFrame:
-    """(clip, frame, root array, angles array): what the forward kinematics kernel takes."""
+    """(clip, frame, root array, angles array, offsets array, dt): what the forward kinematics kernel takes, with each clip's own offsets and rate."""
     n = F.size("root") / 3
     width = (F.size("angles") / n).cast("int")
-    f = files.where("error is null and size(root) > 0").select(F.xxhash64("source_path").alias("clip"), F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("frame"), "root", "angles", width.alias("w"))
-    return f.select("clip", F.col("frame").cast("long").alias("frame"), F.slice("root", F.col("frame") * 3 + 1, F.lit(3)).alias("root"), F.slice("angles", F.col("frame") * F.col("w") + 1, F.col("w")).alias("angles"))
+    f = files.where("error is null and size(root) > 0").select(F.xxhash64("source_path").alias("clip"), F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("frame"), "root", "angles", width.alias("w"), "offsets", F.col("frame_time").alias("dt"))
+    return f.select("clip", F.col("frame").cast("long").alias("frame"), F.slice("root", F.col("frame") * 3 + 1, F.lit(3)).alias("root"), F.slice("angles", F.col("frame") * F.col("w") + 1, F.col("w")).alias("angles"), "offsets", "dt")
 
 
 def write_texts(files: DataFrame) -> DataFrame:
@@ -193,12 +198,45 @@ def write_texts(files: DataFrame) -> DataFrame:
                 off = np.array(r["offsets"]).reshape(-1, 3)
                 top = Topology([Node(*x, tuple(o)) for *x, o in zip(r["names"], r["parents"], r["joints"], r["orders"], off)])
                 joints = len(top.joint_names)
-                text = render(Clip(top, r["frame_time"], np.array(r["root"]).reshape(-1, 3), np.array(r["angles"]).reshape(-1, joints, 3)))
+                text = render(Clip(top, r["frame_time"], np.array(r["root"]).reshape(-1, 3), np.array(r["angles"]).reshape(-1, joints, 3), r.get("position_order") or "XYZ"))
                 yield pa.RecordBatch.from_arrays([pa.array([r["source_path"]]), pa.array([text])], ["source_path", "value"])
 
     return files.mapInArrow(run, "source_path string, value string")
 
 
+def write_clips(frames_: DataFrame, topology: Topology, frame_time: float, folder: str, position_order: str = "XYZ", overwrite: bool = True) -> DataFrame:
+    """(clip, path): a file {clip}.bvh for each clip of (clip, frame, root, angles[, offsets, dt]) in a folder that all tasks share.
+
+    A task holds one clip, writes under a name of its own and renames, so a task that runs twice leaves one whole file.
+    """
+    joints, kinds = len(topology.joint_names), dict(frames_.dtypes)
+    own = [c for c in ("offsets", "dt") if c in kinds]
+    nodes_ = tuple(topology)
+
+    def run(batch: pa.Table) -> pa.Table:
+        b = batch.combine_chunks().sort_by("frame")
+        flat = lambda c: b.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        top, step = Topology(nodes_), frame_time
+        if "offsets" in own:
+            off = np.array(b.column("offsets")[0].as_py()).reshape(-1, 3)
+            top = Topology([Node(n.name, n.parent, n.joint, n.order, tuple(o)) for n, o in zip(top, off)])
+        if "dt" in own:
+            step = b.column("dt")[0].as_py()
+        name = b.column("clip")[0].as_py()
+        place, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        place.create_dir(base, recursive=True)
+        path, own_name = f"{base}/{name}.bvh", f"{base}/.{uuid.uuid4().hex}"
+        if not overwrite and place.get_file_info(path).type != fs.FileType.NotFound:
+            raise FileExistsError(path)
+        text = render(Clip(top, step, flat("root").reshape(-1, 3), flat("angles").reshape(-1, joints, 3), position_order))
+        with place.open_output_stream(own_name) as f:
+            f.write(text.encode())
+        place.move(own_name, path)
+        return pa.table({"clip": pa.array([name], b.column("clip").type), "path": pa.array([path])})
+
+    return frames_.select("clip", "frame", "root", "angles", *own).groupBy("clip").applyInArrow(run, f"clip {kinds['clip']}, path string")
+
+
 def wide(clip: Clip) -> dict[str, np.ndarray]:
     """Columns time, {root}_{axis}_pos and {joint}_{axis}_rot in degrees, by their place."""
     out = {"time": np.arange(len(clip.root)) * clip.frame_time}
@@ -210,24 +248,33 @@ def wide(clip: Clip) -> dict[str, np.ndarray]:
     return out
 
 
-def from_wide(df: DataFrame, topology: Topology) -> tuple[DataFrame, float]:
-    """(frame, root, angles) of a wide DataFrame, and its frame time; columns may come in any order, a missing one is an error."""
+def from_wide(df: DataFrame, topology: Topology, clip: str | None = None) -> tuple[DataFrame, float]:
+    """(clip, frame, root, angles[, dt]) of a wide DataFrame, and the frame time of the first clip; columns may come in any
+    order, a missing one is an error. Without a ``clip`` column all rows are clip 0; with one, clips have times of their own."""
     name = topology[0].name
     need = ["time", *(f"{name}_{c}_pos" for c in "XYZ"), *(f"{n.name}_{c}_rot" for n in topology if n.joint >= 0 for c in n.order)]
-    missing = [c for c in need if c not in df.columns]
+    missing = [c for c in [*need, *([clip] if clip else [])] if c not in df.columns]
     if missing:
         raise KeyError(f"columns are missing: {missing}")
-    n, first, last = df.agg(F.count("*"), F.min("time"), F.max("time")).first()
-    if n < 2:
-        raise ValueError("two rows at least are needed")
-    step = snap((last - first) / (n - 1))
+    key = F.col(f"`{clip}`") if clip else F.lit(0).cast("long")
+    rows = df.withColumn("__clip", key)
+    spans = rows.groupBy("__clip").agg(F.count("*").alias("__n"), F.min("time").alias("__t0"), F.max("time").alias("__t1"))
+    least = spans.agg(F.min("__n")).first()[0]
+    if least is None or least < 2:
+        raise ValueError("two rows of a clip at least are needed")
+    raw = "(__t1 - __t0) / (__n - 1)"
+    near = f"abs({raw} * round(1 / ({raw})) - 1) < 1e-4D AND round(1 / ({raw})) > 0"
+    spans = spans.select("__clip", "__t0", F.expr(f"CASE WHEN {near} THEN 1 / round(1 / ({raw})) ELSE {raw} END").alias("__dt"))
+    step = spans.agg(F.min_by("__dt", "__clip")).first()[0]
     turns = F.array(*[F.radians(F.col(f"`{n.name}_{c}_rot`")) for n in topology if n.joint >= 0 for c in n.order])
-    return df.select(F.round((F.col("time") - F.lit(first)) / step).cast("long").alias("frame"), F.array(*[F.col(f"`{name}_{c}_pos`") for c in "XYZ"]).alias("root"), turns.alias("angles")), step
+    met = rows.join(spans, "__clip")
+    out = [F.col("__clip").alias("clip"), F.round((F.col("time") - F.col("__t0")) / F.col("__dt")).cast("long").alias("frame"), F.array(*[F.col(f"`{name}_{c}_pos`") for c in "XYZ"]).alias("root"), turns.alias("angles")]
+    return met.select(*out, *([F.col("__dt").alias("dt")] if clip else [])), step
 
 
-def to_wide(frames_: DataFrame, topology: Topology, frame_time: float) -> DataFrame:
-    """One row for each frame with the columns of ``wide``: projections only, as a frame's arrays are already one row."""
+def to_wide(frames_: DataFrame, topology: Topology, frame_time: float | str) -> DataFrame:
+    """One row for each frame with the columns of ``wide``: projections only, as a frame's arrays are already one row. The frame time may be a column."""
     name = topology[0].name
-    cols = [(F.col("frame") * frame_time).alias("time"), *[F.col("root")[i].alias(f"{name}_{c}_pos") for i, c in enumerate("XYZ")]]
+    cols = [(F.col("frame") * F.expr(str(frame_time))).alias("time"), *[F.col("root")[i].alias(f"{name}_{c}_pos") for i, c in enumerate("XYZ")]]
     cols += [F.degrees(F.col("angles")[3 * n.joint + k]).alias(f"{n.name}_{c}_rot") for n in topology if n.joint >= 0 for k, c in enumerate(n.order)]
     return frames_.select("clip", "frame", *cols)

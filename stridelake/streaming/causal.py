@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,27 +27,39 @@ def sessions(samples: DataFrame, key: str, time: str, gap: str = "10 minutes", l
     return samples.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def stream_velocity(samples: DataFrame, key: str, time: str, value: str) -> DataFrame:
+def stream_velocity(samples: DataFrame, key: str, time: str, value: str, late: str = "10 minutes", forget_ms: int = 3_600_000) -> DataFrame:
     """(key, time, value, velocity): the backward difference per second; null at a key's first sample.
 
-    Within a micro-batch samples are put in order of time; one that is older than the state is passed
-    on without a velocity and does not change the state.
+    Within a micro-batch samples are put in order of time; one that is not later than the one before
+    is passed on without a velocity and does not change the state. Samples later than ``late`` are
+    dropped. A key's state goes when the watermark is ``forget_ms`` past its last sample.
     """
     kind = dict(samples.dtypes)[key]
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("time")
-        last = state.get if state.exists else (None, None)
-        out = []
-        for t, v in zip(rows["time"], rows["value"]):
-            now = t.value / 1e9
-            known = last[0] is not None and now > last[0]
-            out.append((k[0], t, v, (v - last[1]) / (now - last[0]) if known else None))
-            if last[0] is None or now > last[0]:
-                last = (now, float(v))
-        if last[0] is not None:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get if state.exists else None
+        for rows in batches:  # a part of a key's samples at a time
+            rows = rows.sort_values("time", kind="stable")
+            t = rows["time"].astype("datetime64[ns]").astype("int64").to_numpy() / 1e9
+            v = rows["value"].to_numpy(float)
+            # the sample before: the last one with the latest time so far
+            so_far = np.maximum.accumulate(np.concatenate([[last[0] if last else -np.inf], t]))
+            moves = t > so_far[:-1]
+            times = np.concatenate([[last[0] if last else np.nan], t[moves]])
+            values = np.concatenate([[last[1] if last else np.nan], v[moves]])
+            velocity = np.full(len(t), np.nan)
+            velocity[moves] = np.diff(values) / np.diff(times)
+            if moves.any():
+                last = (float(times[-1]), float(values[-1]))
+            out = pd.DataFrame({"key": [k[0]] * len(t), "time": rows["time"].to_numpy(), "value": v, "velocity": pd.array(velocity, dtype="Float64")})
+            out["velocity"] = out["velocity"].astype(object).where(~np.isnan(velocity), None)
+            yield out
+        if last is not None:
             state.update(last)
-        yield pd.DataFrame(out, columns=["key", "time", "value", "velocity"])
+            state.setTimeoutTimestamp(max(int(last[0] * 1000), state.getCurrentWatermarkMs()) + forget_ms)
 
-    source = samples.select(F.col(key).alias("key"), F.col(time).alias("time"), F.col(value).cast("double").alias("value"))
-    return source.groupBy("key").applyInPandasWithState(step, f"key {kind}, time timestamp, value double, velocity double", "t double, v double", "append", GroupStateTimeout.NoTimeout)
+    source = samples.select(F.col(key).alias("key"), F.col(time).alias("time"), F.col(value).cast("double").alias("value")).withWatermark("time", late)
+    return source.groupBy("key").applyInPandasWithState(step, f"key {kind}, time timestamp, value double, velocity double", "t double, v double", "append", GroupStateTimeout.EventTimeTimeout)
