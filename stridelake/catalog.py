@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stridelake import set_catalog
+from stridelake import oracles, set_catalog
 from stridelake.functions import rotations as R
 from stridelake.functions import vectors as V
 from stridelake.operators import contacts as C
@@ -854,4 +854,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: f(True) for name, f in _SQL.items()} | set_catalog.oracle_sql()
+    """SQL written apart from the operators where there is such, else the operators' text for DuckDB."""
+    return {name: f(True) for name, f in _SQL.items()} | set_catalog.oracle_sql() | oracles.oracle_sql()
