@@ -161,6 +161,11 @@ def spectrum(df: DataFrame, fs: float = 1.0, norm: str = "backward", value: str
     return _grouped(df, keys, [value], "frame", pick, "k long, freq double, magnitude double")
 
 
+def smoothed_spectrum(df: DataFrame, fs: float, value: str = "v", keys: Sequence[str] = ("clip",)) -> DataFrame:
+    """``spectrum`` with plain magnitudes."""
+    return spectrum(df, fs, "backward", value, keys)
+
+
 def dominant_frequency(df: DataFrame, fs: float, value: str = "v", keys: Sequence[str] = ("clip",)) -> DataFrame:
     """(keys, dominant): the frequency of the largest magnitude, the constant left out, the lowest of equals; null for one sample."""
 
