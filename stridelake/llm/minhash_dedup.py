@@ -267,8 +267,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     hubs = prefix.groupBy("v").agg(F.max(F.struct("typical", (-F.col("x")).alias("y"))).alias("h"), F.count("*").alias("c")).where("c > 1")
     members = written(prefix.join(hubs.select("v", (-F.col("h.y")).alias("hub")), "v").select("hub", "x", "n").distinct())
     sums = members.groupBy("hub").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
-    sums = sums.select("hub", F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("shingles") / block_shingles)).cast("int").alias("blocks"))
-    dealt = members.join(sums, "hub").withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    sums = written(sums.select("hub", F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("shingles") / block_shingles)).cast("int").alias("blocks")))
+    # a row for each hub: broadcast where they are few, so that a large hub's members are not dealt by hub
+    dealt = members.join(small(sums, broadcast_rows), "hub").withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     dealt = written(dealt)
     asked = written(members.select("x").distinct().join(classes.select("x", "doc_id", "th"), "x"))
     asked = small(asked, broadcast_rows)  # 24 bytes a row; beyond that the texts are shuffled
@@ -279,19 +280,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = written(_blocks(alone, sets, k, percent, False))
     if sums.where("blocks > 1").limit(1).count():
         near = components(found, "a", "b").withColumnRenamed("node", "x")
-        known = dealt.where("blocks > 1").join(near, "x", "left").withColumn("label", F.coalesce("component", "x"))
-        middle = known.where("x = hub").select("hub", F.col("label").alias("main"))
+        known = written(dealt.where("blocks > 1").join(near, "x", "left").withColumn("label", F.coalesce("component", "x")))
+        middle = small(written(known.where("x = hub").select("hub", F.col("label").alias("main"))), broadcast_rows)
         known = written(known.join(middle, "hub").select("hub", "x", "block", "blocks", "label", (F.col("label") != F.col("main")).alias("outside")))
         others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        # members outside the hub's component meet all members of every other block
+        # members outside the hub's component meet all members of every other block; blocks without such members ask for none
         rows = known.where("outside").select("hub", F.col("block").alias("i"), others.alias("j"), "x", F.lit(1).alias("side"), "label")
-        cols = known.select("hub", others.alias("i"), F.col("block").alias("j"), "x", F.lit(0).alias("side"), "label")
+        asking = small(written(known.where("outside").select("hub", F.col("block").alias("i")).distinct()), broadcast_rows)
+        cols = known.join(asking, "hub").select("hub", "i", F.col("block").alias("j"), "x", F.lit(0).alias("side"), "label")
         both = rows.unionByName(cols).where("i <> j").withColumn("block", F.struct("i", "j"))
         found = found.unionByName(_blocks(both.select("hub", "block", "x", "side", "label"), sets, k, percent, True))
     near = components(found, "a", "b").withColumnRenamed("node", "x")
-    placed = classes.join(near, "x", "left").withColumn("component", F.coalesce("component", "x"))
-    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    where = placed.join(least, "component").select("sig", "component_id")
+    # classes without a link are their own components
+    linked = written(classes.select("x", "doc_id").join(near, "x"))
+    least = small(written(linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))), broadcast_rows)
+    where = classes.join(linked.join(least, "component").select("x", "component_id"), "x", "left").select("sig", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = sk.select("doc_id", "th", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("sig")).alias("sig")).join(where, "sig", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
