@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import WORD, written
+from stridelake.llm.common import WORD, small, written
 
 #: 2**32 divided by the golden ratio, made odd.
 _GOLDEN = 2654435769
@@ -77,10 +77,11 @@ def streams(docs: DataFrame, sizes: DataFrame, part_words: int = 1 << 20) -> Dat
     """``docs`` (row, doc_id, source, size) with ``start``: words before it in its source's shuffled stream.
 
     The order is by xxhash64 of the id, then id, then row. It is cut by hash into parts of about
-    ``part_words`` words, each summed on its own, behind the totals of the parts before it.
+    ``part_words`` words, each summed on its own, behind the totals of the parts before it. Parts of a
+    source beyond ``part_words`` squared / 1024 words grow with its root, and so does their number.
     """
     h = F.xxhash64("doc_id")
-    n = F.greatest(F.ceil(F.col("source_size") / part_words), F.lit(1))
+    n = F.greatest(F.ceil(F.col("source_size") / F.greatest(F.lit(float(part_words)), 32 * F.sqrt("source_size"))), F.lit(1))
     # the upper 32 bits of the hash, shifted to be positive, scaled to 0 .. n - 1
     upper = F.shiftright(h, 32) + F.lit(1 << 31)
     placed = docs.join(sizes.select(F.col("source").alias("s"), "source_size"), F.col("source").eqNullSafe(F.col("s"))).withColumn("part", F.floor(upper / float(_UNIT) * n).cast("long")).withColumn("h", h)
@@ -107,7 +108,7 @@ def filled_up(plan: DataFrame, shares: DataFrame, block: int) -> DataFrame:
 
 
 def taken_pieces(placed: DataFrame, plan: DataFrame, block: Column) -> DataFrame:
-    """(row, round, slot, from_word, to_word): what each slot takes, as words of documents.
+    """(row, doc_id, source, round, slot, from_word, to_word): what each slot takes, as words of documents.
 
     ``placed`` has the column that ``block`` names or computes: words in a block. ``plan`` is as
     from ``filled_up``; nothing behind a source's ``words`` is taken. Round 0 is the first pass over
@@ -118,10 +119,11 @@ def taken_pieces(placed: DataFrame, plan: DataFrame, block: Column) -> DataFrame
     met = cut.join(plan.select(F.col("source").alias("s"), "slot", F.col("rank").alias("r"), "words"), F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("r")))
     lo = F.greatest(F.col("rank") * F.col("b"), F.col("a")) - F.col("a")
     hi = F.least((F.col("rank") + 1) * F.col("b"), F.col("a") + F.col("size"), F.col("words")) - F.col("a")
-    return met.where("a < words and rank * b < words").select("row", "round", "slot", lo.cast("long").alias("from_word"), hi.cast("long").alias("to_word"))
+    return met.where("a < words and rank * b < words").select("row", "doc_id", "source", "round", "slot", lo.cast("long").alias("from_word"), hi.cast("long").alias("to_word"))
 
 
-def _mixed(docs: DataFrame, weights, share, most, slots, doc_id, text, source) -> DataFrame:
+def _planned(docs: DataFrame, weights, share, most, slots, doc_id, text, source) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows in their streams, sources with their targets, and the pieces that slots take."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     rows = written(written(rows).withColumn("row", F.monotonically_increasing_id()))
@@ -132,7 +134,11 @@ def _mixed(docs: DataFrame, weights, share, most, slots, doc_id, text, source) -
     plan = schedule(spark, shares, slots).where(F.col("slot") < -(-int(whole) // block))
     plan = written(filled_up(written(plan), shares, block))
     placed = written(streams(rows, shares.select("source", "source_size")))
-    pieces = taken_pieces(placed, plan, F.lit(block).cast("long"))
+    return placed, shares, taken_pieces(placed, plan, F.lit(block).cast("long"))
+
+
+def _mixed(docs: DataFrame, weights, share, most, slots, doc_id, text, source) -> DataFrame:
+    placed, shares, pieces = _planned(docs, weights, share, most, slots, doc_id, text, source)
     sums = pieces.groupBy("row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.countDistinct("round").alias("rounds"))
     out = placed.join(sums, "row", "left").join(shares.select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s")))
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("rounds", F.lit(0)).cast("int").alias("rounds"))
@@ -151,15 +157,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
 
 def apply(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, slots: int = 1 << 18, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as a pass takes words of it, whole, all columns kept.
+    """The mixed corpus in the order of the schedule: each row of ``docs`` as often as a pass takes words of it, whole, all columns kept.
 
-    A source's passes take a start of its shuffled stream, so a pass ends at a hash per source; rows
-    up to it are taken, and no text is shuffled while the sources' hashes fit a broadcast. The
-    document in which a pass ends is taken whole. Edge cases as in ``mix``; rows of one id go together.
+    A row comes at the first slot that takes words of its id in a pass; partitions hold ranges of
+    slots, sorted, so the files that are written from them follow the schedule. The document in which
+    a pass ends is taken whole. Edge cases as in ``mix``; rows of one id go together, as rows of one
+    slot and of no fixed order among themselves. Texts move once, to the place of their slot, while
+    the slots of the ids fit a broadcast, else twice.
     """
-    taken = _mixed(docs, weights, share, most, slots, doc_id, text, source).withColumn("h", F.xxhash64("doc_id"))
-    ends = written(taken.groupBy("source").agg(F.max(F.when(F.col("rounds") >= 1, F.col("h"))).alias("first"), F.max(F.when(F.col("rounds") >= 2, F.col("h"))).alias("second")))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.xxhash64(doc_id).alias("__h"), F.col(source).alias("__s")).where(word_count(F.col(f"__row.`{text}`")) > 0)
-    met = rows.join(ends, F.col("__s").eqNullSafe(F.col("source")))
-    passes = F.filter(F.array(F.col("__h") <= F.col("first"), F.col("__h") <= F.col("second")), lambda x: x)
-    return met.withColumn("__n", F.explode(passes)).select("__row.*")
+    pieces = _planned(docs, weights, share, most, slots, doc_id, text, source)[2]
+    first = pieces.groupBy(F.col("source").alias("__s"), F.col("doc_id").alias("__id"), "round").agg(F.min("slot").alias("slot"))
+    # one slot for each pass, two at most
+    takes = written(first.groupBy("__s", "__id").agg(F.collect_list("slot").alias("__slots")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(doc_id).alias("__i"), F.col(source).alias("__o")).where(word_count(F.col(f"__row.`{text}`")) > 0)
+    met = rows.join(small(takes, 500_000), F.col("__i").eqNullSafe(F.col("__id")) & F.col("__o").eqNullSafe(F.col("__s")))
+    return met.select("__row", F.explode("__slots").alias("__slot")).repartitionByRange("__slot").sortWithinPartitions("__slot").select("__row.*")
