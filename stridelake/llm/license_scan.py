@@ -1,7 +1,7 @@
 """Licence mentions by ordered signatures.
 
 A text is put in lower case and its words are joined by single blanks. Signatures (regular
-expressions over that form) run only where their keyword occurs. Of overlapping detections the one
+expressions over that form) run only where their keyword occurs, all of which one pass finds. Of overlapping detections the one
 with the higher priority stands, then the longer, then the earlier rule; what lies within a
 detection that stands is suppressed. Three base phrases are counted at all their places.
 """
@@ -12,6 +12,7 @@ from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,14 +31,18 @@ class Scanner:
         self.by_keyword: dict[bytes, list[Signature]] = defaultdict(list)
         for r in signatures() if rules is None else rules:
             self.by_keyword[r.keyword].append(r)
+        self.keywords = ahocorasick.Automaton()
+        for k in self.by_keyword:
+            self.keywords.add_word(k.decode("latin-1"), k)
+        self.keywords.make_automaton()
 
     def detections(self, line: bytes) -> list[tuple[int, int, Signature]]:
         """(start, end, rule) in bytes of what stands; ``line`` has a blank before and after each word."""
         found = []
-        for keyword, rules in self.by_keyword.items():
-            if keyword in line:
-                for r in rules:
-                    found += [(m.start(), m.end(), r) for m in r.pattern.finditer(line)]
+        held = {k for _, k in self.keywords.iter(line.decode("latin-1"))} if self.by_keyword else ()
+        for keyword in held:
+            for r in self.by_keyword[keyword]:
+                found += [(m.start(), m.end(), r) for m in r.pattern.finditer(line)]
         found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[2].order, x[0]))
         starts: list[int] = []
         ends: list[int] = []  # of the intervals that stand and lie in no other: both ascend
