@@ -33,11 +33,12 @@ _CLASS[[33, 63]] = 4
 _CLASS[[ord(c) for c in "#$%&*<>=+^~@_\\{}[]"]] = 5
 _CLASS[[ord("|")]] = 6
 _CLASS[[ord(c) for c in ".,;:'\"()-/`"]] = 8
-FEATURES = ("length", "upper", "digit", "shout", "symbol", "bar", "stop", "word", "adjacent", "repeat", "lines", "marked", "shouting", "symbols")
+SHARES = ("upper", "digit", "shout", "symbol", "bar", "stop", "word", "adjacent", "repeat", "lines")
+FEATURES = ("length", *(f"root_{s}" for s in SHARES), *SHARES)
 
 
 def features(text: bytes) -> list[float]:
-    """Shares of a text, on a root scale so that small shares already count; all 0 for an empty one."""
+    """Its length and shares of it, on a root scale, where small shares already count, and as they are; all 0 for an empty one."""
     words = text.split()
     if not words:
         return [0.0] * len(FEATURES)
@@ -57,9 +58,7 @@ def features(text: bytes) -> list[float]:
         1.0 - len(set(words)) / n,
         1.0 - len(set(lines)) / max(1, len(lines)),
     )
-    f = [np.sqrt(x) for x in shares]
-    # the same shares where they are plain to see: a linear strength then needs no cut of its own
-    return [np.log1p(n) / 10, *f, float(shares[7] > 0.2), float(shares[2] > 0.05), float(shares[3] > 0.05)]
+    return [np.log1p(n) / 10, *(np.sqrt(x) for x in shares), *map(float, shares)]
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -127,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, doc_id
             x = matrix(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c) for c in x.T)], ["doc_id", "good", *names])
 
-    # max_labelled rows of 16 bytes bound what is broadcast, and of 15 numbers what is collected
+    # max_labelled rows of 16 bytes bound what is broadcast, and of 22 numbers what is collected
     rows = texts.join(F.broadcast(known), "doc_id").select("doc_id", F.col("good").cast("int").alias("good"), "text")
     rows = rows.mapInArrow(run, f"doc_id {kind}, good int, " + ", ".join(f"{n} double" for n in names))
     rows = rows.groupBy("doc_id").agg(F.min("good").alias("good"), *[F.avg(n).alias(n) for n in names]).toArrow()
