@@ -53,7 +53,6 @@ class PieceCodec:
         for p in self.reachable:
             self.matches.add_word(p, p)
         self.matches.make_automaton()
-        inner = {a + b for p in self.ids for a, b in zip(p, p[1:])}
         self.parts = self._parts({a + b for p in self.ids for a, b in zip(p, p[1:])})
         self.fits: dict[tuple[str, str], bool] = {}
         self.digits = {p: str(i) for p, i in self.ids.items()}
@@ -129,7 +128,8 @@ class PieceCodec:
                 options.insert(0, text[place])
             choice.append(len(options) - 1)
             place += len(p)
-        failed = 0  # a bit for each position from which no compatible rest was found
+        failed = bytearray(n // 8 + 1)  # a bit for each position from which no compatible rest was found
+        any_failed = False
         pick = None
         while at < n:
             options = ends.get(at)
@@ -140,7 +140,8 @@ class PieceCodec:
             before = out[-1] if out else None
             while i >= 0:
                 p = options[i]
-                if not failed or not failed >> (at + len(p)) & 1:
+                end = at + len(p)
+                if not any_failed or not failed[end >> 3] >> (end & 7) & 1:
                     if before is None:
                         break
                     fit = fits.get((before, p))
@@ -153,8 +154,9 @@ class PieceCodec:
                 at += len(p)
                 continue
             if not out:
-                return self.merge(text)
-            failed |= 1 << at
+                raise RuntimeError("no compatible pieces: the vocabulary is not of the merge type")
+            failed[at >> 3] |= 1 << (at & 7)
+            any_failed = True
             at -= len(out.pop())
             pick = choice.pop() - 1
         return out
