@@ -18,6 +18,7 @@ Tasks write to a name of their own and rename when done, so a repeated task repl
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import sys
@@ -88,11 +89,35 @@ def unpack(payload: bytes) -> np.ndarray:
     return np.frombuffer(payload, f"<u{payload[0]}", offset=1)
 
 
+#: What a tokenizer's file must say for its texts to be parted: white space is dropped, letters are put in lower case and
+#: parted from marks, and merges see bytes of one pretoken.
+_PARTED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def _is_parted(tokenizer) -> bool:
+    known = json.loads(tokenizer.to_str())
+    model = known["model"]
+    plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+    # special tokens hold no white space and start with <|, which parts keep
+    tokens = all(t["content"].startswith("<|") and not any(c.isspace() for c in t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in known["added_tokens"])
+    return plain and tokens and all(known[k] == v for k, v in _PARTED.items())
+
+
 class WordIds:
     """The ids of texts by a tokenizer of the tokenizers library, kept for parts that recur.
 
-    The text is parted at ASCII white space, which this tokenizer drops, and which neither its
-    normaliser nor its patterns look across; each part goes through the library once.
+    The text is parted at ASCII white space, which the tokenizer drops, and which neither its
+    normaliser nor its patterns look across; each part goes through the library once. A tokenizer
+    whose file says otherwise gets whole texts.
     """
 
     def __init__(self, path: str, cache_size: int = 500_000):
@@ -100,6 +125,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
+        self.parted = _is_parted(self.tokenizer)
         # two generations: parts in use move to the newer one, the older one goes when that is full
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -145,6 +171,8 @@ class WordIds:
 
     def many(self, texts: list[bytes]) -> list[bytes]:
         """For each UTF-8 text its ids as little-endian uint32."""
+        if not self.parted:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
         parts = [t.split() for t in texts]
         cache = self.cache
         new = set().union(*parts).difference(cache)
@@ -180,6 +208,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     dealt = as_bytes(rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileType
         from pyspark import TaskContext
 
         files, root = _open(folder)
@@ -190,27 +219,34 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         temp, name = f"{root}/.{uuid.uuid4().hex}", f"part-{shard:05d}"
         out, index = None, []
         at = docs_n = tokens = 0
-        for b in batches:
-            for i in range(0, b.num_rows, 128):
-                part = b.slice(i, 128)
-                payloads = encoder.many(part.column(1).to_pylist())
-                if out is None:
-                    out = files.open_output_stream(f"{temp}.tokens", buffer_size=1 << 20)
-                for d, p in zip(part.column(0).to_pylist(), payloads):
-                    p += end
-                    f = frame(pack(p, narrow))
-                    out.write(f)
-                    index.append((_NULL if d is None else d, at, len(p) // 4))
-                    at += len(f)
-                    docs_n += 1
-                    tokens += len(p) // 4
-        if out is None:
-            return
-        out.close()
-        with files.open_output_stream(f"{temp}.index") as f:
-            f.write(np.array(index, "<i8").tobytes())
-        for kind in ("tokens", "index"):
-            files.move(f"{temp}.{kind}", f"{root}/{name}.{kind}")
+        try:
+            for b in batches:
+                for i in range(0, b.num_rows, 128):
+                    part = b.slice(i, 128)
+                    payloads = encoder.many(part.column(1).to_pylist())
+                    if out is None:
+                        out = files.open_output_stream(f"{temp}.tokens", buffer_size=1 << 20)
+                    for d, p in zip(part.column(0).to_pylist(), payloads):
+                        p += end
+                        f = frame(pack(p, narrow))
+                        out.write(f)
+                        index.append((_NULL if d is None else d, at, len(p) // 4))
+                        at += len(f)
+                        docs_n += 1
+                        tokens += len(p) // 4
+            if out is None:
+                return
+            out.close()
+            with files.open_output_stream(f"{temp}.index") as f:
+                f.write(np.array(index, "<i8").tobytes())
+            for kind in ("tokens", "index"):
+                files.move(f"{temp}.{kind}", f"{root}/{name}.{kind}")
+        except BaseException:
+            # a task that fails leaves nothing behind
+            for kind in ("tokens", "index"):
+                if files.get_file_info(f"{temp}.{kind}").type != FileType.NotFound:
+                    files.delete_file(f"{temp}.{kind}")
+            raise
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([docs_n], pa.int64()), pa.array([tokens], pa.int64())], ["shard", "name", "docs", "tokens"])
 
     return dealt.mapInArrow(run, "shard int, name string, docs long, tokens long")
@@ -221,7 +257,7 @@ def read_records(spark: SparkSession, folder: str, shards: list[tuple[str, int]]
     files = [(name, int(start)) for name, start in shards]
     table = spark.createDataFrame(files, "name string, start long")
     if len(files) > 1:
-        table = table.repartition(len(files), "name")
+        table = table.repartitionByRange(len(files), "name")  # names are few and unlike: a shard or two in each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, root = _open(folder)
