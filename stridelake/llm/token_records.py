@@ -70,13 +70,34 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
 
 
-#: Lower-case letters of Latin-1.
-_LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
-#: Byte-level vocabularies write bytes that are not printable as the characters from U+0100 on.
+#: Letters of Latin-1, as text.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Byte-level vocabularies write bytes that are not printable as the characters from U+0100 on; the space stays here.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+_BYTE_LEVEL = np.arange(256, dtype="<u2")
+_BYTE_LEVEL[[b for b in range(256) if b not in _SHOWN]] = range(256, 512 - len(_SHOWN))
+_BYTE_LEVEL[32] = 32
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
+_SPACE, _LETTER, _DIGIT, _APOSTROPHE, _SIGN, _OTHER = range(6)
+#: The kind of each byte; bytes of Latin-1 letters beyond ASCII are found by their lead byte.
+_KIND = np.full(256, _OTHER, "u1")
+_KIND[33:127] = _SIGN
+_KIND[list(b"\t\n\v\f\r ")] = _SPACE
+_KIND[list(b"0123456789")] = _DIGIT
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[39] = _APOSTROPHE
+#: Bytes that make a letter after 0xC3: all that can follow but those of the signs U+00D7 and U+00F7.
+_AFTER_C3 = np.zeros(256, bool)
+_AFTER_C3[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
+#: [8 * kind before + kind]: whether a part starts there, that is, after white space, or where a pretoken surely ends:
+#: signs follow letters, digits stand alone, and letters follow signs (but an apostrophe takes some with it). No cut
+#: touches any other byte, and a character of these kinds does not combine with what stands before it.
+_STARTS = np.zeros(64, bool)
+_STARTS[8 * _SPACE + 1 : 8 * _SPACE + 6] = True
+for _a, _b in ((_LETTER, _SIGN), (_LETTER, _APOSTROPHE), (_SIGN, _LETTER), (_DIGIT, _DIGIT), *((_DIGIT, k) for k in (_LETTER, _APOSTROPHE, _SIGN)), *((k, _DIGIT) for k in (_LETTER, _APOSTROPHE, _SIGN))):
+    _STARTS[8 * _a + _b] = True
+
 
 def pack(ids: bytes, narrow: bool) -> bytes:
     """A payload of ids given as little-endian uint32."""
@@ -90,7 +111,7 @@ def unpack(payload: bytes) -> np.ndarray:
 
 
 #: What a tokenizer's file must say for its texts to be parted: white space is dropped, letters are put in lower case and
-#: parted from marks, and merges see bytes of one pretoken.
+#: parted from marks, digits stand alone, and merges see bytes of one pretoken.
 _PARTED = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "pre_tokenizer": {
@@ -112,78 +133,124 @@ def _is_parted(tokenizer) -> bool:
     return plain and tokens and all(known[k] == v for k, v in _PARTED.items())
 
 
+def part(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct parts of UTF-8 texts, for each part of the texts in order its place among them, and where each text's parts begin and end."""
+    data = np.frombuffer(b"".join(texts), "u1")
+    at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), "i8", len(texts)))))
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[_AFTER_C3[data[lead + 1]]]
+    kind[lead] = kind[lead + 1] = _LETTER
+    pair = kind.copy()
+    pair[1:] += kind[:-1] << 3
+    first = at[at < len(data)]
+    pair[first] = kind[first]  # a text starts as after white space
+    starts, kept = _STARTS[pair], kind != _SPACE
+    offsets = np.append(np.flatnonzero(starts[kept]), np.count_nonzero(kept)).astype("i4")
+    found = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[kept])]).dictionary_encode()
+    _, ends, raw = found.dictionary.buffers()
+    ends, raw = np.frombuffer(ends, "i4", len(found.dictionary) + 1).tolist() if len(found) else [0], raw.to_pybytes() if raw else b""
+    return [raw[a:b] for a, b in zip(ends, ends[1:])], found.indices.to_numpy(), np.searchsorted(np.flatnonzero(starts), at)
+
+
 class WordIds:
     """The ids of texts by a tokenizer of the tokenizers library, kept for parts that recur.
 
-    The text is parted at ASCII white space, which the tokenizer drops, and which neither its
-    normaliser nor its patterns look across; each part goes through the library once. A tokenizer
-    whose file says otherwise gets whole texts.
+    The text is parted at ASCII white space, which the tokenizer drops, and where its pattern surely
+    ends a pretoken; neither its normaliser nor its patterns look across. Each part goes through the
+    library once. Texts that hold a special token go through it whole, and so do all texts of a
+    tokenizer whose file says otherwise.
     """
 
     def __init__(self, path: str, cache_size: int = 500_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
         self.parted = _is_parted(self.tokenizer)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if self.parted:
+            # the same model for words that normalising leaves alone; tokens at a word's end have its suffix
+            self.words = Tokenizer(self.tokenizer.model)
+            self.words.pre_tokenizer = CharDelimiterSplit(" ")
+            vocab = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         # two generations: parts in use move to the newer one, the older one goes when that is full
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.tails: dict[bytes, bytes] = {}
         self.cache_size = cache_size
 
-    def _stem(self, low: bytes) -> bytes | None:
-        """The ids of a word of lower-case Latin letters: one pretoken, which normalising leaves alone, so the model
-        can have it as it is. None for any other text."""
-        if low.isalpha():
-            text = low.decode()
-        elif _LETTERS(low.decode()):
-            text = low.decode("latin-1").translate(_BYTE_LEVEL)
-        else:
-            return None
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
-
-    def _learn(self, parts: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of parts that are not known. ASCII ones have those of their lower case (but special tokens are
-        matched as they are written), and a word with marks at its end has those of both: the pretokenizer parts
-        letters from marks."""
-        found, stem_ids, known, other = {}, self._stem, self.cache.get, []
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
+        found = []
+        for i in range(0, len(texts), 500):
+            found += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts[i : i + 500]], add_special_tokens=False)]
+        return found
+
+    def _stems(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words of lower-case Latin letters, in UTF-8: each is one pretoken. They hold no ``<``, so a token
+        that ends in ``</w>`` ends its word; where not all words end so, they go one by one."""
+        text = _BYTE_LEVEL[np.frombuffer(b" ".join(words), "u1")].tobytes().decode("utf-16-le")
+        ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+        if len(ends) != len(words):
+            return [array("I", [t.id for t in self.words.model.tokenize(w)]).tobytes() for w in text.split(" ")]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of parts that are not known. Words of Latin letters have those of their lower case."""
+        stems, other = {}, []
         for p in parts:
-            low = p.lower() if p.isascii() and b"<|" not in p else p
-            word = low.rstrip(b".,!?;:")
-            ids = known(word) if word != p and word.isalpha() else None
-            if ids is None:
-                ids = stem_ids(word)
-            if ids is not None and word != low:
-                tail = low[len(word) :]
-                if tail not in self.tails:
-                    self.tails[tail] = array("I", self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids).tobytes()
-                ids += self.tails[tail]
-            if ids is None:
-                other.append((p, low))
+            if p.isalpha():
+                stems[p] = p.lower()
+            elif not p.isascii() and _LETTERS(text := p.decode()):
+                stems[p] = text.lower().encode()
             else:
-                found[p] = ids
-        for i in range(0, len(other), 2000):
-            some = other[i : i + 2000]
-            for (p, _), e in zip(some, self.tokenizer.encode_batch_fast([low.decode() for _, low in some], add_special_tokens=False)):
-                found[p] = array("I", e.ids).tobytes()
+                other.append(p)
+        words = set(stems.values())
+        known = {w: ids for w in words if (ids := self.cache.get(w) or self.older.get(w)) is not None}
+        new = list(words.difference(known))
+        for i in range(0, len(new), 5000):
+            known.update(zip(new[i : i + 5000], self._stems(new[i : i + 5000])))
+        found = {p: known[w] for p, w in stems.items()}
+        found.update(zip(other, self._whole(other)))
         return found
 
+    def _known(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of distinct parts."""
+        found = list(map(self.cache.get, parts))
+        new = [p for p, ids in zip(parts, found) if ids is None]
+        if not new:
+            return found
+        learned = {p: ids for p in new if (ids := self.older.get(p)) is not None}
+        if len(self.cache) + len(new) > self.cache_size:
+            self.older, self.cache = self.cache, {}
+        learned |= self._learn([p for p in new if p not in learned])
+        self.cache |= learned
+        return [learned[p] if ids is None else ids for p, ids in zip(parts, found)]
+
     def many(self, texts: list[bytes]) -> list[bytes]:
         """For each UTF-8 text its ids as little-endian uint32."""
         if not self.parted:
-            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
-        parts = [t.split() for t in texts]
-        cache = self.cache
-        new = set().union(*parts).difference(cache)
-        older = {p: self.older[p] for p in new if p in self.older}
-        if len(cache) + len(new) > self.cache_size:
-            self.older, self.cache = cache, {}
-            older |= {p: cache[p] for ps in parts for p in ps if p in cache}
-            cache = self.cache
-        cache |= older
-        cache |= self._learn(new.difference(older))
-        return [b"".join([cache[p] for p in ps]) for ps in parts]
+            return self._whole(texts)
+        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        rest = list(texts)
+        for i in whole:
+            rest[i] = b""
+        parts, which, bounds = part(rest)
+        ids = self._known(parts)
+        size = np.fromiter(map(len, ids), "i8", len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        n = size[which]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        out = flat[np.repeat(first[which] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        at = (ends[bounds] * 4).tolist()
+        found = [out[a:b] for a, b in zip(at, at[1:])]
+        for i, t in zip(whole, self._whole([texts[i] for i in whole])):
+            found[i] = t
+        return found
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -195,6 +262,21 @@ def word_ids(path: str) -> WordIds:
     return _WORD_IDS[path]
 
 
+def _groups(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[tuple[list[int | None], list[bytes]]]:
+    """All rows of batches (id, text) in order, as lists of ids and texts; a list ends where its texts reach ``size`` bytes."""
+    ids, texts, held = [], [], 0
+    for b in batches:
+        for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            ids.append(d)
+            texts.append(t)
+            held += len(t)
+            if held >= size:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text", shards: int | None = None) -> DataFrame:
     """Writes all documents under ``folder`` and returns (shard int, name string, docs long, tokens long).
 
@@ -220,20 +302,18 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         out, index = None, []
         at = docs_n = tokens = 0
         try:
-            for b in batches:
-                for i in range(0, b.num_rows, 128):
-                    part = b.slice(i, 128)
-                    payloads = encoder.many(part.column(1).to_pylist())
-                    if out is None:
-                        out = files.open_output_stream(f"{temp}.tokens", buffer_size=1 << 20)
-                    for d, p in zip(part.column(0).to_pylist(), payloads):
-                        p += end
-                        f = frame(pack(p, narrow))
-                        out.write(f)
-                        index.append((_NULL if d is None else d, at, len(p) // 4))
-                        at += len(f)
-                        docs_n += 1
-                        tokens += len(p) // 4
+            for ids, texts in _groups(batches):
+                payloads = encoder.many(texts)
+                if out is None:
+                    out = files.open_output_stream(f"{temp}.tokens", buffer_size=1 << 20)
+                for d, p in zip(ids, payloads):
+                    p += end
+                    f = frame(pack(p, narrow))
+                    out.write(f)
+                    index.append((_NULL if d is None else d, at, len(p) // 4))
+                    at += len(f)
+                    docs_n += 1
+                    tokens += len(p) // 4
             if out is None:
                 return
             out.close()

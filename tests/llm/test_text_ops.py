@@ -325,6 +325,40 @@ def test_word_ids_match_the_library(texts):
         assert [np.frombuffer(b, "<u4").tolist() for b in ours.many([t.encode() for t in some])] == [theirs.encode(t, add_special_tokens=False).ids for t in some]
 
 
+def test_word_ids_of_odd_texts_match_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    theirs, ours, rng = Tokenizer.from_file(path), TR.WordIds(path, cache_size=3000), random.Random(5)
+    signs = [*"abcstRTrevemldD''''.,-|<>/w&$#(_0123456789 \t\n\v\f\réÉñÑßÿÞÖ×÷ªºµ²½Å", "\u0301", "\u0308", "\u0338", "\u212a", "\u0130", "\u03a3", "\u0085", "\u00a0", "\u00ad", "\x00", "\x1c", "\x7f", "\u2003"]
+    signs += ["中", "\u1112", "\u1161", "😀", "\u200d", "Ⅷ", "٣", "’", "ﬁ", "\u1e9e", "the", "The", "CIÓN", "'LL", "<|", "</w>", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    for _ in range(20):
+        some = ["".join(rng.choices(signs, k=rng.choice([0, 1, 2, 3, 5, 8, 40]))) for _ in range(500)]
+        assert [np.frombuffer(b, "<u4").tolist() for b in ours.many([t.encode() for t in some])] == [e.ids for e in theirs.encode_batch(some, add_special_tokens=False)]
+    assert ours.many([]) == [] and ours.many([b"", b" \n"]) == [b"", b""]
+    assert [len(b) // 4 for b in ours.many([b"<|endoftext|>", b"", b"a<|startoftext|>"])] == [1, 0, 2]
+
+
+def test_words_go_through_the_library_once_whatever_stands_beside_them():
+    # numbers, addresses and marks never recur as they are, but their parts do
+    ours = TR.WordIds(tokenizer_path("word_bpe_49k.json"))
+    rng = random.Random(2)
+    text = " ".join(f"{w}{rng.randrange(10**9)} {w}.{rng.randrange(999)}@mail.example {w}{'#' * rng.randint(0, 5)}" for w in rng.choices(["here", "There", "ción", "Él"], k=3000))
+    assert len(ours.many([text.encode()])[0]) > 4 * 30_000 and len(ours.cache) < 40
+
+
+def test_groups_of_rows_hold_all_rows_in_order():
+    import pyarrow as pa
+
+    rows = [(i if i % 7 else None, b"x" * (i % 50)) for i in range(1000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + 30]], pa.int64()), pa.array([r[1] for r in rows[i : i + 30]], pa.binary())], ["doc_id", "text"]) for i in range(0, 1000, 30)]
+    for size in (1, 400, 10**9):
+        groups = list(TR._groups(iter(batches), size))
+        assert [r for ids, texts in groups for r in zip(ids, texts)] == rows
+        assert all(sum(map(len, texts[:-1])) < size for _, texts in groups)
+    assert list(TR._groups(iter([]))) == []
+
+
 def test_other_tokenizers_get_whole_texts(tmp_path):
     import json
 
